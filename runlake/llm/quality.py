@@ -7,7 +7,6 @@ document labels are used: the attention weights are learned from them.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,36 +24,43 @@ FIT_ROWS = 3000
 #: Passages of one fitted document that training uses, evenly spaced over its whole text; scoring uses all.
 FIT_PASSAGES = 48
 
-_SHAPES = [re.compile(p) for p in (r"[^\W\d_]", r"\d", r"[A-ZÀ-ÖØ-Þ]", r"[.,;:]", r"[^\w\s.,;:]", r"\n")]
-
-
-def passages(text: str | None) -> list[list[str]]:
-    """Runs of PASSAGE words over the whole text; one empty passage for an empty or null text."""
-    words = text.split(" ") if text else []
-    return [words[i : i + PASSAGE] for i in range(0, len(words), PASSAGE)] or [[]]
+#: Kinds of bytes: small letters, capitals, digits, stops, other marks, line ends, spaces, parts of non-ASCII letters.
+_KINDS = 8
+_KIND = np.full(256, 4, np.uint8)
+for _kind, _range in ((0, range(97, 123)), (1, range(65, 91)), (2, range(48, 58)), (3, b".,;:"), (5, b"\n\r"), (6, b" \t"), (7, range(128, 256))):
+    _KIND[list(_range)] = _kind
+_POWERS = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
 
 def encode(text: str | None) -> np.ndarray:
-    """One row of features a passage: shares of kinds of characters, word lengths, repetition, and hashed character pairs."""
-    parts = passages(text)
-    counts: dict[str, int] = {}
-    for p in parts:
-        for w in p:
-            counts[w] = counts.get(w, 0) + 1
-    out = np.zeros((len(parts), len(_SHAPES) + 8 + HASHED), np.float32)
-    for row, words in zip(out, parts, strict=True):
-        s = " ".join(words)
-        n, m = max(1, len(s)), max(1, len(words))
-        shapes = [len(p.findall(s)) / n for p in _SHAPES]
-        lengths = [len(w) for w in words] or [0]
-        row[: len(shapes)] = shapes
-        own = len(set(words)) / m
-        again = sum(counts[w] > 1 for w in words) / m
-        row[len(shapes) : len(shapes) + 8] = (own, again, np.mean(lengths) / 10, np.std(lengths) / 10, min(1, m / PASSAGE), min(1, s.count("\n") / m), np.log1p(len(parts)) / 5, 1)
-        raw = np.frombuffer(s.lower().encode("utf-8", "replace"), np.uint8).astype(np.uint32)
-        if len(raw) > 1:
-            pairs = ((raw[:-1] * 131 + raw[1:]) * np.uint32(2654435761)) >> np.uint32(26)
-            row[-HASHED:] = np.sqrt(np.bincount(pairs, minlength=HASHED)[:HASHED] / len(pairs))
+    """One row of features for every run of PASSAGE words: shares of kinds of bytes, word lengths, repetition, hashed byte pairs.
+
+    The whole text is read; an empty or null text is one passage of zeros.
+    """
+    raw = np.frombuffer(text.encode("utf-8", "replace") if text else b"", np.uint8)
+    if not len(raw):
+        return np.zeros((1, _KINDS + 7 + HASHED), np.float32)
+    at = np.concatenate(([0], np.flatnonzero(raw == 32) + 1))
+    at = at[at < len(raw)]
+    of_word = np.arange(len(at)) // PASSAGE
+    starts = at[::PASSAGE]
+    n = len(starts)
+    size, words = np.diff(np.append(starts, len(raw))), np.bincount(of_word, minlength=n)
+    of_byte = np.repeat(np.arange(n), size)
+    out = np.empty((n, _KINDS + 7 + HASHED), np.float32)
+    out[:, :_KINDS] = np.bincount(of_byte * _KINDS + _KIND[raw], minlength=n * _KINDS).reshape(n, _KINDS) / size[:, None]
+    lengths = np.diff(np.append(at, len(raw)))
+    inside = np.minimum(np.arange(len(raw)) - np.repeat(at, lengths), 1023)
+    names = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * _POWERS[inside], at)
+    _, which, often = np.unique(names, return_inverse=True, return_counts=True)
+    own = np.bincount(np.unique(of_word * len(at) + which) // len(at), minlength=n) / words
+    again = np.bincount(of_word, often[which] > 1, n) / words
+    mean = np.bincount(of_word, lengths, n) / words
+    spread = np.sqrt(np.maximum(0, np.bincount(of_word, lengths.astype(float) ** 2, n) / words - mean**2))
+    out[:, _KINDS : _KINDS + 7] = np.stack((own, again, mean / 10, spread / 10, words / PASSAGE, np.full(n, np.log1p(n) / 5), np.ones(n)), 1)
+    low = np.where(_KIND[raw] == 1, raw + 32, raw).astype(np.uint32)
+    pairs = ((low[:-1] * np.uint32(131) + low[1:]) * np.uint32(2654435761)) >> np.uint32(26)
+    out[:, -HASHED:] = np.sqrt(np.bincount(of_byte[:-1] * HASHED + pairs, minlength=n * HASHED).reshape(n, HASHED) / size[:, None])
     return out
 
 
