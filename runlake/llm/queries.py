@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import crc_bucket, small_batches, table
 from .quality import classify
 from .topk_search import quantized, top_k
+from .toxicity import score as toxicity_score
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,9 +23,17 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    bucket = crc_bucket("doc_id", 5)
+    out = toxicity_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), bucket != 0)
+    return out.select("doc_id", (bucket == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_topk_search": op5_topk_search,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
