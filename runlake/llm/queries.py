@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, small_batches, table
+from .decontaminate import find_matches
 from .quality import classify
 from .topk_search import quantized, top_k
 from .toxicity import score as toxicity_score
@@ -23,6 +24,11 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     bucket = crc_bucket("doc_id", 5)
@@ -33,6 +39,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_topk_search": op5_topk_search,
+    "op8_decontamination": op8_decontamination,
     "op10_toxicity": op10_toxicity,
 }
 
