@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket, small_batches, table
 from .decontaminate import find_matches
+from .lines import drop_recurring_lines
+from .lines import oracle_sql as lines_sql
 from .quality import classify
 from .topk_search import quantized, top_k
 from .toxicity import score as toxicity_score
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     bucket = crc_bucket("doc_id", 3)
@@ -37,10 +43,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_topk_search": op5_topk_search,
     "op8_decontamination": op8_decontamination,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_line_dedup": lines_sql()}
