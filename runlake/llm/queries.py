@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from .common import crc_bucket, small_batches, table
 from .decontaminate import find_matches
 from .lines import drop_recurring_lines
 from .lines import oracle_sql as lines_sql
+from .packing import pack_documents
 from .quality import classify
 from .topk_search import quantized, top_k
 from .toxicity import score as toxicity_score
@@ -30,6 +34,18 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> tuple[str, str]:
+    """A tokenizer's file as text, and its split pattern."""
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        text = f.read()
+    return text, json.loads(text)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return pack_documents(table(spark, sf_dir, "documents"), *tokenizer_file())
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -46,6 +62,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_topk_search": op5_topk_search,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_decontamination": op8_decontamination,
     "op10_toxicity": op10_toxicity,
 }
