@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .common import crc_bucket, small_batches, table
 from .chunks import dedup_substrings
 from .decontaminate import find_matches
+from .licenses import oracle_sql as licenses_sql
+from .licenses import scan
 from .lines import drop_recurring_lines
 from .lines import oracle_sql as lines_sql
 from .packing import pack_documents
@@ -57,6 +59,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: their source and language are the folders, their id the name."""
+    path = F.concat_ws("/", F.lit("documents"), "source", "lang", F.col("doc_id").cast("string"))
+    out = scan(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
+    return out.withColumn("doc_id", F.element_at(F.split("path", "/"), -1).try_cast("long"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     bucket = crc_bucket("doc_id", 5)
@@ -71,7 +80,11 @@ QUERIES = {
     "op5_topk_search": op5_topk_search,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_decontamination": op8_decontamination,
+    "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op3_line_dedup": lines_sql()}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": lines_sql(),
+    "op9_license_scan": f"""SELECT *, CAST(list_last(string_split(path, '/')) AS BIGINT) AS doc_id FROM ({licenses_sql("concat_ws('/', 'documents', source, lang, CAST(doc_id AS VARCHAR))")})""",
+}
