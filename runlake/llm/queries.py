@@ -15,12 +15,18 @@ from .licenses import oracle_sql as licenses_sql
 from .licenses import scan
 from .lines import drop_recurring_lines
 from .lines import oracle_sql as lines_sql
+from .ngram_join import join_components
 from .packing import pack_documents
 from .quality import classify
 from .topk_search import quantized, top_k
 from .toxicity import score as toxicity_score
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return join_components(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return dedup_substrings(table(spark, sf_dir, "documents"))
@@ -74,6 +80,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_classifier": op4_quality_classifier,
