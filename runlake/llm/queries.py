@@ -18,6 +18,7 @@ from .lines import oracle_sql as lines_sql
 from .ngram_join import join_components
 from .packing import pack_documents
 from .quality import classify
+from .repeats import dedup_repeats
 from .topk_search import quantized, top_k
 from .toxicity import score as toxicity_score
 
@@ -60,6 +61,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), *tokenizer_file())
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return dedup_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return find_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -86,6 +92,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_topk_search": op5_topk_search,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
