@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of a passage.
 PASSAGE = 64
@@ -138,16 +139,17 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, rows: in
 
 
 def score(docs: DataFrame, net: Attention) -> DataFrame:
-    """(doc_id, score): rows with a null id or text, and repeated rows, are scored like any other. Scores depend on the text alone."""
+    """`docs` with `score` added, from the text alone. Null ids and texts and repeated rows are scored like any other."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 bags = [encode(t) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(shared.value.score(bags))], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(bags))], [*batch.schema.names, "__score"])
 
-    return docs.select("doc_id", "text").mapInArrow(scores, "doc_id long, score double")
+    kept = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
+    return docs.mapInArrow(scores, kept)
 
 
 def classifier(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", rows: int = FIT_ROWS) -> Attention | None:
@@ -160,8 +162,12 @@ def classifier(docs: DataFrame, labels: DataFrame, allowed, label: str = "qualit
 
 
 
-def classify(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality") -> DataFrame:
-    """doc_id, score, predicted for every document (score 0.5 where there are no labels to learn from)."""
+def classify(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", carry: bool = False) -> DataFrame:
+    """doc_id, score, predicted for every row of `docs`, or with `carry` all its columns and those two.
+
+    Where there are no labels to learn from, the score is 0.5.
+    """
     net = classifier(docs, labels, allowed, label)
-    scored = docs.select("doc_id", F.lit(0.5).alias("score")) if net is None else score(docs, net)
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    docs = docs if carry else docs.select("doc_id", "text")
+    scored = (docs.withColumn("__score", F.lit(0.5)) if net is None else score(docs, net)).withColumns({"score": F.col("__score"), "predicted": (F.col("__score") >= 0.5).cast("int")}).drop("__score")
+    return scored if carry else scored.drop("text")
