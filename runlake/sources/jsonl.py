@@ -31,8 +31,8 @@ def parse_runs(lines: DataFrame, schema: T.StructType, required: tuple[str, ...]
 
 
 def raw_sample(lines: DataFrame, n: int) -> DataFrame:
-    """The first `n` lines that are JSON, by file and text, without any schema."""
-    return lines.where(F.try_parse_json("line").isNotNull()).orderBy("file", "line").limit(n)
+    """The first `n` lines that are JSON, by text, without any schema."""
+    return lines.where(F.try_parse_json("line").isNotNull()).orderBy("line", "file").limit(n)
 
 
 def load_projects(stored: DataFrame, wanted: list[str]) -> tuple[DataFrame, DataFrame]:
