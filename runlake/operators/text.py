@@ -18,11 +18,15 @@ STOP_WORDS = {
 SHORTEST, LOOKED_AT = 30, 500
 
 
+def _known(words: Column, known: list[str]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(known)))
+
+
 def language(text: Column | str) -> Column:
     """The language whose stop words are most of a text's words; null for short texts and for none. Ties go to the first in the alphabet."""
     text = F.col(text) if isinstance(text, str) else text
     words = F.split(F.lower(F.left(text, F.lit(LOOKED_AT))), "[^\\p{L}]+")
-    counts = [F.struct((-F.size(F.filter(words, lambda w, known=known: w.isin(known.split())))).alias("n"), F.lit(code).alias("code")) for code, known in sorted(STOP_WORDS.items())]
+    counts = [F.struct((-_known(words, known.split())).alias("n"), F.lit(code).alias("code")) for code, known in sorted(STOP_WORDS.items())]
     best = F.least(*counts)
     return F.when((F.length(text) >= SHORTEST) & (best["n"] < 0), best["code"])
 
