@@ -78,7 +78,7 @@ def run_stats(df: DataFrame) -> DataFrame:
         money_sum("total_cost").alias("total_cost"),
         F.max("start_time").alias("last_run_start_time"),
     )
-    return total.crossJoin(F.broadcast(types))  # one row each
+    return total.select("*", types.scalar().alias("run_types"))
 
 
 def project_stats(projects: DataFrame, runs: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ def usage_totals(runs: DataFrame, interval: str, dimensions: list[str]) -> DataF
 
 def usage_summary(cube: DataFrame) -> DataFrame:
     """One row: totals, active buckets, groups, and the most and the average number of groups in a bucket; zeros for no rows."""
-    per_bucket = cube.groupBy("time").agg(F.countDistinct("group_value").alias("groups")).agg(F.count("*").alias("active_buckets"), F.coalesce(F.max("groups"), F.lit(0)).alias("max_concurrent"), F.coalesce(F.avg("groups"), F.lit(0.0)).alias("avg_concurrent"))
-    totals = cube.agg(F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens"), F.coalesce(money_sum("total_cost"), F.lit(0)).alias("total_cost"), F.coalesce(F.sum("run_count"), F.lit(0)).alias("run_count"), F.countDistinct("group_value").alias("unique_groups"))
-    return totals.crossJoin(F.broadcast(per_bucket))  # one row each
+    buckets = cube.groupBy("time").agg(F.countDistinct("group_value").alias("groups"))
+    figures = buckets.agg(F.struct(F.count("*").alias("active_buckets"), F.coalesce(F.max("groups"), F.lit(0)).alias("max_concurrent"), F.coalesce(F.avg("groups"), F.lit(0.0)).alias("avg_concurrent")).alias("figures"))
+    totals = cube.agg(F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens"), F.coalesce(F.sum("total_cost"), F.lit(0)).alias("total_cost"), F.coalesce(F.sum("run_count"), F.lit(0)).alias("run_count"), F.countDistinct("group_value").alias("unique_groups"))
+    return totals.withColumn("figures", figures.scalar()).select(*totals.columns, "figures.*")
