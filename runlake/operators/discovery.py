@@ -34,9 +34,7 @@ def flatten_json(df: DataFrame, key: str, text: str, max_depth: int = FLATTEN_DE
         if depth:
             leaves.append(level.where(~F.coalesce(inner, F.lit(False))))
         if depth < max_depth:
-            opened = level.where(inner)
-            opened.createOrReplaceTempView("__runlake_level")
-            level = opened.sparkSession.sql(f"SELECT t.`{key}`, concat_ws('.', t.path, e.key) AS path, e.value FROM __runlake_level t, LATERAL variant_explode(t.value) e")
+            level = df.sparkSession.sql(f"SELECT t.`{key}`, concat_ws('.', t.path, e.key) AS path, e.value FROM {{opened}} t, LATERAL variant_explode(t.value) e", opened=level.where(inner))
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
@@ -59,10 +57,10 @@ def infer_schema(df: DataFrame, key: str, text: str, max_depth: int = SCHEMA_DEP
     level = df.select(F.col(key).alias("__key"), F.lit("").alias("path"), F.try_parse_json(text).alias("value")).where(F.col("value").isNotNull())
     found = None
     for _ in range(max_depth):
-        level.createOrReplaceTempView("__runlake_level")
-        level = level.sparkSession.sql(
+        level = df.sparkSession.sql(
             "SELECT t.__key, CASE WHEN e.key IS NULL THEN concat(t.path, '[]') WHEN t.path = '' THEN e.key ELSE concat(t.path, '.', e.key) END AS path, e.value "
-            "FROM __runlake_level t, LATERAL variant_explode(t.value) e"
+            "FROM {level} t, LATERAL variant_explode(t.value) e",
+            level=level,
         )
         here = level.select("__key", "path", value_type("value").alias("type"))
         found = here if found is None else found.unionByName(here)

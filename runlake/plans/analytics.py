@@ -365,3 +365,14 @@ def g7_top_and_others(spark, d):
 @query("SELECT trace_id, id, name FROM runs_chat QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY turn DESC, id) = 1", ("runs_chat",))
 def g5_last_turn(spark, d):
     return sampling.top_per(view(spark, d, "runs_chat"), ["trace_id"], 1, [F.desc("turn"), F.asc("id")]).select("trace_id", "id", "name")
+
+
+@query("SELECT project, service_tier, sum(total_tokens)::BIGINT AS total_tokens, count(*) AS run_count FROM runs_trace GROUP BY ALL HAVING sum(total_tokens) > 0", TRACE)
+def d19_active_only(spark, d):
+    cube = usage.usage_cube(view(spark, d, "runs_trace").withColumn("start_time", F.lit(None).cast("timestamp")), breakdown=("project", "service_tier"), active_only=True)
+    return cube.select("project", "service_tier", "total_tokens", "run_count")
+
+
+@query("SELECT project, row_key FROM runs_trace QUALIFY row_number() OVER (PARTITION BY project ORDER BY latency_s DESC, row_key) <= 7", TRACE)
+def g3_per_project_limit(spark, d):
+    return sampling.top_per(view(spark, d, "runs_trace"), ["project"], 7, [F.desc("latency_s"), F.asc("row_key")]).select("project", "row_key")
