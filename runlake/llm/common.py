@@ -52,6 +52,11 @@ def needed_only(df: DataFrame, ids: DataFrame, key: str, limit: int = 2_000_000)
     return df.join(F.broadcast(ids) if n <= limit else ids.hint("merge"), key, "left_semi")
 
 
+def sized(df: DataFrame, limit: int = 250_000) -> DataFrame:
+    """`df`, a small or written table, marked for broadcasting if a count shows at most `limit` rows; else as it is."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def crc_bucket(column: str, mod: int):
     """crc32(column as text) mod `mod`."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % mod
@@ -83,7 +88,7 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_FACTORS = [np.uint64(f | 1) for f in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
+_FACTOR = np.uint64(0xA0761D6478BD642F)
 
 
 def shingles(text: str | None, cache: WordHashes, width: int = 5) -> np.ndarray:
@@ -93,7 +98,8 @@ def shingles(text: str | None, cache: WordHashes, width: int = 5) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.fromiter((cache[w] for w in words), np.uint64, len(words))
     k = min(width, len(h))
-    total = np.full(len(h) - k + 1, k, np.uint64)
-    for i in range(k):
-        total += mix(h[i : len(h) - k + 1 + i], i) * _FACTORS[i % 5]
+    n = len(h) - k + 1
+    total = h[:n] + np.uint64(k)
+    for i in range(1, k):
+        total = total * _FACTOR + h[i : n + i]
     return np.unique(mix(total, 99))
