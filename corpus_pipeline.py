@@ -10,23 +10,23 @@ from runlake.llm.decontaminate import clean
 from runlake.llm.lines import drop_recurring_lines
 from runlake.llm.ngram_join import join_components
 from runlake.llm.packing import pack_documents
-from runlake.llm.quality import classify
+from runlake.llm.quality import with_scores
 from runlake.llm.queries import tokenizer_file
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; labels are learned from the documents at hand, but for one fold."""
     small_batches(spark)
-    scored = classify(docs, table(spark, sf_dir, "labels"), crc_bucket("doc_id", 3) != 1, carry=True)
-    return scored.where(F.col("predicted") == 1).select(*docs.columns)
+    scored = with_scores(docs, table(spark, sf_dir, "labels"), crc_bucket("doc_id", 3) != 1)
+    return scored.where(F.col("__score") >= 0.5).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; one whose every line recurs from an earlier document goes."""
-    out = drop_recurring_lines(docs)
-    out = out.where((F.col("n_dropped") == 0) | (F.trim("text") != ""))
+    out = drop_recurring_lines(docs, counts=("__lines", "__dropped"))
+    out = out.where((F.col("__dropped") == 0) | (F.trim("text") != ""))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 

@@ -139,7 +139,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, rows: in
 
 
 def score(docs: DataFrame, net: Attention) -> DataFrame:
-    """`docs` with `score` added, from the text alone. Null ids and texts and repeated rows are scored like any other."""
+    """`docs` with `__score` added, from the text alone. Null ids and texts and repeated rows are scored like any other."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,12 +162,13 @@ def classifier(docs: DataFrame, labels: DataFrame, allowed, label: str = "qualit
 
 
 
-def classify(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", carry: bool = False) -> DataFrame:
-    """doc_id, score, predicted for every row of `docs`, or with `carry` all its columns and those two.
-
-    Where there are no labels to learn from, the score is 0.5.
-    """
+def with_scores(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality") -> DataFrame:
+    """All columns of `docs`, which may have any names, and `__score`; 0.5 where there are no labels to learn from."""
     net = classifier(docs, labels, allowed, label)
-    docs = docs if carry else docs.select("doc_id", "text")
-    scored = (docs.withColumn("__score", F.lit(0.5)) if net is None else score(docs, net)).withColumns({"score": F.col("__score"), "predicted": (F.col("__score") >= 0.5).cast("int")}).drop("__score")
-    return scored if carry else scored.drop("text")
+    return docs.withColumn("__score", F.lit(0.5)) if net is None else score(docs, net)
+
+
+def classify(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality") -> DataFrame:
+    """doc_id, score, predicted for every row of `docs`."""
+    scored = with_scores(docs.select("doc_id", "text"), labels, allowed, label)
+    return scored.select("doc_id", F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
