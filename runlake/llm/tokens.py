@@ -13,6 +13,11 @@ _WHITE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 _PLAIN = re.compile(r"[\x00-ɏ]*")
 
 
+#: Byte -> the sign that stands for it in a byte-level vocabulary: printable Latin-1 as it is, the others from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+_SIGNS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
+
+
 class TokenIds:
     """Little-endian unsigned 32-bit ids of texts.
 
@@ -42,9 +47,9 @@ class TokenIds:
                 if ids is None:
                     if len(self.parts) >= self.most:
                         self.parts.clear()
-                    # the merges see printable ASCII as it is; the tokenizer's other steps are done by now
-                    plain = part.isascii() and part.isprintable()
-                    ids = self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(part)], "<u4").tobytes() if plain else self._encoded(part)
+                    # all other steps of the tokenizer are done by now: what is left is the merges
+                    signs = "".join(map(_SIGNS.__getitem__, part.encode()))
+                    ids = self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(signs)], "<u4").tobytes()
                 found.append(ids)
             out = b"".join(found)
         self.words[word] = out
