@@ -29,8 +29,6 @@ GRAM = 20
 HOT = 2000
 #: Bytes of text that share one packed row of an exchange; bytes of a text searched at a time.
 FLUSH, BLOCK = 6 << 20, 8 << 20
-#: Facts about documents that are broadcast at most, in bytes; more are joined by a shuffle.
-BROADCAST_BYTES = 24 << 20
 
 _VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _FACTOR = 0x9E3779B97F4A7C15
@@ -221,8 +219,7 @@ def maximal_repeats(texts: list[bytes], windows: list[int], least: int) -> Itera
 def _second_pass(docs: DataFrame, facts: DataFrame, buckets: int, length: int) -> DataFrame:
     """(doc, spans) found among the open segments."""
     open_ = facts.where(F.length("open") > 0).groupBy("doc").agg(F.collect_list("open").alias("open"))
-    size = facts.agg(F.sum(F.length("open") + 16)).first()[0] or 0
-    wanted = docs.select(F.col("doc_id").alias("doc"), "text").join(F.broadcast(open_) if size <= BROADCAST_BYTES else open_.hint("merge"), "doc")
+    wanted = docs.select(F.col("doc_id").alias("doc"), "text").join(open_.hint("merge"), "doc")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
