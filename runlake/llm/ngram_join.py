@@ -337,24 +337,28 @@ def join_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
 def _candidates(listed: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): every pair of documents of different components that share a prefix shingle and may be similar enough.
 
-    A prefix shingle that no other component has is shared with none of its documents, so it is lost for the
-    intersection with any of them: that bounds the intersection before pairs are made. Then, of the
-    document whose prefix ends first, all prefix shingles not shared with the other are lost.
+    Of the document whose prefix ends first, a prefix shingle that no other component has in its prefix is lost
+    for the intersection: that bounds it before pairs are made. The other document's prefix says nothing here, as
+    its shingles may lie beyond the first one's prefix. Then all prefix shingles of the first not shared with the
+    other are lost. Rows that repeat a doc_id have several sets, which no bound of one set holds for.
     """
     beyond_prefix = F.ceil(F.col("n") * num / den) - 1  # shingles after the prefix
-    facts = facts.groupBy("doc").agg(F.max("n").alias("n"), F.max("last").alias("last"))
-    room = listed.groupBy("doc").agg(F.count("*").alias("open")).join(facts, "doc").select("doc", "n", "last", beyond_prefix.alias("beyond"), (beyond_prefix + F.col("open")).alias("room"))
+    facts = facts.groupBy("doc").agg(F.max("n").alias("n"), F.max("last").alias("last"), (F.count("*") > 1).alias("several"))
+    room = listed.groupBy("doc").agg(F.count("*").alias("open")).join(facts, "doc").select("doc", "n", "last", "several", beyond_prefix.alias("beyond"), (beyond_prefix + F.col("open")).alias("room"))
     room = room.where(F.col("room") * den >= F.col("n") * num)
     listed = written(listed.join(room, "doc"), "open")
-    one, two = (listed.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("doc", "comp", "n", "last", "beyond", "room"))) for x in "ab")
+    one, two = (listed.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("doc", "comp", "n", "last", "several", "beyond", "room"))) for x in "ab")
 
     def enough(shared):
-        return den * shared >= num * (F.col("n_a") + F.col("n_b") - shared)
+        return F.col("several_a") | F.col("several_b") | (den * shared >= num * (F.col("n_a") + F.col("n_b") - shared))
 
-    least_room = F.least("room_a", "room_b", "n_a", "n_b")
+    def of_first(column):
+        return F.when(F.col("last_a") <= F.col("last_b"), F.col(f"{column}_a")).otherwise(F.col(f"{column}_b"))
+
+    least_room = F.least(of_first("room"), "n_a", "n_b")
     pairs = one.join(two, (one["token"] == two["token"]) & (F.col("doc_a") < F.col("doc_b")) & (F.col("comp_a") != F.col("comp_b")) & enough(least_room))
-    pairs = pairs.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("n_a", "n_b", "last_a", "last_b", "beyond_a", "beyond_b")))
-    most = F.least(F.col("n_a"), F.col("n_b"), F.when(F.col("last_a") <= F.col("last_b"), F.col("beyond_a")).otherwise(F.col("beyond_b")) + F.col("shared"))
+    pairs = pairs.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("n_a", "n_b", "last_a", "last_b", "several_a", "several_b", "beyond_a", "beyond_b")))
+    most = F.least(F.col("n_a"), F.col("n_b"), of_first("beyond") + F.col("shared"))
     return written(pairs.where(enough(most)).select("a", "b"), "candidates")
 
 
