@@ -55,6 +55,12 @@ def chunk_digests(raw: bytes, starts: np.ndarray) -> np.ndarray:
     return np.frombuffer(joined, np.uint64).reshape(-1, 2)
 
 
+def _later(new: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Of places sorted by digest, those that differ from the first of their digest; a repeated row has its own places once more."""
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return (doc != doc[first]) | (start != start[first])
+
+
 class _Slab:
     """Chunks of some documents, of which each digest's first leaves for the exchange."""
 
@@ -76,11 +82,12 @@ class _Slab:
         order = np.lexsort((start, doc, digest[:, 1], digest[:, 0]))
         doc, start, digest = doc[order], start[order], digest[order]
         new = np.append(True, (digest[1:] != digest[:-1]).any(1))
+        later = _later(new, doc, start)
         out: dict[str, list] = {"bucket": [], "doc": [], "start": [], "digest": [], "known": []}
         bucket = (digest[:, 0] % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            first, again = part[new[part]], part[~new[part]]
+            first, again = part[new[part]], part[later[part]]
             out["bucket"].append(int(bucket[part[0]]))
             out["doc"].append(doc[first].tobytes())
             out["start"].append(start[first].astype(np.int32).tobytes())
@@ -96,7 +103,7 @@ def _repeats_in_bucket(frame: pd.DataFrame) -> pd.DataFrame:
     digest = np.concatenate([np.frombuffer(b, np.uint64).reshape(-1, 2) for b in frame["digest"]])
     order = np.lexsort((start, doc, digest[:, 1], digest[:, 0]))
     digest = digest[order]
-    again = order[np.append(False, (digest[1:] == digest[:-1]).all(1))] if len(order) else order
+    again = order[_later(np.append(True, (digest[1:] != digest[:-1]).any(1)), doc[order], start[order])] if len(order) else order
     known = [np.frombuffer(b, np.int64).reshape(2, -1) for b in frame["known"]]
     doc = np.concatenate([doc[again], *(k[0] for k in known)])
     start = np.concatenate([start[again], *(k[1] for k in known)])
