@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,12 @@ N = len(LETTERS) + 2
 INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
 _EDGE = re.compile(r"^[^\w@$€£]+|[^\w@$€£]+$|([$%&#*!?@€£])\1+$")
 _ODD = re.compile(r"[^\W\d_].*[\d_@$!|+€(£#*.\-~^'/\\].*|[\d@$!|+€(£#*].*[^\W\d_]|([^\W\d_])\1\1")
-_APART = re.compile(r"(?<!\S)(?:[^\s.,;:?] ){2,}[^\s.,;:?](?!\S)")
+# single signs with white space between, from a blank, an opening mark or (letters and digits) any mark, up to a blank or mark
+_APART = re.compile(
+    r"""(?<!\w['’\-])(?:(?<![^\s"'(\[{«“‘])[^\s.,;:?]|(?<!\w)(?<!\d[.,])\w)\s+(?:[^\s.,;:?]\s+)+(?:\w(?!\w)(?!['’\-@&/]\w)|[^\s\w.,;:?](?![^\s.,;:?!"')\]}»”’]))"""
+)
+_WHITE = re.compile(r"\s+")
+_TWICE = re.compile(r"(.)\1")
 _THRICE = re.compile(r"(.)\1\1")
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -130,25 +135,29 @@ def char_counts(docs: DataFrame) -> np.ndarray:
     return grid.reshape(-1)
 
 
-def restored_words(word: str, model: CharModel) -> Iterable[str]:
-    """A word in small letters without marks at its ends, decoded where it looks disguised."""
+def restored_words(word: str, model: CharModel, known: Container[str] = ()) -> Iterable[str]:
+    """A word in small letters without marks at its ends, decoded where it looks disguised; letters may be doubled in any word that is not `known`."""
     core = word.strip(".,;:?")
     if core.isalpha() and not _THRICE.search(core):
-        return (core.lower(),)
+        return _undoubled(core.lower(), model, known)
     core = _EDGE.sub("", word)
     if not _LETTER.search(core):
         return ()
     if _ODD.search(core):
         plain = re.split(r"[^\w]+", core.lower())
         return (*model.readings(core), *(p for p in plain if p.isalpha() and len(p) > 3))
-    return (core.lower(),)
+    return _undoubled(core.lower(), model, known) if core.isalpha() else (core.lower(),)
+
+
+def _undoubled(word: str, model: CharModel, known: Container[str]) -> Iterable[str]:
+    return (word, *model.readings(word)) if word not in known and _TWICE.search(word) else (word,)
 
 
 def restore(text: str | None, model: CharModel) -> str:
     """The whole text with disguised words in plain letters; other words stay as they are."""
     if not text:
         return ""
-    joined = _APART.sub(lambda m: model.decode(m[0].replace(" ", ""), apart=True), text)
+    joined = _APART.sub(lambda m: model.decode(_WHITE.sub("", m[0]), apart=True), text)
     return re.sub(r"\S+", lambda m: model.decode(core) if _ODD.search(core := _EDGE.sub("", m[0])) and _LETTER.search(core) else m[0], joined)
 
 
@@ -166,7 +175,7 @@ class Words(dict):
     def __missing__(self, word: str):
         if len(self) >= self.most:
             self.clear()
-        names = [f for w in restored_words(word, self.model) for part in w.split(" ") for f in _beginnings(part)]
+        names = [f for w in restored_words(word, self.model, self.known or ()) for part in w.split(" ") for f in _beginnings(part)]
         known = self.known
         out = self[word] = tuple(names) if known is None else tuple({known[f] for f in names if f in known})
         return out
@@ -177,7 +186,7 @@ class Words(dict):
         for f in set(map(self.__getitem__, set(text.split() if text else ()))):
             out.update(f)
         for m in _APART.finditer(text or ""):
-            for reading in self.model.readings(m[0].replace(" ", ""), apart=True):
+            for reading in self.model.readings(_WHITE.sub("", m[0]), apart=True):
                 for w in reading.split(" "):
                     out.update(self[w])
         return out
