@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_buckets
+from .common import bucketed, n_buckets
 
 #: A cut where the hash has these bits clear: every 16 bytes on average.
 MASK = np.uint32(0b1111 << 12)
@@ -118,7 +118,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     A slab of documents sends each digest once, with its first place there, so a chunk that a third of all
     documents share is a row per slab and no hot group; its other places in the slab are repeats as they are.
     """
-    buckets = n_buckets(docs.sparkSession)
+    buckets = n_buckets(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slab = _Slab(buckets)
@@ -135,7 +135,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
     schema = pa.schema([("bucket", pa.int64()), ("doc", pa.binary()), ("start", pa.binary()), ("digest", pa.binary()), ("known", pa.binary())])
     sent = docs.select("doc_id", "text").mapInArrow(send, "bucket long, doc binary, start binary, digest binary, known binary")
-    return sent.groupBy("bucket").applyInPandas(_repeats_in_bucket, "doc_id long, starts binary")
+    return bucketed(sent, buckets).applyInPandas(_repeats_in_bucket, "doc_id long, starts binary")
 
 
 def dedup_substrings(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:

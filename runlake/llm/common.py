@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 import zlib
 
@@ -25,25 +26,50 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; one is set only where the session names none, as in tests."""
+    """The folder all executors see. A local session without one, as in tests, gets a temporary one; a cluster without one is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="runlake-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="runlake-"))
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, within: str | None = None) -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, and readable after an executor is lost."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    path = f"{within or shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def n_buckets(spark: SparkSession, per_partition: int = 8) -> int:
-    """Buckets of the packed exchanges; they follow the shuffle partitions, which follow the data."""
-    return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
+class Tables:
+    """The written tables of one run, in a folder of their own that goes when its result is written."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        return written(df, what, self.folder)
+
+    def result(self, df: DataFrame, what: str) -> DataFrame:
+        """`df`, written outside the folder; the folder is deleted."""
+        out = written(df, what)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return out
+
+
+def n_buckets(docs: DataFrame, bytes_each: int = 64 << 20, per_partition: int = 8) -> int:
+    """Buckets of a packed exchange of `docs.text`: one for each `bytes_each` of text, but some for each shuffle partition, so that none is large."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    return max(per_partition * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each))
+
+
+def bucketed(sent: DataFrame, buckets: int):
+    """`sent`, grouped by its column `bucket`; partitions follow the number of buckets, so a task holds few of them."""
+    partitions = max(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // 8))
+    return sent.repartition(partitions, "bucket").groupBy("bucket")
 
 
 def needed_only(df: DataFrame, ids: DataFrame, key: str, limit: int = 2_000_000) -> DataFrame:

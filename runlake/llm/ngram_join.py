@@ -1,12 +1,14 @@
 """N-gram Jaccard join with prefixes under several global token orders.
 
 Documents are sets of word shingles. If two sets are similar enough, their prefixes share a shingle under
-every global order of shingles. The first order (rare before frequent, then by hash) finds candidates; a
-candidate must also share prefix shingles under the other orders before its sets are compared exactly.
-
-Links are needed for components, not as a list of all pairs, so work never follows the square of a group:
-lists of the first order are linked as stars, the components found are contracted, and only pairs of
-documents in different components are looked at further. In the end no such candidate is left unverified.
+every global order of shingles. Prefixes under all orders are taken in one pass: those of the first order
+(rare before frequent, then by hash) become postings and find candidates, those of the others are kept as
+fingerprints. A candidate must share a prefix shingle under every order before texts move to be compared.
+
+Links are needed for components, not as a list of all pairs, so work need not follow the square of a group:
+lists of the first order are linked as stars, the components found are contracted, and only documents in
+different components are looked at further. Those meet in their lists only where their places there leave
+room for enough shared shingles. In the end no pair that may be similar enough is left unverified.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, n_buckets, needed_only, shingles, sized, written
+from .common import Tables, WordHashes, bucketed, mix, n_buckets, needed_only, shingles, sized
 from .graph import components
 
 #: Text that shares one packed row of an exchange.
@@ -29,7 +31,7 @@ FLUSH = 8 << 20
 FREQUENT_MOST = 1_000_000
 #: Fewest documents of a frequent shingle.
 FREQUENT_LEAST = 4
-#: Orders of shingles; the first finds candidates.
+#: Orders of shingles; the first finds candidates, the others filter them.
 ORDERS = 3
 #: The first round of stars uses one list in so many.
 STARS = 8
@@ -104,7 +106,7 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(bucket[part[0]]), part
 
 
-def frequent_shingles(docs: DataFrame, width: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, width: int, buckets: int, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, as sorted fingerprints, with the binary logarithm of their counts over all documents.
 
     Every shingle of every distinct set of a slab is counted, by a fingerprint of 24 bits within its bucket;
@@ -128,8 +130,8 @@ def frequent_shingles(docs: DataFrame, width: int, buckets: int) -> tuple[np.nda
         parts = [(bucket, int(v), int((level == v).sum()), prints[some][level == v].astype("<u4").tobytes()) for v in np.unique(level)]
         return pd.DataFrame(parts, columns=["bucket", "level", "n", "prints"])
 
-    counted = docs.mapInArrow(send, "bucket long, prints binary").groupBy("bucket").applyInPandas(count, "bucket long, level int, n long, prints binary")
-    counted = written(counted, "frequent")
+    counted = bucketed(docs.mapInArrow(send, "bucket long, prints binary"), buckets).applyInPandas(count, "bucket long, level int, n long, prints binary")
+    counted = tables.written(counted, "frequent")
     room, least = FREQUENT_MOST, 64
     for r in sorted(counted.groupBy("level").agg(F.sum("n").alias("n")).collect(), reverse=True):
         if r.n > room:
@@ -154,22 +156,32 @@ def _levels(s: np.ndarray, buckets: int, keys: np.ndarray, levels: np.ndarray) -
 
 
 def _rank_keys(s: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """Places of shingles in the first global order: rarer levels first, then by hash."""
-    return (level << np.uint64(58)) | (mix(s, 0) >> np.uint64(6))
+    """Places of shingles in the first global order: rarer levels first, then by hash. They fit a signed number."""
+    return (level << np.uint64(57)) | (mix(s, 0) >> np.uint64(7))
 
 
 POSTING, STAR, DOC, LINK = 0, 1, 2, 3
 
 
+def _prefixes(s: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """A set's prefixes under each order but the first, as places; these are orders by hash."""
+    if not len(s):
+        return [s] * (ORDERS - 1)
+    size = prefix_size(len(s), num, den)
+    return [np.partition(mix(s, order), size - 1)[:size] for order in range(1, ORDERS)]
+
+
 def _index(docs: DataFrame, width: int, num: int, den: int, buckets: int, frequent) -> DataFrame:
-    """One table (kind, x, y, z): postings (shingle, doc) of prefix shingles that two documents share, candidate
-    stars (a, b, shared lists), documents (doc, size, last prefix place) and links of equal sets (a, b)."""
+    """One table (kind, x, y, z, prints): postings (shingle, doc) of prefix shingles that two documents share, candidate
+    stars (a, b, shared lists), documents (doc, size, last prefix place, 16-bit fingerprints of the other prefixes) and
+    links of equal sets (a, b)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, levels = frequent.value
         for slab in _slabs(batches, width):
             last = {}
-            rows: dict[str, list] = {k: [] for k in ("bucket", "base", "wide", "prints", "docs", "shared", "known_prints", "known_docs", "facts")}
+            rows: dict[str, list] = {k: [] for k in ("bucket", "base", "wide", "prints", "docs", "shared", "known_prints", "known_docs", "facts", "others")}
+            others = b""
             facts = [(LINK, a, b, 0) for a, b in slab.links]
             if slab.sets:
                 slab.by_doc()
@@ -180,7 +192,8 @@ def _index(docs: DataFrame, width: int, num: int, den: int, buckets: int, freque
                 ends = starts + n
                 chosen = np.concatenate([a + np.argpartition(place[a:b], k - 1)[:k] for a, b, k in zip(starts.tolist(), ends.tolist(), size.tolist(), strict=True)])
                 cuts = np.cumsum(size) - size
-                last = dict(zip(slab.docs, (np.maximum.reduceat(place[chosen], cuts) >> np.uint64(1)).astype(np.int64).tolist(), strict=True))
+                last = dict(zip(slab.docs, np.maximum.reduceat(place[chosen], cuts).astype(np.int64).tolist(), strict=True))
+                others = b"".join([p.astype("<u2").tobytes() for one in slab.sets for p in _prefixes(one, num, den)])
                 ids, doc = mix(s[chosen], 7), np.repeat(np.array(slab.docs, np.int64), size)
                 bucket, prints = (ids % np.uint64(buckets)).astype(np.int64), ids >> np.uint64(24)
                 # documents ascend already, so a stable sort by shingle is enough
@@ -210,7 +223,10 @@ def _index(docs: DataFrame, width: int, num: int, den: int, buckets: int, freque
                     rows["known_docs"].append((doc[more] - base).astype(kind).tobytes())
                     rows["wide"].append(kind is np.int64)
                     rows["facts"].append(b"")
-            facts += [(DOC, doc, size, last.get(doc, -1)) for doc, size in slab.sizes]
+                    rows["others"].append(b"")
+            # documents with fingerprints first, in the fingerprints' order
+            size_of = dict(slab.sizes)
+            facts = [(DOC, doc, size_of[doc], last[doc]) for doc in slab.docs] + facts + [(DOC, doc, size, -1) for doc, size in slab.sizes if doc not in last]
             # facts ride along in a bucket of their own choice
             rows["bucket"].append(slab.sizes[0][0] % buckets)
             for k in ("prints", "docs", "shared", "known_prints", "known_docs"):
@@ -218,6 +234,7 @@ def _index(docs: DataFrame, width: int, num: int, den: int, buckets: int, freque
             rows["base"].append(0)
             rows["wide"].append(False)
             rows["facts"].append(np.array(facts, np.int64).tobytes())
+            rows["others"].append(others)
             yield pa.RecordBatch.from_pydict(rows, schema)
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
@@ -232,6 +249,11 @@ def _index(docs: DataFrame, width: int, num: int, den: int, buckets: int, freque
         order = np.lexsort((doc, prints))
         prints, doc, shared = prints[order], doc[order], shared[order]
         out = [np.frombuffer(b"".join(frame["facts"]), np.int64).reshape(-1, 4)]
+        fingerprints = []
+        for facts, others in zip(frame["facts"], frame["others"], strict=True):
+            ends = 2 * (ORDERS - 1) * np.cumsum([prefix_size(n, num, den) for kind, _, n, last in np.frombuffer(facts, np.int64).reshape(-1, 4).tolist() if kind == DOC and last >= 0])
+            fingerprints += [others[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+            fingerprints += [None] * (len(facts) // 32 - len(ends))
         if len(doc):
             new = np.append(True, prints[1:] != prints[:-1])
             of_list = np.cumsum(new) - 1
@@ -242,39 +264,52 @@ def _index(docs: DataFrame, width: int, num: int, den: int, buckets: int, freque
             more, docs_ = _from_low_bytes(b"".join(frame["known_prints"]), 5), numbers("known_docs")
             all_prints, all_docs = np.append(prints[keep], more).astype(np.int64), np.append(doc[keep], docs_)
             out.append(np.stack((np.full(len(all_docs), POSTING), (bucket << 40) | all_prints, all_docs, np.zeros(len(all_docs), np.int64)), 1))
-        return pd.DataFrame(np.concatenate(out), columns=["kind", "x", "y", "z"])
+        out = pd.DataFrame(np.concatenate(out), columns=["kind", "x", "y", "z"])
+        return out.assign(prints=pd.Series(fingerprints + [None] * (len(out) - len(fingerprints)), dtype=object))
+
+    schema = pa.schema([("bucket", pa.int64()), ("base", pa.int64()), ("wide", pa.bool_()), *((k, pa.binary()) for k in ("prints", "docs", "shared", "known_prints", "known_docs", "facts", "others"))])
+    sent = docs.mapInArrow(send, "bucket long, base long, wide boolean, prints binary, docs binary, shared binary, known_prints binary, known_docs binary, facts binary, others binary")
+    return bucketed(sent, buckets).applyInPandas(merge, "kind long, x long, y long, z long, prints binary")
 
-    schema = pa.schema([("bucket", pa.int64()), ("base", pa.int64()), ("wide", pa.bool_()), *((k, pa.binary()) for k in ("prints", "docs", "shared", "known_prints", "known_docs", "facts"))])
-    sent = docs.mapInArrow(send, "bucket long, base long, wide boolean, prints binary, docs binary, shared binary, known_prints binary, known_docs binary, facts binary")
-    return written(sent.groupBy("bucket").applyInPandas(merge, "kind long, x long, y long, z long"), "index")
 
+def _filtered(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prefixes share a fingerprint under every order but the first, which they share a shingle under already."""
+    ids = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    prints = needed_only(facts.select("doc", "prints"), ids, "doc")
+    both = pairs.join(prints.select(F.col("doc").alias("a"), F.col("prints").alias("prints_a")), "a").join(prints.select(F.col("doc").alias("b"), F.col("prints").alias("prints_b")), "b")
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for mine, theirs in zip(batch.column("prints_a").to_pylist(), batch.column("prints_b").to_pylist(), strict=True):
+                orders = (np.frombuffer(b, "<u2").reshape(ORDERS - 1, -1) for b in (mine, theirs))
+                keep.append(all(np.isin(p, q).any() for p, q in zip(*orders, strict=True)))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return both.select("a", "b", "prints_a", "prints_b").mapInArrow(check, "a long, b long")
+
+
+def _verified(docs: DataFrame, facts: DataFrame, pairs: DataFrame, width: int, num: int, den: int, tables: Tables) -> DataFrame:
     """The pairs (a, b) that are similar enough. Texts meet in a join that Spark can split where one document has many partners."""
+    pairs = tables.written(_filtered(pairs, facts), "filtered")
     texts = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     other = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    n = pairs.count()
-    right = other.join(F.broadcast(pairs) if n <= 500_000 else pairs.hint("merge"), "b")
+    # 500,000 pairs are 8 MB
+    right = other.join(F.broadcast(pairs) if pairs.count() <= 500_000 else pairs.hint("merge"), "b")
     left = needed_only(texts, pairs.select("a").distinct(), "a")
     both = right.join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        last, mine, own = None, None, None
+        last, mine = None, None
         for batch in batches:
             found = []
             for a, b, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if (a, text_a) != last:
-                    last, mine = (a, text_a), shingles(text_a, words, width)
-                    own = _prefixes(mine, num, den)
+                if a != last:
+                    last, mine = a, shingles(text_a, words, width)
                 theirs = shingles(text_b, words, width)
-                least, most = sorted((len(mine), len(theirs)))
-                if least == 0 or den * least < num * most:
-                    continue
-                if any(not np.isin(p, q, assume_unique=True).any() for p, q in zip(own, _prefixes(theirs, num, den), strict=True)):
-                    continue
                 same = len(np.intersect1d(mine, theirs, assume_unique=True))
-                if den * same >= num * (len(mine) + len(theirs) - same):
+                if same and den * same >= num * (len(mine) + len(theirs) - same):
                     found.append((a, b))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
@@ -282,84 +317,86 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int)
     return both.mapInArrow(compare, "a long, b long")
 
 
-def _prefixes(s: np.ndarray, num: int, den: int) -> list[np.ndarray]:
-    """A set's prefixes under the orders that are not used to find candidates: hashes of their own, without frequencies."""
-    if not len(s):
-        return [s] * (ORDERS - 1)
-    size = prefix_size(len(s), num, den)
-    return [s[np.argpartition(mix(s, order), size - 1)[:size]] for order in range(1, ORDERS)]
+def _own_ids(docs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame | None]:
+    """`docs` with an id for every row, and (doc_id, node) of the rows that share their doc_id and so got one above all others."""
+    shared = tables.written(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again")), "repeated")
+    if shared.isEmpty():
+        return docs, None
+    top = docs.agg(F.max("doc_id").alias("top")).first().top
+    node = F.when(F.col("again"), F.monotonically_increasing_id() + (top + 1)).otherwise(F.col("doc_id"))
+    rows = tables.written(docs.join(sized(shared), "doc_id", "left").select("doc_id", node.alias("node"), "again", "text"), "rows")
+    return rows.select(F.col("node").alias("doc_id"), "text"), rows.where("again").select("doc_id", "node")
 
 
 def join_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of `docs` (doc_id, text): components of Jaccard links of at least num/den.
 
     Null and empty texts have no shingles and are linked with nothing; a text of fewer words than `width` is
-    one shingle. Equal sets are linked. Rows that repeat a doc_id are one document: it has the links of all
-    its texts, each row its own number of shingles. Rows without a doc_id are left out.
+    one shingle. Equal sets are linked. Rows that repeat a doc_id are one document: each row is a set of its own
+    while links are sought, and the document has the links of all of them; each row has its own number of
+    shingles. Rows without a doc_id are left out.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    buckets = n_buckets(spark)
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, width, buckets))
+    tables = Tables(spark, "ngram")
+    docs, again = _own_ids(docs.select(F.col("doc_id").cast("long"), "text"), tables)
+    buckets = n_buckets(docs)
+    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, width, buckets, tables))
     measure = (width, num, den)
-    index = _index(docs, *measure, buckets, frequent)
+    index = tables.written(_index(docs, *measure, buckets, frequent), "index")
     postings = index.where(F.col("kind") == POSTING).select(F.col("x").alias("token"), F.col("y").alias("doc"))
-    facts = index.where(F.col("kind") == DOC).select(F.col("x").alias("doc"), F.col("y").alias("n"), F.col("z").alias("last"))
+    facts = index.where(F.col("kind") == DOC).select(F.col("x").alias("doc"), F.col("y").alias("n"), F.col("z").alias("last"), "prints")
     links = index.where(F.col("kind") == LINK).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if again is not None:
+        links = links.unionByName(again.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
 
     # each document against the head of the lists it shares most
     stars = index.where((F.col("kind") == STAR) & (F.col("x") != F.col("y"))).groupBy("x", "y").agg(F.sum("z").alias("z"))
     best = stars.groupBy("y").agg(F.max_by("x", F.struct("z", (-F.col("x")).alias("x"))).alias("a")).select("a", F.col("y").alias("b"))
-    tried = written(best, "tried")
-    links = written(links.unionByName(_verified(docs, tried, *measure)), "links")
+    tried = tables.written(best, "tried")
+    links = tables.written(links.unionByName(_verified(docs, facts, tried, *measure, tables)), "links")
 
     # components against each other: one pair for each component and list with a larger component in it
-    comps = written(components(links), "comps")
+    comps = tables.written(components(links, tables), "comps")
     groups = _open_lists(postings, comps).groupBy("token", "comp").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
     heads = groups.groupBy("token").agg(F.max(F.struct("n", "comp", "doc")).alias("head")).where(F.col("head.n") > 1)
     pairs = groups.join(heads, "token").where(F.col("comp") != F.col("head.comp"))
     pairs = pairs.select(F.least("doc", "head.doc").alias("a"), F.greatest("doc", "head.doc").alias("b")).distinct()
-    pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    tried = written(tried.unionByName(pairs), "tried")
-    links = written(links.unionByName(_verified(docs, pairs, *measure)), "links")
+    pairs = tables.written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    tried = tables.written(tried.unionByName(pairs), "tried")
+    links = tables.written(links.unionByName(_verified(docs, facts, pairs, *measure, tables)), "links")
 
     # all that is left: every pair of documents in different components that may still be similar enough
-    comps = written(components(links), "comps")
-    pairs = written(_candidates(_open_lists(postings, comps), facts, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
+    comps = tables.written(components(links, tables), "comps")
+    pairs = tables.written(candidates(_open_lists(postings, comps), facts, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
-        links = written(links.unionByName(_verified(docs, pairs, *measure)), "links")
-        comps = components(links)
-    sizes = facts.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"))
-    out = sizes.join(comps.select(F.col("doc").alias("doc_id"), "comp"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+        links = tables.written(links.unionByName(_verified(docs, facts, pairs, *measure, tables)), "links")
+        comps = components(links, tables)
+    out = facts.select("doc", F.col("n").alias("n_shingles")).join(comps, "doc", "left")
+    if again is not None:
+        out = out.join(again, out["doc"] == again["node"], "left")
+    name = F.coalesce("doc_id", "doc") if again is not None else F.col("doc")
+    return tables.result(out.select(name.alias("doc_id"), "n_shingles", F.coalesce("comp", name).alias("component_id")), "near")
 
 
-def _candidates(listed: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+def candidates(listed: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): every pair of documents of different components that share a prefix shingle and may be similar enough.
 
-    Of the document whose prefix ends first, a prefix shingle that no other component has in its prefix is lost
-    for the intersection: that bounds it before pairs are made. The other document's prefix says nothing here, as
-    its shingles may lie beyond the first one's prefix. Then all prefix shingles of the first not shared with the
-    other are lost. Rows that repeat a doc_id have several sets, which no bound of one set holds for.
+    `listed` (token, doc, comp) holds the lists with more than one component. All prefix shingles are put in one
+    more order: those in no such list first, then by the length of their lists. Take of a pair the document whose
+    prefix ends first: its prefix shingles are shared with the other's prefix or not at all. Of those none is
+    shared before the first list the two have in common, so its place there bounds the intersection. A row is
+    made only where that bound suffices, so members of a group whose own shingles come first meet hardly ever.
     """
-    beyond_prefix = F.ceil(F.col("n") * num / den) - 1  # shingles after the prefix
-    facts = facts.groupBy("doc").agg(F.max("n").alias("n"), F.max("last").alias("last"), (F.count("*") > 1).alias("several"))
-    room = listed.groupBy("doc").agg(F.count("*").alias("open")).join(facts, "doc").select("doc", "n", "last", "several", beyond_prefix.alias("beyond"), (beyond_prefix + F.col("open")).alias("room"))
-    room = room.where(F.col("room") * den >= F.col("n") * num)
-    listed = written(listed.join(room, "doc"), "open")
-    one, two = (listed.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("doc", "comp", "n", "last", "several", "beyond", "room"))) for x in "ab")
-
-    def enough(shared):
-        return F.col("several_a") | F.col("several_b") | (den * shared >= num * (F.col("n_a") + F.col("n_b") - shared))
-
-    def of_first(column):
-        return F.when(F.col("last_a") <= F.col("last_b"), F.col(f"{column}_a")).otherwise(F.col(f"{column}_b"))
-
-    least_room = F.least(of_first("room"), "n_a", "n_b")
-    pairs = one.join(two, (one["token"] == two["token"]) & (F.col("doc_a") < F.col("doc_b")) & (F.col("comp_a") != F.col("comp_b")) & enough(least_room))
-    pairs = pairs.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("n_a", "n_b", "last_a", "last_b", "several_a", "several_b", "beyond_a", "beyond_b")))
-    most = F.least(F.col("n_a"), F.col("n_b"), of_first("beyond") + F.col("shared"))
-    return written(pairs.where(enough(most)).select("a", "b"), "candidates")
+    lists = listed.groupBy("token").agg(F.count("*").alias("length"))
+    sizes = facts.select("doc", "n", "last", (F.col("n") - F.ceil(F.col("n") * num / den) + 1).alias("prefix"))
+    in_doc = Window.partitionBy("doc")
+    rows = listed.join(lists, "token").join(sizes, "doc").withColumn("place", F.row_number().over(in_doc.orderBy("length", "token")) + F.col("prefix") - F.count("*").over(in_doc))
+    rows = rows.select("token", "doc", "comp", "n", "last", (F.col("n") - F.col("place") + 1).alias("room"))
+    one, two = (rows.select("token", *(F.col(c).alias(f"{c}_{x}") for c in rows.columns[1:])) for x in "ab")
+    shared = F.least("room_a", "n_a", "n_b")
+    first = (F.col("last_a") < F.col("last_b")) | ((F.col("last_a") == F.col("last_b")) & (F.col("doc_a") < F.col("doc_b")))
+    pairs = one.join(two, (one["token"] == two["token"]) & (F.col("comp_a") != F.col("comp_b")) & first & (den * shared >= num * (F.col("n_a") + F.col("n_b") - shared)))
+    return pairs.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
 
 
 def _open_lists(postings: DataFrame, comps: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, n_buckets, written
+from .common import bucketed, mix, n_buckets, written
 
 LENGTH = 100
 GRAM = 20
@@ -175,7 +175,7 @@ def _first_pass(docs: DataFrame, buckets: int, length: int) -> DataFrame:
 
     schema = pa.schema([("bucket", pa.int64()), ("rows", pa.binary()), ("doc", pa.int64()), ("spans", pa.binary())])
     sent = docs.select("doc_id", "text").mapInArrow(send, "bucket long, rows binary, doc long, spans binary")
-    return written(sent.groupBy("bucket").applyInPandas(merge, "doc long, spans binary, open binary"), "segments")
+    return written(bucketed(sent, buckets).applyInPandas(merge, "doc long, spans binary, open binary"), "segments")
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -275,12 +275,12 @@ def _second_pass(docs: DataFrame, facts: DataFrame, buckets: int, length: int) -
 
     schema = pa.schema([("bucket", pa.int64()), ("doc", pa.int64()), ("gram", pa.int64()), ("low", pa.int64()), ("windows", pa.int64()), ("text", pa.binary()), ("digests", pa.binary())])
     sent = wanted.mapInArrow(send, "bucket long, doc long, gram long, low long, windows long, text binary, digests binary")
-    return sent.groupBy("bucket").applyInPandas(compare, "doc long, spans binary")
+    return bucketed(sent, buckets).applyInPandas(compare, "doc long, spans binary")
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, spans): packed spans of bytes, several rows a document, that an earlier equal string of `length` bytes covers."""
-    buckets = n_buckets(docs.sparkSession)
+    buckets = n_buckets(docs)
     facts = _first_pass(docs, buckets, length)
     known = facts.where(F.length("spans") > 0).select("doc", "spans")
     return known.unionByName(_second_pass(docs, facts, buckets, length)).withColumnRenamed("doc", "doc_id")
