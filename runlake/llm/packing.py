@@ -31,14 +31,14 @@ ISLANDS, ROUNDS, POPULATION, OFFSPRING = 2, 2, 4, 6
 def pieces_of(docs: DataFrame, tokenizer_json: str, pattern: str | None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the ids of every whole text and the end id, cut where longer than `capacity`. A null text is empty."""
     shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json, pattern))
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = TokenIds(*shared.value)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                all_ids = ids(text) + end
+            for doc, own in zip(batch.column("doc_id").to_pylist(), ids.batch(batch.column("text")), strict=True):
+                all_ids = np.append(own, end).tobytes()
                 for n, at in enumerate(range(0, len(all_ids), 4 * capacity)):
                     part = all_ids[at : at + 4 * capacity]
                     rows.append((doc, n, at // 4, len(part) // 4, zlib.crc32(part)))

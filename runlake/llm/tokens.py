@@ -1,14 +1,17 @@
-"""Token ids of whole texts, word by word: a word's ids are looked up once and joined."""
+"""Token ids of whole texts: the ids of a batch's distinct words are looked up once and gathered."""
 
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-_WHITE = re.compile(r"[ \t\n\r\x0b\x0c]+")
+_WHITE = r"[ \t\n\r\x0b\x0c]+"
 #: Signs whose small letters, composition and classes the shortcut treats as the tokenizer does.
 _PLAIN = re.compile(r"[\x00-ɏ]*")
 
@@ -22,11 +25,12 @@ class TokenIds:
     """Little-endian unsigned 32-bit ids of texts.
 
     Pre-tokenizing never joins what white space parts, so ids of a text are those of its words, one after
-    another. If the file is a lower-casing word tokenizer with one split pattern, words are parted further
-    by that pattern, so that most are found among known pieces. Both memories are emptied when full.
+    another. The distinct words of a batch are found in Arrow, each is looked up once, and the ids of the texts
+    are gathered by place. If the file is a lower-casing word tokenizer with one split pattern, words are parted
+    further by that pattern, so that most are found among known pieces. Both memories are emptied when full.
     """
 
-    def __init__(self, tokenizer_json: str, pattern: str | None = None, most: int = 400_000):
+    def __init__(self, tokenizer_json: str, pattern: str | None = None, most: int = 600_000):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.pattern, self.most = regex.compile(pattern) if pattern else None, most
         self.words: dict[str, bytes] = {}
@@ -35,28 +39,39 @@ class TokenIds:
     def _encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _part(self, part: str) -> bytes:
+        if len(self.parts) >= self.most:
+            self.parts.clear()
+        # all other steps of the tokenizer are done by now: what is left is the merges
+        signs = part if part.isascii() and part.isprintable() else "".join(map(_SIGNS.__getitem__, part.encode()))
+        found = [t.id for t in self.tokenizer.model.tokenize(signs)]
+        ids = self.parts[part] = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
     def _word(self, word: str) -> bytes:
-        if len(self.words) >= self.most:
+        if self.pattern is None or not (word.isascii() or _PLAIN.fullmatch(word)) or "<|" in word:
+            return self._encoded(word)
+        known, new = self.parts.get, self._part
+        return b"".join([known(part) or new(part) for part in self.pattern.findall(word.lower())])
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of an array of strings; none for null."""
+        split = pc.split_pattern_regex(texts.fill_null(""), _WHITE)
+        coded = split.flatten().dictionary_encode()
+        names, codes, known = coded.dictionary.to_pylist(), coded.indices.to_numpy(), self.words.get
+        ids = [known(w) for w in names]
+        missed = [i for i, found in enumerate(ids) if found is None]
+        if len(self.words) + len(missed) > self.most:
             self.words.clear()
-        if self.pattern is None or "<|" in word or not _PLAIN.fullmatch(word):
-            out = self._encoded(word)
-        else:
-            found = []
-            for part in self.pattern.findall(word.lower()):
-                ids = self.parts.get(part)
-                if ids is None:
-                    if len(self.parts) >= self.most:
-                        self.parts.clear()
-                    # all other steps of the tokenizer are done by now: what is left is the merges
-                    signs = "".join(map(_SIGNS.__getitem__, part.encode()))
-                    ids = self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(signs)], "<u4").tobytes()
-                found.append(ids)
-            out = b"".join(found)
-        self.words[word] = out
-        return out
+        for i in missed:
+            ids[i] = self.words[names[i]] = self._word(names[i])
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start = np.cumsum(size) - size
+        n = size[codes]
+        ends = np.cumsum(n)
+        out = np.frombuffer(b"".join(ids), "<u4")[np.repeat(start[codes] - ends + n, n) + np.arange(n.sum())]
+        cuts = np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [out[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        known, slow = self.words.get, self._word
-        return b"".join([known(w) or slow(w) for w in _WHITE.split(text) if w])
+        return self.batch(pa.array([text], pa.string()))[0].tobytes()
