@@ -29,6 +29,8 @@ GRAM = 20
 HOT = 2000
 #: Bytes of text that share one packed row of an exchange; bytes of a text searched at a time.
 FLUSH, BLOCK = 6 << 20, 8 << 20
+#: Bytes of segments whose suffixes are sorted at a time.
+SORTED = 4 << 20
 
 _VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _FACTOR = 0x9E3779B97F4A7C15
@@ -189,33 +191,60 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return low
 
 
-def maximal_repeats(texts: list[bytes], windows: list[int], least: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(length, occurrences (text, place)) of the maximal repeats of at least `least` bytes among suffixes of `texts`.
-
-    `windows` is the number of places of each text, from 0 on, whose suffixes count. Suffixes are sorted, and a
-    stack over their longest common prefixes yields each interval with its prefix length; an interval is
-    reported if its occurrences have different bytes on their left, the start of a text being like no other.
-    """
-    suffixes = sorted((text[at:], i, at) for i, text in enumerate(texts) for at in range(windows[i]))
-
-    def closed(length: int, left: int, right: int) -> tuple[int, list[tuple[int, int]]] | None:
-        places = [(i, at) for _, i, at in suffixes[left : right + 1]]
-        before = {texts[i][at - 1] if at else (-1, i) for i, at in places}
-        return (length, places) if len(before) > 1 or any(at == 0 for _, at in places) else None
-
+def _intervals(suffixes: list[tuple[bytes, object]], least: int) -> Iterator[tuple[int, int, int]]:
+    """(length, first, last) of every interval of sorted suffixes with a common prefix of at least `least` bytes, by a stack."""
     stack: list[tuple[int, int]] = []
-    for right in range(len(suffixes)):
-        here, then = suffixes[right][0], suffixes[right + 1][0] if right + 1 < len(suffixes) else b""
-        lcp = common_prefix(here, then) if here[:least] == then[:least] and len(here) >= least and len(then) >= least else 0
-        left = right
+    for right, (here, _) in enumerate(suffixes):
+        lcp = common_prefix(here, suffixes[right + 1][0]) if right + 1 < len(suffixes) else 0
+        lcp, left = lcp if lcp >= least else 0, right
         while stack and stack[-1][0] > lcp:
             length, left = stack.pop()
-            if found := closed(length, left, right):
-                yield found
+            yield length, left, right
         if lcp and (not stack or stack[-1][0] < lcp):
             stack.append((lcp, left))
 
 
+def maximal_repeats(texts: list[bytes], windows: list[int], least: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(length, occurrences (text, place)) of the maximal repeats of at least `least` bytes among suffixes of `texts`.
+
+    `windows` is the number of places of each text, from 0 on, whose suffixes count. The suffix array is sorted in
+    two steps. By a hash of their first `least` bytes, for all suffixes at once: what shares that prefix becomes
+    adjacent, and shorter repeats are not wanted. Then within such a run by what follows. A stack over the longest
+    common prefixes of a run yields the tree of its intervals; an interval is reported if its occurrences have
+    different bytes on their left, the start of a text being like no other. A run whose bytes on the left are all
+    the same holds no such interval.
+    """
+    size = np.array([len(t) for t in texts], np.int64)
+    counted = np.clip(np.minimum(np.array(windows, np.int64), size - least + 1), 0, None)
+    if not counted.sum():
+        return
+    start = np.cumsum(size) - size
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    text = np.repeat(np.arange(len(texts)), counted)
+    at = np.arange(len(text)) - np.repeat(np.cumsum(counted) - counted, counted)
+    place = start[text] + at
+    prefix = grams(raw, least)[place]
+    order = np.argsort(prefix)
+    prefix = prefix[order]
+    run = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
+    length = np.diff(np.append(run, len(prefix)))
+    run, length = run[length > 1], length[length > 1]
+    if not len(run):
+        return
+    # the suffixes of these runs, one after another
+    shared = order[np.repeat(run - np.cumsum(length) + length, length) + np.arange(length.sum())]
+    head = np.cumsum(length) - length
+    left = np.where(at[shared] > 0, raw[place[shared] - 1].astype(np.int64), 256 + np.arange(len(shared)))
+    diverse = np.minimum.reduceat(left, head) != np.maximum.reduceat(left, head)
+    text, at, left = text[shared].tolist(), at[shared].tolist(), left.tolist()
+    for a, n in zip(head[diverse].tolist(), length[diverse].tolist(), strict=True):
+        suffixes = sorted((texts[text[i]][at[i] :], i) for i in range(a, a + n))
+        for common, first, last in _intervals(suffixes, least):
+            own = [i for _, i in suffixes[first : last + 1]]
+            if len({left[i] for i in own}) > 1:
+                yield common, [(text[i], at[i]) for i in own]
+
+
 def _second_pass(docs: DataFrame, facts: DataFrame, buckets: int, length: int) -> DataFrame:
     """(doc, spans) found among the open segments."""
     open_ = facts.where(F.length("open") > 0).groupBy("doc").agg(F.collect_list("open").alias("open"))
@@ -231,7 +260,7 @@ def _second_pass(docs: DataFrame, facts: DataFrame, buckets: int, length: int) -
                     out[k].append(row.get(k, 0 if k == "doc" else None))
 
             for doc, text, packed in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "open")), strict=True):
-                raw = text.encode()
+                raw = text.encode() if text else b""
                 rows = np.frombuffer(b"".join(packed), OPEN)
                 for gram, low, high, hot in rows.tolist():
                     if hot:
@@ -262,14 +291,22 @@ def _second_pass(docs: DataFrame, facts: DataFrame, buckets: int, length: int) -
             same = rows[_repeated(rows)[1]]
             out += list(_per_doc(same["doc"], _spans(same["low"], same["high"], length)))
         texts = frame[frame["gram"].notna()].sort_values("gram")
-        for _, group in texts.groupby("gram", sort=False):
-            doc, low, own = group["doc"].astype("int64").tolist(), group["low"].astype("int64").tolist(), group["text"].tolist()
-            for size, places in maximal_repeats(own, group["windows"].astype("int64").tolist(), length):
-                where = [(doc[i], low[i] + at) for i, at in places]
-                first = min(where)
-                for d, start in where:
+        gram, doc, low, windows = (texts[c].to_numpy(np.int64) for c in ("gram", "doc", "low", "windows"))
+        own = texts["text"].to_numpy(object)
+        # some anchors at a time, none of them in parts
+        ends = np.append(np.flatnonzero(np.diff(gram)) + 1, len(gram)) if len(gram) else []
+        done, filled = 0, np.cumsum([len(t) for t in own])
+        for end in ends:
+            if end < len(own) and filled[end - 1] - (filled[done - 1] if done else 0) < SORTED:
+                continue
+            where = list(zip(doc[done:end].tolist(), low[done:end].tolist(), strict=True))
+            for size, places in maximal_repeats(list(own[done:end]), windows[done:end], length):
+                places = [(where[i][0], where[i][1] + at) for i, at in places]
+                first = min(places)
+                for d, start in places:
                     if (d, start) != first:
                         found.setdefault(d, []).append((start, start + size))
+            done = end
         out += [(d, np.array(sorted(set(spans)), SPAN).tobytes()) for d, spans in found.items()]
         return pd.DataFrame(out, columns=["doc", "spans"])
 
