@@ -16,14 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 #: Words of a passage.
 PASSAGE = 64
 #: Character-pair features, besides the shape features.
 HASHED = 64
 #: The classifier is fitted on at most this many labelled rows: those with the smallest hash of their id.
 FIT_ROWS = 3000
-#: Passages of one fitted document that training uses, evenly spaced over its whole text; scoring uses all.
-FIT_PASSAGES = 48
+#: And on at most this many passages in all: rows are left out beyond that, never parts of a row.
+FIT_PASSAGES = 200_000
 
 #: Kinds of bytes: small letters, capitals, digits, stops, other marks, line ends, spaces, parts of non-ASCII letters.
 _KINDS = 8
@@ -109,7 +111,6 @@ class Attention:
 def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 30, seed: int = 7) -> Attention:
     """Adam on the cross entropy of documents, with the rarer label weighted up to the square root of its odds."""
     rng = np.random.default_rng(seed)
-    bags = [b[np.unique(np.linspace(0, len(b) - 1, FIT_PASSAGES).astype(int))] if len(b) > FIT_PASSAGES else b for b in bags]
     every = np.concatenate(bags).astype(np.float64)
     dims = every.shape[1]
     shapes = {"E": (dims, hidden), "e": (hidden,), "V": (hidden, gate), "U": (hidden, gate), "w": (gate,), "c": (hidden,), "c0": (1,)}
@@ -131,11 +132,11 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int
     return net
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, rows: int) -> list:
-    """At most `rows` (text, y) of documents whose label may be learned from, those with the smallest hash of doc_id. Repeated label rows count once."""
+def fit_sample(docs: DataFrame, labels: DataFrame, label: str, allowed, rows: int) -> DataFrame:
+    """(doc_id, text, y) of at most `rows` documents whose label may be learned from, those with the smallest hash of doc_id. Repeated label rows count once."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & allowed).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
 
 
 def score(docs: DataFrame, net: Attention) -> DataFrame:
@@ -152,15 +153,32 @@ def score(docs: DataFrame, net: Attention) -> DataFrame:
     return docs.mapInArrow(scores, kept)
 
 
-def classifier(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", rows: int = FIT_ROWS) -> Attention | None:
-    """The fitted network; None where no labelled row may be learned from."""
-    found = sorted(fit_sample(docs, labels, label, allowed, rows))
-    if not found:
-        return None
-    return fit([encode(r.text) for r in found], np.array([r.y for r in found], np.float64))
+def encoded(sample: DataFrame) -> DataFrame:
+    """(doc_id, y, n, passages) of `sample` (doc_id, text, y): every passage of every row encoded on the executors, as 32-bit numbers."""
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [encode(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([len(b) for b in own], pa.int64()), pa.array([b.tobytes() for b in own], pa.binary())], ["doc_id", "y", "n", "passages"])
 
+    return written(sample.select(F.col("doc_id").cast("long"), "text", F.col("y").cast("int")).mapInArrow(bags, "doc_id long, y int, n long, passages binary"), "bags")
 
 
+def classifier(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", rows: int = FIT_ROWS, passages: int = FIT_PASSAGES) -> Attention | None:
+    """The network fitted on all passages of the sampled rows; None where no labelled row may be learned from.
+
+    The driver gets features, not texts: of the rows in the order of their hash as many as hold `passages` in
+    all, the first in any case.
+    """
+    bags = encoded(fit_sample(docs, labels, label, allowed, rows))
+    sizes = bags.groupBy("doc_id").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # `rows` at most
+    if not sizes:
+        return None
+    some = max(1, int(np.searchsorted(np.cumsum([r.n for r in sizes]), passages, "right")))
+    chosen = docs.sparkSession.createDataFrame([(r.doc_id,) for r in sizes[:some]], "doc_id long")
+    found = sorted((r.doc_id, r.y, bytes(r.passages)) for r in bags.join(F.broadcast(chosen), "doc_id").collect())
+    return fit([np.frombuffer(b, np.float32).reshape(-1, _KINDS + 7 + HASHED) for _, _, b in found], np.array([y for _, y, _ in found], np.float64))
+
 
 def with_scores(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality") -> DataFrame:
     """All columns of `docs`, which may have any names, and `__score`; 0.5 where there are no labels to learn from."""

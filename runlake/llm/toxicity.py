@@ -9,7 +9,6 @@ scored by a logistic model of words and word beginnings, learned from labelled d
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Container, Iterable, Iterator
 
 import numpy as np
@@ -17,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .quality import fit_sample
 
 # Letters of the character model; index 0 is the edge of a word, the last any other letter.
@@ -31,11 +31,16 @@ MARGIN = 4.0
 FIT_ROWS = 6000
 #: Words and word beginnings the scorer may use.
 FEATURES = 4000
+#: A word of more signs is no disguise: it is parted at its marks, and what is still longer at every so many signs.
+LONG = 100
 
 N = len(LETTERS) + 2
 INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
-_EDGE = re.compile(r"^[^\w@$€£]+|[^\w@$€£]+$|([$%&#*!?@€£])\1+$")
-_ODD = re.compile(r"[^\W\d_].*[\d_@$!|+€(£#*.\-~^'/\\].*|[\d@$!|+€(£#*].*[^\W\d_]|([^\W\d_])\1\1")
+_LETTER = re.compile(r"[^\W\d_]")
+# a letter before one of the first marks, or one of the second before a letter, may be a disguise
+_AFTER, _BEFORE = re.compile(r"[\d_@$!|+€(£#*.\-~^'/\\]"), re.compile(r"[\d@$!|+€(£#*]")
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_PIECE = re.compile(rf"[\w@$€£]{{1,{LONG}}}")
 # single signs with white space between, from a blank, an opening mark or (letters and digits) any mark, up to a blank or mark
 _APART = re.compile(
     r"""(?<!\w['’\-])(?:(?<![^\s"'(\[{«“‘])[^\s.,;:?]|(?<!\w)(?<!\d[.,])\w)\s+(?:[^\s.,;:?]\s+)+(?:\w(?!\w)(?!['’\-@&/]\w)|[^\s\w.,;:?](?![^\s.,;:?!"')\]}»”’]))"""
@@ -43,7 +48,6 @@ _APART = re.compile(
 _WHITE = re.compile(r"\s+")
 _TWICE = re.compile(r"(.)\1")
 _THRICE = re.compile(r"(.)\1\1")
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _code_table() -> np.ndarray:
@@ -135,15 +139,39 @@ def char_counts(docs: DataFrame) -> np.ndarray:
     return grid.reshape(-1)
 
 
+def core_of(word: str) -> str:
+    """A word without marks at its ends; of marks that may stand for letters, a run of the same at the end goes. One pass over a word of any length."""
+    low, high = 0, len(word)
+    while low < high and not (word[low].isalnum() or word[low] in "_@$€£"):
+        low += 1
+    while high > low and not (word[high - 1].isalnum() or word[high - 1] in "_@$€£"):
+        high -= 1
+    if high == len(word) and high - low > 1 and word[-1] == word[-2] and word[-1] in "@$€£":
+        while high > low and word[high - 1] == word[-1]:
+            high -= 1
+    return word[low:high]
+
+
+def looks_odd(core: str) -> bool:
+    """Whether marks or digits stand among letters, or a letter three times in a row; linear in the length."""
+    letter = _LETTER.search(core)
+    if not letter:
+        return False
+    mark = _BEFORE.search(core)
+    return bool(_AFTER.search(core, letter.end()) or (mark and _LETTER.search(core, mark.end())) or _TRIPLE.search(core))
+
+
 def restored_words(word: str, model: CharModel, known: Container[str] = ()) -> Iterable[str]:
     """A word in small letters without marks at its ends, decoded where it looks disguised; letters may be doubled in any word that is not `known`."""
+    if len(word) > LONG:
+        return tuple(w for piece in _PIECE.findall(word) for w in restored_words(piece, model, known))
     core = word.strip(".,;:?")
     if core.isalpha() and not _THRICE.search(core):
         return _undoubled(core.lower(), model, known)
-    core = _EDGE.sub("", word)
+    core = core_of(word)
     if not _LETTER.search(core):
         return ()
-    if _ODD.search(core):
+    if looks_odd(core):
         plain = re.split(r"[^\w]+", core.lower())
         return (*model.readings(core), *(p for p in plain if p.isalpha() and len(p) > 3))
     return _undoubled(core.lower(), model, known) if core.isalpha() else (core.lower(),)
@@ -158,7 +186,11 @@ def restore(text: str | None, model: CharModel) -> str:
     if not text:
         return ""
     joined = _APART.sub(lambda m: model.decode(_WHITE.sub("", m[0]), apart=True), text)
-    return re.sub(r"\S+", lambda m: model.decode(core) if _ODD.search(core := _EDGE.sub("", m[0])) and _LETTER.search(core) else m[0], joined)
+
+    def one(m: re.Match) -> str:
+        return model.decode(core) if looks_odd(core := core_of(m[0])) else m[0]
+
+    return re.sub(r"\S+", lambda m: one(m) if len(m[0]) <= LONG else _PIECE.sub(one, m[0]), joined)
 
 
 def _beginnings(word: str) -> list[str]:
@@ -173,6 +205,8 @@ class Words(dict):
         self.model, self.known, self.most = model, known, most
 
     def __missing__(self, word: str):
+        if len(word) > LONG:
+            return tuple({f for piece in set(_PIECE.findall(word)) for f in self[piece]})
         if len(self) >= self.most:
             self.clear()
         names = [f for w in restored_words(word, self.model, self.known or ()) for part in w.split(" ") for f in _beginnings(part)]
@@ -202,29 +236,50 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[list(active)].sum(), -30, 30)))) if active else float(1 / (1 + np.exp(-self.bias)))
 
 
-def fit(bags: list[set], labels: np.ndarray, features: int = FEATURES, steps: int = 1500) -> Scorer:
-    """Keeps the features most over-represented in one label, then fits weights by gradient descent with momentum."""
+def chosen_features(bags: DataFrame, features: int = FEATURES) -> list[str]:
+    """The features of `bags` (y, names) most over-represented in label 1; counted on the executors, `features` at most come back."""
+    n = bags.agg(F.sum("y").alias("one"), F.count("*").alias("n")).first()
+    n1, n0 = max(1, n.one or 0), max(1, n.n - (n.one or 0))
+    counts = bags.select("y", F.explode("names").alias("name")).groupBy("name").agg(F.sum("y").alias("one"), F.count("*").alias("n")).where("one >= 3")
+    a, b = (F.col("one") + 0.5) / (n1 + 1), (F.col("n") - F.col("one") + 0.5) / (n0 + 1)
+    best = counts.where(a > 3 * b).select("name", (F.col("one") * F.log(a / b)).alias("lift")).orderBy(F.desc("lift"), "name").limit(features)
+    return [r.name for r in best.collect()]
+
+
+def fit(rows: list[list[int]], labels: np.ndarray, names: list[str], steps: int = 1500) -> Scorer:
+    """Weights of the features `names`, of which each row lists the places it has, by gradient descent with momentum."""
     n1, n0 = max(1, int(labels.sum())), max(1, int(len(labels) - labels.sum()))
-    one, zero = Counter(), Counter()
-    for bag, y in zip(bags, labels, strict=True):
-        (one if y else zero).update(bag)
-    lift = {}
-    for f in one:
-        if one[f] >= 3:
-            a, b = (one[f] + 0.5) / (n1 + 1), (zero[f] + 0.5) / (n0 + 1)
-            if a > 3 * b:
-                lift[f] = one[f] * np.log(a / b)
-    chosen = sorted(lift, key=lambda f: (-lift[f], f))[:features]
-    names = {f: i for i, f in enumerate(chosen)}
-    rows = [np.array([names[f] for f in sorted(bag) if f in names], np.int64) for bag in bags]
-    at, cols = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.empty(0, np.int64)])
+    at, cols = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([c for r in rows for c in r], np.int64)
     w, b, vw, vb = np.zeros(len(names)), float(np.log(n1 / n0)), np.zeros(len(names)), 0.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(at, w[cols], len(rows)), -30, 30)))
         d = (p - labels) / len(rows)
         vw, vb = 0.9 * vw - 2.0 * (np.bincount(cols, d[at], len(names)) + 1e-5 * w), 0.9 * vb - 0.5 * d.sum()
         w, b = w + vw, b + vb
-    return Scorer(names, w, float(b))
+    return Scorer({f: i for i, f in enumerate(names)}, w, float(b))
+
+
+def learn(sample: DataFrame, model: CharModel) -> Scorer | None:
+    """The scorer fitted on `sample` (doc_id, text, y): texts are read on the executors, the driver gets places of chosen features. None without rows."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def names_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(shared.value, None)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([sorted(words.of(t)) for t in batch.column("text").to_pylist()], pa.list_(pa.string()))], ["doc_id", "y", "names"])
+
+    rows = sample.select(F.col("doc_id").cast("long"), "text", F.col("y").cast("int"))
+    bags = written(rows.mapInArrow(names_of, "doc_id long, y int, names array<string>"), "bags")
+    chosen = chosen_features(bags)
+    of = {f: i for i, f in enumerate(chosen)}
+
+    def places_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [[of[f] for f in names if f in of] for names in batch.column("names").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(places, pa.list_(pa.int32()))], ["doc_id", "y", "places"])
+
+    found = sorted(bags.mapInArrow(places_of, "doc_id long, y int, places array<int>").collect())
+    return fit([r.places for r in found], np.array([r.y for r in found], np.float64), chosen) if found else None
 
 
 def score(docs: DataFrame, labels: DataFrame, allowed, label: str = "toxic", rows: int = FIT_ROWS) -> DataFrame:
@@ -232,14 +287,11 @@ def score(docs: DataFrame, labels: DataFrame, allowed, label: str = "toxic", row
 
     Null and empty texts get the score of a text without words; repeated rows are scored alike.
     """
-    sc = docs.sparkSession.sparkContext
-    found = sorted(fit_sample(docs, labels, label, allowed, rows))
-    if not found:
-        return docs.select("doc_id", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
     model = CharModel(char_counts(docs))
-    words = Words(model, None)
-    scorer = fit([words.of(r.text) for r in found], np.array([r.y for r in found], np.float64))
-    shared = sc.broadcast((model, scorer))
+    scorer = learn(fit_sample(docs, labels, label, allowed, rows), model)
+    if scorer is None:
+        return docs.select("doc_id", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
+    shared = docs.sparkSession.sparkContext.broadcast((model, scorer))
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, scorer = shared.value
