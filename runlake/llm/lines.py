@@ -11,7 +11,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sized, written
@@ -61,13 +61,23 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_words: int = M
     Null texts stay null (0 lines); an empty text is one empty line. Rows without a doc_id are left as they
     are. Rows that repeat a doc_id count as one document; each keeps or loses the same line numbers.
     """
-    drop = recurring_lines(docs, depth, min_words, min_docs).groupBy("doc_id").agg(F.collect_set("pos").alias("__drop"))
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__drop", i)), "\n")
+    drop = recurring_lines(docs, depth, min_words, min_docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("__drop"))
     joined = docs.join(drop, "doc_id", "left")
-    n_lines = F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)), F.lit(0))
-    joined = joined.withColumns({counts[0]: n_lines, counts[1]: F.when(F.col("__drop").isNull() | F.col("text").isNull(), 0).otherwise(n_lines - F.size(F.filter(lines, lambda _, i: ~F.array_contains("__drop", i))))})
-    return joined.withColumn("text", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(kept)).select(*(c for c in docs.columns if c not in counts), *counts)
+    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
+    joined = joined.withColumn(counts[0], F.when(F.col("text").isNull(), 0).otherwise(n_lines))
+    # a row that repeats an id may have fewer lines
+    joined = joined.withColumn("__drop", F.filter("__drop", lambda p: p < F.col(counts[0])))
+    joined = joined.withColumn(counts[1], F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size("__drop")), F.lit(0)))
+
+    def kept(row: Column) -> Column:
+        """The lines between neighbouring cuts, in one pass over a text of any number of lines."""
+        between = F.transform(F.sequence(F.lit(0), F.size(row["cuts"]) - 2), lambda i: F.slice(row["lines"], F.get(row["cuts"], i) + 2, F.get(row["cuts"], i + 1) - F.get(row["cuts"], i) - 1))
+        return F.array_join(F.flatten(between), "\n")
+
+    # bound as an argument, so that neither is evaluated again for each cut
+    row = F.struct(F.split("text", "\n").alias("lines"), F.concat(F.array(F.lit(-1)), "__drop", F.array(counts[0])).alias("cuts"))
+    text = F.when(F.size("__drop") > 0, F.get(F.transform(F.array(row), kept), F.lit(0))).otherwise(F.col("text"))
+    return joined.withColumn("text", text).select(*(c for c in docs.columns if c not in counts), *counts)
 
 
 def oracle_sql(depth: int = DEPTH, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS) -> str:
