@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents handed to Python at a time; texts may be long.
-ARROW_ROWS = 512
+#: Documents and bytes handed to Python at a time; texts may be long.
+ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
 ASCII_WHITE = b" \t\n\r\x0b\x0c"
 
 
@@ -21,8 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches, and so the memory of Python workers, for columns of long texts."""
+    """Bounds the Arrow batches, and so the memory of Python workers, for columns of long texts. The session keeps these settings."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
