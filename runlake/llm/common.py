@@ -7,7 +7,8 @@ import uuid
 import zlib
 
 import numpy as np
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,20 +94,6 @@ def py_crc_bucket(value, mod: int) -> int:
     return zlib.crc32(str(value).encode()) % mod
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; emptied when it holds `most` words, so memory stays bounded."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
     """An invertible scrambling of 64-bit numbers, another for each seed."""
     x = x ^ np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) & 0xFFFFFFFFFFFFFFFF)
@@ -118,15 +105,57 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
 _FACTOR = np.uint64(0xA0761D6478BD642F)
 
 
-def shingles(text: str | None, cache: WordHashes, width: int = 5) -> np.ndarray:
-    """Hashes of the distinct word shingles of a text, ascending. A-Z count as a-z; fewer words than `width` make one shingle."""
-    words = text.encode("utf-8", "replace").lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter((cache[w] for w in words), np.uint64, len(words))
-    k = min(width, len(h))
-    n = len(h) - k + 1
-    total = h[:n] + np.uint64(k)
-    for i in range(1, k):
-        total = total * _FACTOR + h[i : n + i]
-    return np.unique(mix(total, 99))
+_OF_BYTE = np.random.default_rng(31).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of an array of large strings: sums of a number for each byte times a power for its place."""
+    n, raw = len(words), words.buffers()[2]
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1]
+    raw = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw else np.empty(0, np.uint8)
+    start, length = ends[:-1] - ends[0], np.diff(ends)
+    out = np.zeros(n, np.uint64)
+    if len(raw):
+        powers = np.cumprod(np.full(int(length.max()), _FACTOR), dtype=np.uint64)
+        each = _OF_BYTE[raw] * powers[np.arange(len(raw)) - np.repeat(start, length)]
+        some = length > 0
+        out[some] = np.add.reduceat(each, start[some])
+    return mix(out + length.astype(np.uint64), 21)
+
+
+def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
+    """Of each text the hashes of its distinct word shingles, ascending. A-Z count as a-z; fewer words than `width` make one shingle.
+
+    Words are parted by ASCII white space. The distinct words of the array are hashed once each.
+    """
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    coded = words.flatten().dictionary_encode()
+    of_word = word_hashes(coded.dictionary)
+    empty = pc.index(coded.dictionary, "").as_py()  # what is before leading white space and after trailing
+    codes, starts = coded.indices.to_numpy(), words.offsets.to_numpy()
+    if empty >= 0:
+        real = codes != empty
+        starts, codes = np.append(0, np.cumsum(real))[starts - starts[0]], codes[real]
+    else:
+        starts = starts - starts[0]
+    h = of_word[codes]
+    sizes = np.diff(starts)
+    # of every place the shingle that starts there; those that run into the next text are cut off below
+    n = max(0, len(h) - width + 1)
+    rolled = h[:n] + np.uint64(width)
+    for i in range(1, width):
+        rolled = rolled * _FACTOR + h[i : n + i]
+    rolled = mix(rolled, 99)
+    out = []
+    for start, size in zip(starts[:-1].tolist(), sizes.tolist(), strict=True):
+        if size >= width:
+            own = np.sort(rolled[start : start + size - width + 1])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
+        elif size:
+            total = h[start : start + 1] + np.uint64(size)
+            for i in range(1, size):
+                total = total * _FACTOR + h[start + i : start + i + 1]
+            out.append(mix(total, 99))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out

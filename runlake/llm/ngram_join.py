@@ -18,11 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, WordHashes, bucketed, mix, n_buckets, needed_only, shingles, sized
+from .common import Tables, bucketed, mix, n_buckets, needed_only, shingle_sets, sized
 from .graph import components
 
 #: Text that shares one packed row of an exchange.
@@ -47,8 +48,7 @@ def prefix_size(n: int, num: int, den: int) -> int:
 class _Slab:
     """Distinct sets of some documents; equal sets are linked here and stand for one."""
 
-    def __init__(self, width: int):
-        self.words, self.width = WordHashes(), width
+    def __init__(self):
         self.clear()
 
     def by_doc(self) -> None:
@@ -62,9 +62,9 @@ class _Slab:
         self.sets: list[np.ndarray] = []
         self.sizes: list[tuple[int, int]] = []
 
-    def add(self, doc: int, text: str | None) -> None:
-        s = shingles(text, self.words, self.width)
-        self.bytes += len(text or "") + 64
+    def add(self, doc: int, s: np.ndarray, size: int) -> None:
+        """A document's set, and the bytes of its text."""
+        self.bytes += size + 64
         self.sizes.append((doc, len(s)))
         if len(s):
             first = self.by_digest.setdefault(xxhash.xxh3_128_digest(s.tobytes()), doc)
@@ -76,11 +76,13 @@ class _Slab:
 
 
 def _slabs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[_Slab]:
-    slab = _Slab(width)
+    slab = _Slab()
     for batch in batches:
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        texts = batch.column("text")
+        sizes = pc.binary_length(texts).fill_null(0).to_pylist()
+        for doc, s, size in zip(batch.column("doc_id").to_pylist(), shingle_sets(texts, width), sizes, strict=True):
             if doc is not None:
-                slab.add(doc, text)
+                slab.add(doc, s, size)
             if slab.bytes >= FLUSH:
                 yield slab
                 slab.clear()
@@ -300,14 +302,13 @@ def _verified(docs: DataFrame, facts: DataFrame, pairs: DataFrame, width: int, n
     both = right.join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        last, mine = None, None
         for batch in batches:
             found = []
-            for a, b, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if a != last:
-                    last, mine = a, shingles(text_a, words, width)
-                theirs = shingles(text_b, words, width)
+            # a document with many partners is read once
+            _, first, which = np.unique(batch.column("a").to_numpy(), return_index=True, return_inverse=True)
+            own, others = shingle_sets(batch.column("text_a").take(pa.array(first)), width), shingle_sets(batch.column("text_b"), width)
+            for a, b, i, theirs in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), which.tolist(), others, strict=True):
+                mine = own[i]
                 same = len(np.intersect1d(mine, theirs, assume_unique=True))
                 if same and den * same >= num * (len(mine) + len(theirs) - same):
                     found.append((a, b))
