@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import TokenIds
+from .tokens import token_ids
 
 #: Pieces of a shard, about.
 SHARD = 4096
@@ -34,7 +34,7 @@ def pieces_of(docs: DataFrame, tokenizer_json: str, pattern: str | None, capacit
     end = np.array([end_id], "<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = TokenIds(*shared.value)
+        ids = token_ids(*shared.value)
         for batch in batches:
             rows = []
             for doc, own in zip(batch.column("doc_id").to_pylist(), ids.batch(batch.column("text")), strict=True):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,6 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-_WHITE = r"[ \t\n\r\x0b\x0c]+"
 #: Signs whose small letters, composition and classes the shortcut treats as the tokenizer does.
 _PLAIN = re.compile(r"[\x00-ɏ]*")
 
@@ -56,9 +56,9 @@ class TokenIds:
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text of an array of strings; none for null."""
-        split = pc.split_pattern_regex(texts.fill_null(""), _WHITE)
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = split.flatten().dictionary_encode()
-        names, codes, known = coded.dictionary.to_pylist(), coded.indices.to_numpy(), self.words.get
+        names, codes, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), self.words.get
         ids = [known(w) for w in names]
         missed = [i for i, found in enumerate(ids) if found is None]
         if len(self.words) + len(missed) > self.most:
@@ -75,3 +75,9 @@ class TokenIds:
 
     def __call__(self, text: str | None) -> bytes:
         return self.batch(pa.array([text], pa.string()))[0].tobytes()
+
+
+@lru_cache(maxsize=1)
+def token_ids(tokenizer_json: str, pattern: str | None) -> TokenIds:
+    """One memory of words for all tasks that a Python worker runs in turn."""
+    return TokenIds(tokenizer_json, pattern)
