@@ -24,6 +24,8 @@ MODEL_PROVIDERS = [
     ("command", "Cohere"),
 ]
 UNKNOWN = "unknown"
+#: Texts of so many signs are inline media if they begin like base64.
+MEDIA_LENGTH = 10_000
 UUID_PATTERN = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
 
@@ -116,14 +118,49 @@ def time_bucket(start: Column | str, interval: str) -> Column:
     return F.coalesce(label, F.lit(UNKNOWN))
 
 
-def strip_binary(text: Column | str) -> Column:
-    """Inline media as a placeholder: data URIs, and long texts that begin with 200 signs of base64."""
-    t = _col(text)
+def _placeholder(t: Column) -> Column:
+    """What stands for one text that is inline media; null for any other text."""
     n = F.length(t).cast("string")
     kind = F.regexp_extract(F.left(t, F.lit(100)), "^data:([^;]*);base64,", 1)
     uri = t.startswith("data:") & F.left(t, F.lit(100)).contains(";base64,")
-    plain = (F.length(t) >= 10_000) & F.left(t, F.lit(200)).rlike("^[A-Za-z0-9+/=\\n\\r ]*$")
-    return F.when(uri, F.concat(F.lit("[binary:"), kind, F.lit(":"), n, F.lit("bytes:...]"))).when(plain, F.concat(F.lit("[binary:base64:"), n, F.lit("bytes:...]"))).otherwise(t)
+    plain = (F.length(t) >= MEDIA_LENGTH) & F.left(t, F.lit(200)).rlike("^[A-Za-z0-9+/=\\n\\r ]*$")
+    return F.when(uri, F.concat(F.lit("[binary:"), kind, F.lit(":"), n, F.lit("bytes:...]"))).when(plain, F.concat(F.lit("[binary:base64:"), n, F.lit("bytes:...]")))
+
+
+def _quoted(t: Column) -> Column:
+    """A text, not null, as the inside of a JSON string."""
+    json = F.to_json(F.array(t))
+    return F.substr(json, F.lit(3), F.length(json) - 4)
+
+
+def _strip_inside(json: Column) -> Column:
+    """JSON text whose string values, at any depth, are placeholders where they are inline media; keys stay.
+
+    With pairs of backslashes and escaped quotes out of the way (control characters never occur in JSON text)
+    quotes part it into what is outside and inside of strings, in turn. One pass over the text.
+    """
+    pair, quote = "\x01", "\x02"
+    hidden = F.replace(F.replace(json, F.lit("\\\\"), F.lit(pair)), F.lit('\\"'), F.lit(quote))
+
+    def shown(parts: Column) -> Column:
+        def one(part: Column, i: Column) -> Column:
+            raw = F.replace(F.replace(part, F.lit(quote), F.lit('\\"')), F.lit(pair), F.lit("\\\\"))
+            value = F.get(F.from_json(F.concat(F.lit('["'), raw, F.lit('"]')), "array<string>"), F.lit(0))
+            inside = (i % 2 == 1) & ~F.ltrim(F.get(parts, i + 1)).startswith(":") & (part.startswith("data:") | (F.length(part) >= MEDIA_LENGTH))
+            return F.when(inside & _placeholder(value).isNotNull(), _quoted(_placeholder(value))).otherwise(raw)
+
+        return F.array_join(F.transform(parts, one), '"')
+
+    # the parts are bound as an argument, so that they are made once
+    return F.get(F.transform(F.array(F.split(hidden, '"')), shown), F.lit(0))
+
+
+def strip_binary(text: Column | str) -> Column:
+    """Inline media as a placeholder: data URIs, and long texts that begin with 200 signs of base64. In JSON objects and lists every string value is looked at."""
+    t = _col(text)
+    media = F.contains(t, F.lit(";base64,")) | (F.length(t) >= MEDIA_LENGTH)
+    nested = media & F.ltrim(t).rlike("^[{\\[]") & F.try_parse_json(t).isNotNull()
+    return F.when(F.coalesce(nested, F.lit(False)), _strip_inside(t)).otherwise(F.coalesce(_placeholder(t), t))
 
 
 def looks_like_uuid(c: Column | str) -> Column:

@@ -6,66 +6,104 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlake.functions.columns import tag_key, tag_rest, value_type
+from runlake.operators.metrics import continuous, ranked_values
+from runlake.operators.sampling import top_per
 
 #: Levels of nested objects that are opened.
 FLATTEN_DEPTH, SCHEMA_DEPTH = 5, 8
 
 
-def discover_tags(df: DataFrame) -> DataFrame:
-    """key, values: of tags in the form key:value, the distinct values of each key in order."""
-    tags = df.select(F.explode("tags").alias("tag")).distinct().where(F.col("tag").contains(":"))
-    return tags.groupBy(tag_key("tag").alias("key")).agg(F.array_sort(F.collect_set(tag_rest("tag"))).alias("values")).orderBy("key")
+def tag_values(df: DataFrame) -> DataFrame:
+    """(key, value) of all tags in the form key:value, each pair once; a key may have any number of values."""
+    tags = df.select(F.explode("tags").alias("tag")).where(F.col("tag").contains(":"))
+    return tags.select(tag_key("tag").alias("key"), tag_rest("tag").alias("value")).distinct()
+
+
+def discover_tags(df: DataFrame, most: int | None = None) -> DataFrame:
+    """key, values: of tags in the form key:value, the distinct values of each key in order; `most` keeps so many of a key, the first in order."""
+    pairs = tag_values(df)
+    if most is not None:
+        pairs = top_per(pairs, ["key"], most, [F.asc("value")])
+    return pairs.groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("values")).orderBy("key")
 
 
 def discover_metadata_keys(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.map_keys("metadata")).alias("key")).distinct().orderBy("key")
 
 
+def _children(x: Column) -> Column:
+    """(path, value) of the fields of an object value, under the path of `x`; none for other values."""
+    fields = F.map_entries(F.try_variant_get(x["value"], "$", "map<string,variant>"))
+    return F.coalesce(F.transform(fields, lambda e: F.struct(F.concat_ws(".", F.nullif(x["path"], F.lit("")), e["key"]).alias("path"), _shown(e["value"]).alias("value"))), _none())
+
+
+def _elements(x: Column) -> Column:
+    """(path, value) of the elements of a list value; none for other values."""
+    items = F.try_variant_get(x["value"], "$", "array<variant>")
+    return F.coalesce(F.transform(items, lambda e: F.struct(F.concat(x["path"], F.lit("[]")).alias("path"), _shown(e).alias("value"))), _none())
+
+
+def _shown(v: Column) -> Column:
+    return F.coalesce(v, F.parse_json(F.lit("null")))
+
+
+def _none() -> Column:
+    return F.array().cast("array<struct<path:string,value:variant>>")
+
+
+def _top(text: str) -> Column:
+    """The whole value of a JSON text as a list of one; none if it is no JSON."""
+    return F.when(F.try_parse_json(text).isNotNull(), F.array(F.struct(F.lit("").alias("path"), F.try_parse_json(text).alias("value")))).otherwise(_none())
+
+
 def flatten_json(df: DataFrame, key: str, text: str, max_depth: int = FLATTEN_DEPTH) -> DataFrame:
     """(key, path, value VARIANT): leaves of a JSON object under dotted paths.
 
     Lists and empty objects are leaves; an object below `max_depth` levels disappears. Text that is no JSON has none.
+    Each text is parsed once and opened level by level within its row; one explode gives the rows.
     """
-    level = df.select(key, F.lit(None).cast("string").alias("path"), F.try_parse_json(text).alias("value"))
-    leaves = []
-    for depth in range(max_depth + 1):
-        kind = F.schema_of_variant("value")
-        inner = kind.startswith("OBJECT") & (kind != "OBJECT<>")
+    rows, leaves = df.select(F.col(key).alias(key), _top(text).alias("__level")), []
+    for depth in range(max_depth):
+        # every value with what is in it
+        opened = F.transform("__level", lambda x: F.struct(x.alias("of"), _children(x).alias("inner")))
+        rows = rows.withColumn("__opened", opened)
         if depth:
-            leaves.append(level.where(~F.coalesce(inner, F.lit(False))))
-        if depth < max_depth:
-            level = df.sparkSession.sql(f"SELECT t.`{key}`, concat_ws('.', t.path, e.key) AS path, e.value FROM {{opened}} t, LATERAL variant_explode(t.value) e", opened=level.where(inner))
-    out = leaves[0]
-    for more in leaves[1:]:
-        out = out.unionByName(more)
-    return out
+            rows = rows.withColumn(f"__leaves{depth}", F.transform(F.filter("__opened", lambda o: F.size(o["inner"]) == 0), lambda o: o["of"]))
+            leaves.append(f"__leaves{depth}")
+        rows = rows.withColumn("__level", F.flatten(F.transform("__opened", lambda o: o["inner"])))
+    last = F.filter("__level", lambda x: F.size(_children(x)) == 0)
+    return rows.select(key, F.inline(F.concat(*leaves, last)))
 
 
 def profile_fields(leaves: DataFrame, total: int, key: str = "id") -> DataFrame:
-    """By path of `leaves` (key, path, value): type of the first value that is not null, presence, and the figures of lengths or numbers."""
+    """By path of `leaves` (key, path, value), each path once for a key: type of the first value that is not null, presence, and the figures of lengths or numbers."""
     kind = value_type("value")
     number = F.when(kind.isin("int", "float"), F.variant_get("value", "$", "double"))
     length = F.when(kind == "str", F.length(F.variant_get("value", "$", "string"))).when(kind == "list", F.size(F.variant_get("value", "$", "array<variant>")))
     own = leaves.select(key, "path", kind.alias("kind"), number.alias("number"), length.alias("length"), F.to_json("value").alias("text")).where(F.col("kind") != "null")
-    figures = [f(c).alias(f"{c}_{n}") for c in ("number", "length") for n, f in (("min", F.min), ("max", F.max), ("avg", F.avg), ("p50", lambda c: F.percentile(c, F.lit(0.5))))]
-    out = own.groupBy("path").agg(F.min_by("kind", key).alias("type"), F.countDistinct(key).alias("present_count"), *figures, F.sum("number").alias("number_sum"), F.min_by("text", key).alias("sample"))
-    return out.withColumn("present_pct", F.round(F.col("present_count") * 100.0 / total, 1)).orderBy("path")
-
-
-def infer_schema(df: DataFrame, key: str, text: str, max_depth: int = SCHEMA_DEPTH) -> DataFrame:
-    """path, type, present_count: every path of JSON values, [] standing for the elements of a list; 'mixed' where types differ."""
-    level = df.select(F.col(key).alias("__key"), F.lit("").alias("path"), F.try_parse_json(text).alias("value")).where(F.col("value").isNotNull())
-    found = None
-    for _ in range(max_depth):
-        level = df.sparkSession.sql(
-            "SELECT t.__key, CASE WHEN e.key IS NULL THEN concat(t.path, '[]') WHEN t.path = '' THEN e.key ELSE concat(t.path, '.', e.key) END AS path, e.value "
-            "FROM {level} t, LATERAL variant_explode(t.value) e",
-            level=level,
-        )
-        here = level.select("__key", "path", value_type("value").alias("type"))
-        found = here if found is None else found.unionByName(here)
-    known = found.where(F.col("type") != "null").groupBy("path").agg(F.collect_set("type").alias("types"), F.countDistinct("__key").alias("present_count"))
-    return known.select("path", F.when(F.size("types") > 1, "mixed").otherwise(F.get("types", F.lit(0))).alias("type"), "present_count").orderBy("path")
+    figures = [f(c).alias(f"{c}_{n}") for c in ("number", "length") for n, f in (("min", F.min), ("max", F.max), ("avg", F.avg))]
+    out = own.groupBy("path").agg(F.min_by("kind", key).alias("type"), F.count("*").alias("present_count"), *figures, F.sum("number").alias("number_sum"), F.min_by("text", key).alias("sample"))
+    # a value has a number or a length, never both
+    both = own.select("path", F.col("number").isNotNull().alias("is_number"), F.coalesce("number", "length").alias("x"))
+    medians = ranked_values(both, ["path", "is_number"], "x", {"p50": continuous(0.5)}).groupBy("path").agg(F.max(F.when(F.col("is_number"), F.col("p50"))).alias("number_p50"), F.max(F.when(~F.col("is_number"), F.col("p50"))).alias("length_p50"))
+    return out.join(medians, "path", "left").withColumn("present_pct", F.round(F.col("present_count") * 100.0 / total, 1)).orderBy("path")
+
+
+def infer_schema(df: DataFrame, key: str, text: str, max_depth: int = SCHEMA_DEPTH, sample: int = 50) -> DataFrame:
+    """path, type, present_count, sample: every path of JSON values, [] standing for the elements of a list; 'mixed' where types differ.
+
+    The sample is the JSON text of the value of the smallest key, cut to `sample` signs. Rows are one run each.
+    """
+    rows, found = df.select(F.col(key).alias("__key"), _top(text).alias("__level")), []
+    for depth in range(max_depth):
+        rows = rows.withColumn("__level", F.flatten(F.transform("__level", lambda x: F.concat(_children(x), _elements(x)))))
+        rows = rows.withColumn(f"__found{depth}", F.col("__level"))
+        found.append(f"__found{depth}")
+    values = rows.select("__key", F.inline(F.concat(*found))).select("__key", "path", value_type("value").alias("type"), F.left(F.to_json("value"), F.lit(sample)).alias("text")).where(F.col("type") != "null")
+    # the elements of a list share a path within a run
+    runs = values.groupBy("path", "__key").agg(F.min("type").alias("low"), F.max("type").alias("high"), F.min("text").alias("text"))
+    known = runs.groupBy("path").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("present_count"), F.min_by("text", "__key").alias("sample"))
+    return known.select("path", F.when(F.col("low") != F.col("high"), "mixed").otherwise(F.col("low")).alias("type"), "present_count", "sample").orderBy("path")
 
 
 def top_and_others(counts: DataFrame, keys: list[str], name: str, n: int = 3) -> DataFrame:

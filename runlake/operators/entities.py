@@ -42,19 +42,24 @@ def resolve(wanted: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def suggest_names(queries: DataFrame, names: DataFrame, top: int = 5) -> DataFrame:
-    """For each of a few queries (query) the `top` most similar names (name): 1 if one contains the other, else the Jaccard similarity of their parts; equal names and 0 are left out.
+    """For each of the queries (query) the `top` most similar names (name): 1 if one contains the other, else the Jaccard similarity of their parts; equal names and 0 are left out.
 
     Names that share no part with a query are met only by containment, so each name is compared with each
-    query; queries are bounded, names are read once.
+    query: queries are dealt into blocks of about QUERY_ROWS, each broadcast, and names are read once a block.
     """
-    if queries.limit(QUERY_ROWS + 1).count() > QUERY_ROWS:
-        raise ValueError(f"more than {QUERY_ROWS} queries at once")
+    asked = queries.select("query").distinct()
+    blocks = max(1, -(-asked.count() // QUERY_ROWS))
     q, n = F.lower("query"), F.lower("name")
     parts_q, parts_n = F.array_distinct(name_tokens("query")), F.array_distinct(name_tokens("name"))
     jaccard = F.coalesce(F.size(F.array_intersect(parts_q, parts_n)) / F.nullif(F.size(F.array_union(parts_q, parts_n)), F.lit(0)), F.lit(0.0))
-    scored = names.select("name").distinct().join(F.broadcast(queries.select("query").distinct()), q != n)
-    scored = scored.withColumn("score", F.when(n.contains(q) | q.contains(n), 1.0).otherwise(jaccard)).where("score > 0")
-    return top_per(scored, ["query"], top, [F.desc("score"), F.asc("name")]).select("query", "name", "score")
+    out = None
+    for block in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block)
+        scored = names.select("name").distinct().join(F.broadcast(mine), q != n)
+        scored = scored.withColumn("score", F.when(n.contains(q) | q.contains(n), 1.0).otherwise(jaccard)).where("score > 0")
+        best = top_per(scored, ["query"], top, [F.desc("score"), F.asc("name")]).select("query", "name", "score")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def examples_from_runs(runs: DataFrame, where: Column) -> DataFrame:
@@ -65,3 +70,8 @@ def examples_from_runs(runs: DataFrame, where: Column) -> DataFrame:
 def runs_of_examples(examples: DataFrame, runs: DataFrame) -> DataFrame:
     """Runs of an experiment with the example each answers."""
     return examples.select(F.col("id").alias("reference_example_id"), F.col("inputs").alias("example_inputs")).join(runs, "reference_example_id")
+
+
+def experiments_of_dataset(projects: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Projects (with `reference_dataset_id`) that are experiments on one of `datasets` (id)."""
+    return projects.join(datasets.select(F.col("id").alias("reference_dataset_id")), "reference_dataset_id", "left_semi")

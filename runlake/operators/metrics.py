@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,30 +16,74 @@ METRICS = ("count", "error_rate", "avg_latency", "p50_latency", "p95_latency", "
 EXCLUSIVE = {"p95_latency": (19, 20), "p99_latency": (99, 100)}
 
 
-def exclusive_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[int, int]]) -> DataFrame:
-    """`keys` and a column for each wanted quantile i/n by the exclusive method.
+def exclusive(i: int, n: int) -> Callable[[Column], tuple[Column, Column]]:
+    """The quantile i/n by the exclusive method, for `ranked_values`.
 
     With m = count + 1 and j = floor(i * m / n) held within 1 and count - 1, it lies between the j-th and
-    the next value, at i * m - j * n parts of n, and may lie beyond both. One value is its own quantile.
-    Ranks come from one window sorted by value; only the two ranks needed of each group leave it.
+    the next value, at i * m - j * n parts of n, and may lie beyond both.
+    """
+
+    def place(count: Column) -> tuple[Column, Column]:
+        m = count + 1
+        j = F.greatest(F.lit(1), F.least(count - 1, F.floor(F.lit(i) * m / F.lit(n))))
+        return j, (F.lit(i) * m - j * n) / F.lit(float(n))
+
+    return place
+
+
+def continuous(p: float) -> Callable[[Column], tuple[Column, Column]]:
+    """The quantile p between the values at both sides of place (count - 1) * p, for `ranked_values`."""
+
+    def place(count: Column) -> tuple[Column, Column]:
+        at = (count - 1) * F.lit(float(p))
+        j = F.greatest(F.lit(1), F.least(count - 1, F.floor(at) + 1))
+        return j, at - (j - 1)
+
+    return place
+
+
+def _bin(x: Column) -> Column:
+    """A whole number that never falls where `x` grows: bins of half a percent of a value's size."""
+    return F.when(F.isnan(x), F.lit(1 << 40)).otherwise(F.floor(F.signum(x) * F.log1p(F.abs(x) * 1e6) * 200))
+
+
+def ranked_values(df: DataFrame, keys: list[str], value: str, wanted: dict[str, Callable[[Column], tuple[Column, Column]]]) -> DataFrame:
+    """`keys` and a column for each wanted quantile of `value`, exactly; null values do not count, one value is its own quantile.
+
+    A quantile lies between the j-th and the next value of a group. Values are counted by group and value, by
+    group and bin of values from that, and only the bins that hold a wanted rank are sorted: no group is sorted
+    or held as a whole. Keys may be null, and no keys make one group.
     """
+    own = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"))
+    counted = own.groupBy(*keys, "__x").agg(F.count("*").alias("__n")).withColumn("__bin", _bin(F.col("__x")))
     group = Window.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"))
-    ranked = ranked.withColumns({"__r": F.row_number().over(group.orderBy("__x")), "__n": F.count("*").over(group)})
+    up_to = group.orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = counted.groupBy(*keys, "__bin").agg(F.sum("__n").alias("__m"))
+    bins = bins.withColumns({"__after": F.sum("__m").over(up_to), "__all": F.sum("__m").over(group)}).withColumn("__before", F.col("__after") - F.col("__m"))
+    places = {name: place(F.col("__all")) for name, place in wanted.items()}
+    ranks = [rank for j, _ in places.values() for rank in (j, j + 1)]
+    held = reduce(or_, ((F.col("__before") < rank) & (F.col("__after") >= rank) for rank in ranks), F.col("__all") == 1)
+    chosen = bins.where(held).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__bin").alias("__of"), "__before", "__all")
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys), F.col("__bin") == F.col("__of"))
+    inside = Window.partitionBy(*keys, "__bin").orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = counted.join(chosen, same).withColumn("__high", F.col("__before") + F.sum("__n").over(inside)).withColumn("__low", F.col("__high") - F.col("__n"))
     out = []
-    for name, (i, n) in wanted.items():
-        m = F.col("__n") + 1
-        j = F.greatest(F.lit(1), F.least(F.col("__n") - 1, F.floor(F.lit(i) * m / F.lit(n))))
-        low, high = (F.max(F.when(F.col("__r") == at, F.col("__x"))) for at in (j, j + 1))
-        part = F.max((F.lit(i) * m - j * n) / F.lit(float(n)))
-        out.append(F.when(F.max("__n") == 1, F.max("__x")).otherwise(low * (1 - part) + high * part).alias(name))
-    return ranked.groupBy(*keys).agg(*out)
+    for name, (j, part) in places.items():
+        low, high = (F.max(F.when((F.col("__low") < rank) & (F.col("__high") >= rank), F.col("__x"))) for rank in (j, j + 1))
+        share = F.max(part)
+        out.append(F.when(F.max("__all") == 1, F.max("__x")).when(low == high, low).otherwise(low * (1 - share) + high * share).alias(name))
+    return rows.groupBy(*keys).agg(*out)
+
+
+def exclusive_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[int, int]]) -> DataFrame:
+    """`keys` and a column for each wanted quantile i/n by the exclusive method."""
+    return ranked_values(df, keys, value, {name: exclusive(i, n) for name, (i, n) in wanted.items()})
 
 
 def grouped_metrics(df: DataFrame, keys: dict[str, Column], metrics: Iterable[str] = METRICS, approximate: bool = False) -> DataFrame:
     """Metrics of runs (error, latency_s, total_tokens, total_cost) by any number of keys; rows without a key are dropped.
 
-    `approximate` takes p95 and p99 from a mergeable sketch, which needs no sort and suits very large groups.
+    `approximate` takes the quantiles from a mergeable sketch in the same pass.
     """
     metrics = list(metrics)
     if unknown := set(metrics) - set(METRICS):
@@ -50,21 +96,27 @@ def grouped_metrics(df: DataFrame, keys: dict[str, Column], metrics: Iterable[st
         "count": F.count("*"),
         "error_rate": F.avg(F.col("error").isNotNull().cast("double")),
         "avg_latency": F.coalesce(F.avg("latency_s"), F.lit(0.0)),
-        "p50_latency": F.coalesce(F.median("latency_s"), F.lit(0.0)),
         "total_tokens": F.sum(F.coalesce("total_tokens", F.lit(0))),
         "avg_cost": F.coalesce(F.avg("total_cost").cast("double"), F.lit(0.0)),
     }
+    quantiles = {"p50_latency": continuous(0.5)} | {m: exclusive(*EXCLUSIVE[m]) for m in EXCLUSIVE}
     if approximate:
-        made |= {n: F.coalesce(F.percentile_approx("latency_s", i / k, 10_000), F.lit(0.0)) for n, (i, k) in EXCLUSIVE.items()}
-    out = own.groupBy(*names).agg(*(made[m].alias(m) for m in metrics if m in made))
-    exclusive = {m: EXCLUSIVE[m] for m in metrics if m in EXCLUSIVE and not approximate}
-    if exclusive:
-        out = out.join(exclusive_quantiles(own, names, "latency_s", exclusive), names, "left").fillna(0.0, list(exclusive))
+        shares = {"p50_latency": 0.5} | {m: i / n for m, (i, n) in EXCLUSIVE.items()}
+        made |= {m: F.coalesce(F.percentile_approx("latency_s", p, 10_000), F.lit(0.0)) for m, p in shares.items()}
+    # a count comes along, so that a group always has a row
+    out = own.groupBy(*names).agg(F.count("*").alias("__rows"), *(made[m].alias(m) for m in metrics if m in made))
+    asked = {m: quantiles[m] for m in metrics if m in quantiles and not approximate}
+    if asked:
+        out = out.join(ranked_values(own, names, "latency_s", asked), names, "left").fillna(0.0, list(asked))
     return out.select(*names, *metrics).orderBy(*names)
 
 
+#: Quantiles of run and project figures.
+LATENCIES = {"latency_p50": continuous(0.5), "latency_p99": continuous(0.99)}
+
+
 def run_stats(df: DataFrame) -> DataFrame:
-    """One row over all runs given: counts, error rate, latency quantiles, tokens, cost, last run, and runs by type."""
+    """One row over all runs given: counts, error rate, quantiles of latency and of the time to the first token, tokens, cost, last run, and runs by type."""
     by_type = df.groupBy("run_type").agg(F.count("*").alias("n"))
     types = by_type.agg(F.array_sort(F.collect_list(F.struct("run_type", "n"))).alias("run_types"))
     total = df.agg(
@@ -72,27 +124,42 @@ def run_stats(df: DataFrame) -> DataFrame:
         F.count("error").alias("failed"),
         F.count_if(F.col("error").isNull()).alias("successful"),
         F.avg(F.col("error").isNotNull().cast("double")).alias("error_rate"),
-        F.percentile("latency_s", F.lit(0.5)).alias("latency_p50"),
-        F.percentile("latency_s", F.lit(0.99)).alias("latency_p99"),
         F.sum("total_tokens").alias("total_tokens"),
         money_sum("total_cost").alias("total_cost"),
         F.max("start_time").alias("last_run_start_time"),
     )
-    return total.select("*", types.scalar().alias("run_types"))
+    quantiles = [(ranked_values(df, [], "latency_s", LATENCIES), list(LATENCIES))]
+    if "first_token_s" in df.columns:
+        named = {n.replace("latency", "first_token"): f for n, f in LATENCIES.items()}
+        quantiles.append((ranked_values(df, [], "first_token_s", named), list(named)))
+    return total.select("*", *(q.select(n).scalar().alias(n) for q, names in quantiles for n in names), types.scalar().alias("run_types"))
 
 
 def project_stats(projects: DataFrame, runs: DataFrame) -> DataFrame:
     """`projects` (name) with the figures of their runs; a project without runs has none."""
-    figures = runs.groupBy(F.col("project").alias("name")).agg(
+    runs = runs.withColumn("name", F.col("project"))
+    figures = runs.groupBy("name").agg(
         F.count("*").alias("run_count"),
         F.avg(F.col("error").isNotNull().cast("double")).alias("error_rate"),
         money_sum("total_cost").alias("total_cost"),
         F.max("start_time").alias("last_run_start_time"),
-        F.percentile("latency_s", F.lit(0.5)).alias("latency_p50"),
-        F.percentile("latency_s", F.lit(0.99)).alias("latency_p99"),
         F.sum("total_tokens").alias("total_tokens"),
     )
-    return projects.join(figures, "name", "left").withColumn("run_count", F.coalesce("run_count", F.lit(0)))
+    latencies = ranked_values(runs, ["name"], "latency_s", LATENCIES)
+    out = projects.join(figures, "name", "left").join(latencies, "name", "left")
+    return out.withColumn("run_count", F.coalesce("run_count", F.lit(0)))
+
+
+def experiment_results(experiments: DataFrame, runs: DataFrame, feedback: DataFrame) -> DataFrame:
+    """`experiments` (name) with the figures of their root runs (project stats) and the average of each feedback key on any of their runs, in long form (key, n, avg_score); one row without a key where there is no feedback."""
+    stats = project_stats(experiments, runs.where(F.col("parent_run_id").isNull())).drop("last_run_start_time")
+    scores = feedback.join(runs.select(F.col("id").alias("run_id"), F.col("project").alias("name")), "run_id").groupBy("name", "key").agg(F.count("score").alias("n"), F.avg("score").alias("avg_score"))
+    return stats.join(scores, "name", "left")
+
+
+def error_counts(df: DataFrame, top: int = 5) -> DataFrame:
+    """The most frequent error texts."""
+    return df.where(F.col("error").isNotNull()).groupBy("error").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error").limit(top)
 
 
 def error_patterns(df: DataFrame, top: int = 5) -> DataFrame:

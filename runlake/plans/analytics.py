@@ -13,7 +13,7 @@ from runlake.operators import predicates as P
 from runlake.operators import pricing, sampling, traces, usage
 from runlake.operators.text import language_distribution
 from runlake.plans.filters import LLM, TRACE, _PROVIDER, events
-from runlake.plans.fixtures import view
+from runlake.plans.fixtures import language_sql, view
 from runlake.plans.registry import query
 
 BOTH = ("runs_trace_root", "runs_trace_llm")
@@ -177,6 +177,14 @@ def e10_runs_of_examples(spark, d):
     return E.runs_of_examples(view(spark, d, "examples").withColumn("inputs", F.col("text")), runs).select("reference_example_id", "id")
 
 
+@query("SELECT concat('c', CAST(c_custkey AS STRING)) AS id, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name LIKE 'N%5'", ())
+def e10_experiments_of_dataset(spark, d):
+    """Customers as experiments, nations as datasets."""
+    projects = view(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("reference_dataset_id"))
+    datasets = view(spark, d, "nation").where(F.col("n_name").like("N%5")).select(F.col("n_nationkey").alias("id"))
+    return E.experiments_of_dataset(projects, datasets).select("id", "name")
+
+
 @query("SELECT c_name AS query, concat('c', CAST(c_custkey AS STRING)) AS id FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), concat('c', CAST(c_custkey AS STRING)) FROM customer WHERE c_custkey % 2 = 1 UNION ALL SELECT concat('no', CAST(n_nationkey AS STRING)), NULL FROM nation", ())
 def e11_resolve_entities(spark, d):
     known = view(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_name").alias("name"), "c_custkey")
@@ -212,6 +220,12 @@ def f6_run_stats(spark, d):
     return rounded(s.withColumns({"last_run": F.date_format("last_run_start_time", "yyyy-MM-dd HH:mm:ss"), "run_types": kinds}).drop("last_run_start_time"), total_cost=4)
 
 
+@query("SELECT round(quantile_cont(t, 0.5), 6) AS first_token_p50, round(quantile_cont(t, 0.99), 6) AS first_token_p99 FROM (SELECT CASE WHEN run_type = 'llm' THEN latency_s / 4 END AS t FROM runs_events)")
+def f6_first_token(spark, d):
+    runs = view(spark, d, "runs_events").withColumn("first_token_s", F.when(F.col("run_type") == "llm", F.col("latency_s") / 4))
+    return rounded(M.run_stats(runs).select("first_token_p50", "first_token_p99"))
+
+
 @query("""SELECT name, coalesce(run_count, 0) AS run_count, error_rate, total_cost, latency_p50, latency_p99, total_tokens FROM (SELECT DISTINCT concat('prj/', lower(c_mktsegment)) AS name FROM customer UNION SELECT concat('prj/', lower(r_name)) FROM region) p LEFT JOIN (SELECT project AS name, count(*) AS run_count,
     round(avg(CASE WHEN error IS NULL THEN 0.0 ELSE 1.0 END), 6) AS error_rate, round(sum(CAST(total_cost AS DECIMAL(38, 12))), 4)::DOUBLE AS total_cost, round(quantile_cont(latency_s, 0.5), 6) AS latency_p50, round(quantile_cont(latency_s, 0.99), 6) AS latency_p99, sum(total_tokens)::BIGINT AS total_tokens FROM runs_trace GROUP BY project) USING (name)""", TRACE)
 def f7_project_stats(spark, d):
@@ -259,7 +273,8 @@ def f10_field_profile(spark, d):
     return rounded(D.profile_fields(leaves, runs.count()).drop("number_sum", "sample"))
 
 
-@query()
+@query(f"""SELECT project, language, sum(n)::BIGINT AS n, round(sum(n) * 100.0 / any_value(a), 1) AS pct FROM (SELECT project, CASE WHEN r <= 3 THEN language ELSE 'others' END AS language, n, a FROM (SELECT project, language, count(*) AS n, sum(count(*)) OVER (PARTITION BY project) AS a,
+    row_number() OVER (PARTITION BY project ORDER BY count(*) DESC, language) AS r FROM (SELECT project, {language_sql('text')} AS language FROM runs_docs) WHERE language IS NOT NULL GROUP BY project, language)) GROUP BY project, language""", ("runs_docs",))
 def f11_language_distribution(spark, d):
     return language_distribution(view(spark, d, "runs_docs"), ["project"], "text")
 
@@ -269,7 +284,7 @@ def f11_language_distribution(spark, d):
 def f12_schema_inference(spark, d):
     flip = F.when(F.length("id") % 2 == 0, F.concat(F.lit('"'), "id", F.lit('"'))).otherwise(F.col("id"))
     runs = view(spark, d, "runs_events").withColumn("payload", F.concat(F.left(_payload(), F.length(_payload()) - 1), F.lit(',"flip":'), flip, F.lit("}")))
-    return D.infer_schema(runs, "id", "payload")
+    return D.infer_schema(runs, "id", "payload").drop("sample")
 
 
 @query("SELECT project, count(*) AS run_count, strftime(min(start_time), '%Y-%m-%d %H:%M:%S') AS oldest, strftime(max(start_time), '%Y-%m-%d %H:%M:%S') AS newest FROM runs_events GROUP BY project")
@@ -288,6 +303,11 @@ def f15_error_patterns(spark, d):
     return M.error_patterns(view(spark, d, "runs_trace"))
 
 
+@query("SELECT error, count(*) AS n FROM runs_trace WHERE error IS NOT NULL GROUP BY error ORDER BY n DESC, error LIMIT 5", TRACE)
+def f15_error_counts(spark, d):
+    return M.error_counts(view(spark, d, "runs_trace"))
+
+
 @query("SELECT count(*) AS total, count(*) - count(error) AS successful, count(error) AS failed, round((count(*) - count(error)) * 100.0 / count(*), 6) AS success_pct FROM runs_trace", TRACE)
 def f16_success_report(spark, d):
     return rounded(M.success_report(view(spark, d, "runs_trace")))
@@ -308,6 +328,14 @@ def f19_feedback_averages(spark, d):
     return rounded(M.feedback_averages(view(spark, d, "feedback")))
 
 
+@query("""SELECT * FROM (SELECT project AS name, count(*) AS run_count, 0.0 AS error_rate, round(quantile_cont(n_chars / 1000, 0.5), 6) AS latency_p50, round(quantile_cont(n_chars / 1000, 0.99), 6) AS latency_p99, sum(n_chars)::BIGINT AS total_tokens, round(sum(n_chars) / 1000, 3) AS total_cost FROM runs_docs GROUP BY project)
+    LEFT JOIN (SELECT d.project AS name, key, count(score) AS n, round(avg(score), 6) AS avg_score FROM feedback f JOIN runs_docs d ON d.id = f.run_id GROUP BY ALL) USING (name)""", ("runs_docs", "feedback"))
+def f19_experiment_results(spark, d):
+    runs = view(spark, d, "runs_docs").withColumns({"parent_run_id": F.lit(None).cast("string"), "start_time": F.lit(None).cast("timestamp"), "latency_s": F.col("n_chars") / 1000, "total_tokens": F.col("n_chars"), "total_cost": F.col("n_chars") / 1000})
+    names = runs.select(F.col("project").alias("name")).distinct()
+    return rounded(M.experiment_results(names, runs, view(spark, d, "feedback")), total_cost=3)
+
+
 @query("SELECT l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY 1", ())
 def f20_payload_items(spark, d):
     packed = view(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("line"))).alias("items"))).alias("payload"))

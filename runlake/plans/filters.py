@@ -12,7 +12,7 @@ from runlake.operators import predicates as P
 from runlake.operators import sampling as S
 from runlake.operators.entities import contains_metadata, list_entities, prune
 from runlake.operators.text import language
-from runlake.plans.fixtures import NOW, view, with_maps
+from runlake.plans.fixtures import NOW, language_sql, view, with_maps
 from runlake.plans.registry import query
 
 LLM = ("runs_trace_llm",)
@@ -157,7 +157,7 @@ def c21_json_text(spark, d):
     return view(spark, d, "runs_events").select("id", C.json_text("id", "error", F.col("total_tokens").alias("tokens")).alias("line"))
 
 
-@query()
+@query(f"SELECT lang, {language_sql('text')} AS found, count(*) AS n FROM runs_docs GROUP BY ALL", ("runs_docs",))
 def c23_language(spark, d):
     docs = view(spark, d, "runs_docs")
     return docs.select("lang", language("text").alias("found")).groupBy("lang", "found").agg(F.count("*").alias("n"))
@@ -248,10 +248,9 @@ def d13_predicates(spark, d):
     return events(spark, d).where(P.any_of(P.all_of(F.col("run_type").isin("llm", "tool"), c >= 2, P.none_of(P.eq("name", "view"), P.neq("error", None))), P.all_of(no_env, c < 0.3))).select("id")
 
 
-@query("SELECT run_type, parent_run_id IS NULL AS root, count(*) AS n FROM runs_trace WHERE trace_id IN (SELECT trace_id FROM runs_trace_root WHERE o < 40) GROUP BY ALL".replace("o < 40", "CAST(substr(trace_id, 2) AS INT) < 40"), TRACE)
+@query("SELECT run_type, parent_run_id IS NULL AS root, count(*) AS n FROM runs_trace GROUP BY ALL", TRACE)
 def d14_root_scope(spark, d):
-    runs = view(spark, d, "runs_trace").where(F.substr("trace_id", F.lit(2)).cast("int") < 40)
-    return runs.groupBy("run_type", P.root_scope(True).alias("root")).agg(F.count("*").alias("n"))
+    return view(spark, d, "runs_trace").groupBy("run_type", P.root_scope(True).alias("root")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) FILTER (WHERE contains(model, 'gpt-4')) AS anywhere, count(*) FILTER (WHERE model = 'gpt-4o') AS exact, count(*) FILTER (WHERE run_type = 'llm' AND model <> 'unknown') AS billable FROM runs_trace", TRACE)

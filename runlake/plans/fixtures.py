@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlake.operators.text import LOOKED_AT, SHORTEST, STOP_WORDS
+
 #: "Now" of the fixtures.
 NOW = datetime(2024, 1, 31)
 
@@ -86,3 +88,13 @@ def with_maps(events: DataFrame) -> DataFrame:
     """`runs_events` with `tags` and `metadata`."""
     tags = F.array_compact(F.array("tag_len", "tag_env"))
     return events.withColumns({"tags": tags, "metadata": F.from_json("props", "map<string,string>")})
+
+
+def language_sql(text: str) -> str:
+    """The language of a text by stop words, in DuckDB."""
+    words = f"string_split_regex(lower(left({text}, {LOOKED_AT})), '[^\\p{{L}}]+')"
+    counts = {}
+    for code, known in sorted(STOP_WORDS.items()):
+        counts[code] = f"len(list_filter({words}, lambda w: w IN ({', '.join(repr(w) for w in known.split())})))"
+    best = f"greatest({', '.join(counts.values())})"
+    return f"CASE WHEN length({text}) < {SHORTEST} OR {best} = 0 THEN NULL {' '.join(f"WHEN {n} = {best} THEN '{code}'" for code, n in counts.items())} END"

@@ -51,6 +51,26 @@ def a2_load_projects(spark, d):
     return runs.groupBy("project").agg(F.count("*").alias("n")).unionAll(missing.select("project", F.lit(0).alias("n")))
 
 
+def stored_sources(spark, d) -> dict[str, str]:
+    """Events of three projects as JSON lines in folders, and a fourth that is not there."""
+    path = new_path(spark, "sources")
+    runs = view(spark, d, "runs_events").where(F.col("project").isin("svc/0", "svc/1", "svc/2")).withColumn("folder", F.substr("project", F.lit(5)))
+    runs.withColumn("start_time", F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).select(*_FIELDS, "project", "folder").write.partitionBy("folder").json(path)
+    return {f"svc/{n}": f"{path}/folder={n}" for n in (0, 1, 2, 9)}
+
+
+@query("SELECT source, n, reason FROM (SELECT project AS source, least(count(*), 50) AS n, CAST(NULL AS STRING) AS reason FROM runs_events WHERE project IN ('svc/0', 'svc/1', 'svc/2') GROUP BY project UNION ALL SELECT 'svc/9', 0, 'PATH_NOT_FOUND')")
+def a4_failed_sources(spark, d):
+    runs, failed = jsonl.load_sources(spark, stored_sources(spark, d), SCHEMA, limit=50)
+    read = runs.groupBy("source").agg(F.count("*").alias("n")).withColumn("reason", F.lit(None).cast("string"))
+    return read.unionByName(failed.select("source", F.lit(0).alias("n"), "reason"))
+
+
+@query("SELECT id, name, 1 AS failed_sources FROM runs_events WHERE project IN ('svc/0', 'svc/1', 'svc/2') ORDER BY start_time DESC, id LIMIT 10")
+def j1_failed_sources(spark, d):
+    return monitor.latest_of_sources(spark, stored_sources(spark, d), SCHEMA).select("id", "name", "failed_sources")
+
+
 @query("""SELECT concat('{"id":"', CAST(event_id AS STRING), '","type":"', event_type, '"}') AS line FROM events WHERE event_id % 3 > 0 ORDER BY line LIMIT 100""", ())
 def a5_raw_sample(spark, d):
     path = new_path(spark, "raw")
@@ -99,7 +119,11 @@ def b3_idempotent_append(spark, d):
     return spark.read.parquet(path).where(~F.col("id").endswith("-1")).select("id", "row_key")
 
 
-@query("SELECT CAST(doc_id AS STRING) AS id, CASE WHEN doc_id % 2 = 0 THEN concat('[binary:audio/wav:', CAST(length(text) + 22 AS STRING), 'bytes:...]') ELSE md5(text) END AS inputs FROM documents", ())
+_PLAIN = "CASE WHEN length({0}) >= 10000 AND regexp_full_match(left({0}, 200), '[A-Za-z0-9+/=\\n\\r ]*') THEN concat('[binary:base64:', CAST(length({0}) AS STRING), 'bytes:...]') ELSE md5({0}) END"
+_URI = "concat('[binary:audio/wav:', CAST(length(text) + 22 AS STRING), 'bytes:...]')"
+
+
+@query(f"SELECT CAST(doc_id AS STRING) AS id, CASE WHEN doc_id % 2 = 0 THEN {_URI} ELSE {_PLAIN.format('text')} END AS inputs FROM documents", ())
 def b4_strip_at_ingest(spark, d):
     docs = view(spark, d, "documents")
     runs = docs.select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("data:audio/wav;base64,"), "text")).otherwise(F.col("text")).alias("inputs"))
@@ -107,6 +131,18 @@ def b4_strip_at_ingest(spark, d):
     return out.select("id", F.when(F.col("inputs").startswith("[binary:"), F.col("inputs")).otherwise(F.md5("inputs")).alias("inputs"))
 
 
+@query(f"SELECT CAST(doc_id AS STRING) AS id, {_URI} AS media, {_PLAIN.format('text')} AS part, {_PLAIN.format('long')} AS deep, 'data:;base64,' AS name FROM (SELECT doc_id, text, repeat(left(md5(text), 20), 600) AS long FROM documents WHERE text IS NOT NULL)", ())
+def b4_strip_nested(spark, d):
+    """Media at several depths of a payload; keys that look like media stay."""
+    docs = view(spark, d, "documents").where(F.col("text").isNotNull())
+    uri, long = F.concat(F.lit("data:audio/wav;base64,"), "text"), F.repeat(F.left(F.md5("text"), F.lit(20)), F.lit(600))
+    inner = F.struct(uri.alias("media"), F.array("text").alias("parts"), F.array(F.struct(long.alias("deep"), F.lit('a "quoted\\" text').alias("short"))).alias("list"))
+    payload = F.to_json(F.struct(F.col("doc_id").alias("n"), inner.alias("a"), F.create_map(F.lit("data:;base64,"), F.lit(1)).alias("keys")))
+    runs = jsonl.strip_payloads(docs.select(F.col("doc_id").cast("string").alias("id"), payload.alias("inputs")), "inputs")
+    out = runs.select("id", *(F.get_json_object("inputs", at).alias(n) for n, at in (("media", "$.a.media"), ("part", "$.a.parts[0]"), ("deep", "$.a.list[0].deep"))), F.get(F.json_object_keys(F.get_json_object("inputs", "$.keys")), F.lit(0)).alias("name"))
+    return out.withColumns({c: F.when(F.col(c).startswith("[binary:"), F.col(c)).otherwise(F.md5(c)) for c in ("part", "deep")})
+
+
 @query("SELECT project, count(*) AS n FROM runs_events WHERE CAST(id AS BIGINT) % 7 = 0 GROUP BY project")
 def e4_dedup_against_stored(spark, d):
     runs = view(spark, d, "runs_events")
@@ -188,3 +224,17 @@ def j6_late_rows(spark, d):
     good, _ = jsonl.parse_runs(jsonl.read_lines(spark, stored_lines(spark, d)), SCHEMA)
     stored = good.where(F.col("start_time") >= F.lit("2024-01-03").cast("timestamp"))
     return jsonl.new_rows(good, stored, [F.desc("start_time")]).groupBy("project").agg(F.count("*").alias("late"))
+
+
+@query("SELECT (SELECT count(*) FROM runs_events WHERE start_time < TIMESTAMP '2024-01-03' AND start_time < (SELECT max(start_time) FROM runs_events) - INTERVAL 2 DAY)::BIGINT AS late, (SELECT count(*) FROM runs_events WHERE start_time >= TIMESTAMP '2024-01-03' OR start_time >= (SELECT max(start_time) FROM runs_events) - INTERVAL 2 DAY)::BIGINT AS kept")
+def j6_late_stream(spark, d):
+    """A stream whose oldest runs come last: those beyond the watermark, which counts from the next but one batch on, are kept out and counted."""
+    path, out = new_path(spark, "late"), new_path(spark, "kept")
+    runs = view(spark, d, "runs_events").withColumn("start_time", F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    line = runs.select("start_time", F.to_json(F.struct(*_FIELDS, "project")).alias("value"))
+    for part in (F.col("start_time") >= "2024-01-04", F.col("start_time").startswith("2024-01-03"), F.col("start_time") < "2024-01-03"):
+        line.where(part).select("value").coalesce(1).write.mode("append").text(path)
+    stream = monitor.once_per_id(monitor.run_stream(spark, path, SCHEMA, files_per_trigger=1), "2 days")
+    q = monitor.to_table(stream, out, new_path(spark, "checkpoint"))
+    q.awaitTermination()
+    return spark.read.parquet(out).agg(F.lit(monitor.late_rows(q)).cast("long").alias("late"), F.count("*").alias("kept"))

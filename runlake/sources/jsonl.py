@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlake.functions.columns import strip_binary
+from runlake.operators.sampling import top_per
 
 #: Where a line that could not be used went wrong.
 BAD = "__corrupt"
@@ -42,6 +44,18 @@ def load_projects(stored: DataFrame, wanted: list[str]) -> tuple[DataFrame, Data
     return runs, names.join(runs.select("project").distinct(), "project", "left_anti")
 
 
+def load_sources(spark: SparkSession, sources: dict[str, str], schema: T.StructType, limit: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(runs, failed) of JSON-line sources by name: runs with their `source`, at most `limit` of each, newest first (0 is all); a source that cannot be opened is captured as (source, reason) and the others are read."""
+    runs, failed = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("source", T.StringType())])), []
+    for name, path in sources.items():
+        try:
+            runs = runs.unionByName(spark.read.schema(schema).json(path).withColumn("source", F.lit(name)))
+        except AnalysisException as why:
+            failed.append((name, why.getCondition()))
+    runs = top_per(runs, ["source"], limit) if limit else runs
+    return runs, spark.createDataFrame(failed, "source string, reason string")
+
+
 def valid_examples(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(examples, quarantine): a line is an object whose `inputs` is an object and whose `outputs` is one, null or missing."""
     v = F.try_parse_json("line")
@@ -71,14 +85,19 @@ def strip_payloads(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def append_runs(batch: DataFrame, path: str, order: list[Column]) -> DataFrame:
-    """Appends the new runs of `batch` to the Parquet table at `path`, by project; gives what was appended."""
+    """Appends the new runs of `batch` to the Parquet table at `path`, by project; gives what was appended.
+
+    Ids are compared within a project, so of the stored table only the folders of the batch's projects are read.
+    """
     spark = batch.sparkSession
     try:
-        stored = spark.read.schema(batch.schema).parquet(path).select("id")
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
+        stored = spark.read.schema(batch.schema).parquet(path).select("id", "project")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        stored = batch.select("id").limit(0)
-    fresh = new_rows(batch, stored, order)
+        stored = batch.select("id", "project").limit(0)
+    projects = [r.project for r in batch.select("project").distinct().collect()]  # folder names
+    here = F.col("project").isin([p for p in projects if p is not None])
+    fresh = new_rows(batch, stored.where(here | F.col("project").isNull() if None in projects else here), order)
     fresh.write.mode("append").partitionBy("project").parquet(path)
     return fresh

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from runlake.sources.jsonl import BAD
+from runlake.operators.sampling import top_per
+from runlake.sources.jsonl import BAD, load_sources
 
 LATEST = 10
 
@@ -44,7 +45,19 @@ def latest_roots(batch: DataFrame, before: DataFrame | None = None, n: int = LAT
     """The `n` newest root runs of a batch and of those kept so far; of an id the newest row."""
     roots = batch.where(F.col("parent_run_id").isNull())
     roots = roots if before is None else roots.unionByName(before)
-    return roots.orderBy(F.desc("start_time"), "id").dropDuplicates(["id"]).orderBy(F.desc("start_time"), "id").limit(n)
+    rest = [F.asc(c) for c in roots.columns if c not in ("id", "start_time")]
+    return top_per(roots, ["id"], 1, [F.desc("start_time"), *rest]).orderBy(F.desc("start_time"), "id").limit(n)
+
+
+def latest_of_sources(spark: SparkSession, sources: dict[str, str], schema: T.StructType, n: int = LATEST) -> DataFrame:
+    """The `n` newest root runs of all sources that can be read, each with the number of those that cannot."""
+    runs, failed = load_sources(spark, sources, schema)
+    return latest_roots(runs, n=n).withColumn("failed_sources", F.lit(failed.count()))
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query's watermark kept out, over the batches its progress tells of."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
 
 
 def for_each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
