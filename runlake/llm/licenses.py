@@ -12,41 +12,85 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-# Licences and their usual statements.
-TEMPLATES = [
+# Licences without families of versions, and their usual statements.
+STATEMENTS = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction."),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Apache-1.1", "Licensed under the Apache Software License, Version 1.1."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. Licensed under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-4-Clause", "All advertising materials mentioning features or use of this software must display the following acknowledgement. Licensed under the BSD 4-Clause License."),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("EPL-1.0", "This program is made available under the terms of the Eclipse Public License v1.0."),
+    ("EPL-2.0", "This program is made available under the terms of the Eclipse Public License 2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Zlib", "This software is provided under the zlib License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
 ]
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    " Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    " Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+# Names and versions of the licences that come in families.
+GNU = [("GPL", "General", ("1", "2", "3")), ("LGPL", "Lesser General", ("2.1", "3")), ("AGPL", "Affero General", ("3",))]
+CREATIVE_COMMONS = {"BY": "Attribution", "NC": "NonCommercial", "SA": "ShareAlike", "ND": "NoDerivatives"}
+CREATIVE_KINDS, CREATIVE_VERSIONS = ("BY", "BY-NC", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND"), ("2.0", "3.0", "4.0")
+
+
+def _families() -> list[tuple[str, str]]:
+    """Statements of each version of each family, and the SPDX line of every licence."""
+    out = [*STATEMENTS, ("BSD-2-Clause", _BSD), ("BSD-3-Clause", _BSD + " " + next(text for name, text in STATEMENTS if text.startswith("Neither")))]
+    for short, kind, versions in GNU:
+        for v in versions:
+            name = f"{short}-{v if '.' in v else v + '.0'}"
+            out.append((name, f"Licensed under the GNU {kind} Public License, version {v}."))
+            out.append((name, f"This work is licensed under the GNU {kind} Public License, version {v}."))
+            out.append((name, f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation, either version {v} of the License, or any later version."))
+    for kind in CREATIVE_KINDS:
+        long = "-".join(CREATIVE_COMMONS[part] for part in kind.split("-"))
+        for v in CREATIVE_VERSIONS:
+            out += [(f"CC-{kind}-{v}", f"Licensed under CC {kind} {v}."), (f"CC-{kind}-{v}", f"This work is licensed under a Creative Commons {long} {v} License.")]
+    return out + [(name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in out})]
+
+
+#: (licence, statement); a statement fits a text only where all its numbers, so its version and clauses, are in the text.
+TEMPLATES = _families()
+#: Templates are broadcast; there may be so many.
+MOST_TEMPLATES = 10_000
 #: A line that matches is a header; RE2 and Java read it alike.
 HEADER = "(?i)licen[cs]e|copyright|spdx|redistribut|permission is hereby|public domain"
 #: A file of such a name speaks for its directory.
 FILE_NAME = "(?i)^(licen[cs]e|copying|notice)"
 #: Least cosine of a match. A file whose whole text comes so near to a template is a licence file too.
 LEAST = 0.5
+#: The next best licence must lie so far below the best, or none is named.
+MARGIN = 0.03
 
 
 def plain_words(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    """Words in small letters; a version is one word, and 2.0 reads like 2."""
+    whole = F.regexp_replace(F.lower(text), "([0-9])\\.0\\b", "$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(whole, "([0-9])\\.([0-9])", "$1p$2"), "[^a-z0-9]+", " "))
 
 
-def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
+def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, margin: float = MARGIN) -> DataFrame:
     """path, licence, how ('header', 'file', 'inherited' or null), cosine, declared_by for every row of `files` (path, text).
 
-    Of several matches of a file the highest cosine counts, then the licence's name; a statement found in a
-    licence file counts as 'file'. Null and empty texts have no statement but may inherit; rows with a null
+    A statement names the licence whose template is nearest, if it has that template's numbers and no other
+    licence is as near but for `margin`. Of several statements of a file the highest cosine counts, then the
+    licence's name; a statement found in a licence file counts as 'file'. Null and empty texts have no statement but may inherit; rows with a null
     path come back without a licence. Rows that repeat a path are one file: each gets the path's result.
     """
+    if len(templates) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
     spark = files.sparkSession
     known = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(templates)], "template int, licence string, text string")
     files = files.select("path", "text")
@@ -66,11 +110,17 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     weight = (1 + F.log("tf")) * (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1)
     weighed = terms.join(df, "term").select("unit", "term", weight.alias("w"))
     own = own.join(df, "term").select("template", "licence", "term", weight.alias("v"))
-    norms = own.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    dots = weighed.join(F.broadcast(own), "term").groupBy("unit", "template", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    number = F.col("term").rlike("[0-9]")
+    norms = own.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"), F.count_if(number).alias("numbers"))
+    dots = weighed.join(F.broadcast(own), "term").groupBy("unit", "template", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.count_if(number).alias("shared"))
     sizes = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    cosine = dots.join(F.broadcast(norms), "template").join(sizes, "unit").select("unit", "licence", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6).alias("cosine"))
-    found = cosine.where(F.col("cosine") >= least).groupBy("unit", "licence").agg(F.max("cosine").alias("cosine"))
+    cosine = dots.join(F.broadcast(norms), "template").where(F.col("shared") == F.col("numbers")).join(sizes, "unit")
+    cosine = cosine.groupBy("unit", "licence").agg(F.max(F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6)).alias("cosine"))
+    # a list holds each licence once
+    ranked = cosine.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "licence"))).alias("ranked"))
+    best, other = F.get("ranked", F.lit(0)), F.get("ranked", F.lit(1))
+    clear = (-best["c"] >= least) & (other.isNull() | (F.round(other["c"] - best["c"], 6) >= margin))
+    found = ranked.where(clear).select("unit", best["licence"].alias("licence"), (-best["c"]).alias("cosine"))
 
     # largest cosine, then the licence that comes first: the minimum of (-cosine, licence)
     name = F.element_at(F.split("path", "/"), -1)
@@ -97,9 +147,9 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     )
 
 
-def oracle_sql(path: str = "concat('documents/', source, '/', lang, '/', doc_id)", templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> str:
+def oracle_sql(path: str = "concat('documents/', source, '/', lang, '/', doc_id)", templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST, margin: float = MARGIN) -> str:
     """The same in DuckDB over `documents`; `path` makes a row's path."""
-    plain = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'), ' ')"
+    plain = "trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '([0-9])\\.0\\b', '\\1', 'g'), '([0-9])\\.([0-9])', '\\1p\\2', 'g'), '[^a-z0-9]+', ' ', 'g'), ' ')"
     values = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(templates))
     name = f"regexp_matches(list_last(string_split(path, '/')), '{FILE_NAME}')"
     return f"""
@@ -117,10 +167,12 @@ df AS (SELECT term, sum(times) AS df FROM (SELECT term, times FROM terms UNION A
 total AS (SELECT count(*) + {len(templates)} AS total FROM spoken),
 weighed AS (SELECT unit, term, (1 + ln(tf)) * (ln((1 + total) / (1 + df)) + 1) AS w FROM terms JOIN df USING (term), total),
 ownw AS (SELECT template, licence, term, (1 + ln(tf)) * (ln((1 + total) / (1 + df)) + 1) AS v FROM own JOIN df USING (term), total),
-norms AS (SELECT template, sqrt(sum(v * v)) AS norm FROM ownw GROUP BY template),
+norms AS (SELECT template, sqrt(sum(v * v)) AS norm, count(*) FILTER (WHERE regexp_matches(term, '[0-9]')) AS numbers FROM ownw GROUP BY template),
 sizes AS (SELECT unit, sqrt(sum(w * w)) AS size FROM weighed GROUP BY unit),
-dots AS (SELECT unit, template, licence, sum(w * v) AS dot FROM weighed JOIN ownw USING (term) GROUP BY ALL),
-found AS (SELECT unit, licence, max(round(dot / (norm * size), 6)) AS cosine FROM dots JOIN norms USING (template) JOIN sizes USING (unit) WHERE round(dot / (norm * size), 6) >= {least} GROUP BY ALL),
+dots AS (SELECT unit, template, licence, sum(w * v) AS dot, count(*) FILTER (WHERE regexp_matches(term, '[0-9]')) AS shared FROM weighed JOIN ownw USING (term) GROUP BY ALL),
+cosines AS (SELECT unit, licence, max(round(dot / (norm * size), 6)) AS cosine FROM dots JOIN norms USING (template) JOIN sizes USING (unit) WHERE shared = numbers GROUP BY ALL),
+ranked AS (SELECT unit, licence, cosine, row_number() OVER best AS r, lead(cosine) OVER best AS next FROM cosines WINDOW best AS (PARTITION BY unit ORDER BY cosine DESC, licence)),
+found AS (SELECT unit, licence, cosine FROM ranked WHERE r = 1 AND cosine >= {least} AND (next IS NULL OR round(cosine - next, 6) >= {margin})),
 hits AS (SELECT path, whole OR {name} AS speaks, -cosine AS c, licence FROM spoken JOIN found ON words = unit),
 per_path AS (SELECT path, min((c, licence)) AS own, min((c, licence)) FILTER (WHERE speaks) AS file FROM hits GROUP BY path),
 declared AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS folder, min((file[1], file[2], path)) AS by_ FROM per_path WHERE file IS NOT NULL GROUP BY 1),
