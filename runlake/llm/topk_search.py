@@ -48,7 +48,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = BLOC
 
     `vectors` and `queries` are frames of (vec_id, q) as `quantized` makes them. A query's own id is no
     candidate. Ties go to the smaller vec_id, with fewer than k candidates all are returned, and rows with
-    another number of dimensions than a query take no part in it. Inner products are exact while they stay
+    another number of dimensions than a query take no part in it. Every row is a candidate of its own, also
+    where rows repeat a vec_id, and every query row has a result of its own: repeated ones come back repeated. Inner products are exact while they stay
     under 2**53. Empty inputs give no rows. Work is queries times candidates, as the contract asks.
     """
     spark = vectors.sparkSession
@@ -127,11 +128,12 @@ def _one_block(vectors: DataFrame, rows: list, dims: int, k: int) -> DataFrame:
                 i, mine = int(rows[j]), ok[j]
                 both = best.get(i, []) + list(zip((-s[j, mine]).tolist(), cand[mine].tolist(), strict=True))
                 best[i] = sorted(both)[:k]
-        rows_ = [(int(ids[i]), v, -s) for i, pairs in best.items() for s, v in pairs]
+        rows_ = [(i, int(ids[i]), v, -s) for i, pairs in best.items() for s, v in pairs]
         if rows_:
-            a, b, c = zip(*rows_, strict=True)
-            yield pa.RecordBatch.from_pydict({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.int64())})
+            columns = (pa.array(c, pa.int64()) for c in zip(*rows_, strict=True))
+            yield pa.RecordBatch.from_arrays(list(columns), ["i", "query_id", "vec_id", "score"])
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kept = vectors.mapInArrow(winners, "query_id long, vec_id long, score long")
+    # by the query's place in the block, not its id, which may be repeated
+    order = Window.partitionBy("i").orderBy(F.desc("score"), "vec_id")
+    kept = vectors.mapInArrow(winners, "i long, query_id long, vec_id long, score long")
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
