@@ -9,7 +9,7 @@ bins of many shards are then packed together once more, so that shards cost next
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +25,9 @@ from .tokens import token_ids
 SHARD = 4096
 #: Shards whose loosest bins are packed together.
 GATHERED = 64
-ISLANDS, ROUNDS, POPULATION, OFFSPRING = 2, 2, 4, 6
+ISLANDS, ROUNDS, POPULATION, OFFSPRING = 2, 3, 4, 12
+#: Bins tried, and displaced pieces paired, in the exchange of one crossover.
+EXCHANGED = 64
 
 
 def pieces_of(docs: DataFrame, tokenizer_json: str, pattern: str | None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -75,8 +77,45 @@ def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[int, fl
     return len(fill), -float(np.square(fill / capacity).mean())
 
 
+def exchange(sizes: np.ndarray, bins: np.ndarray, displaced: list[int], capacity: int, rng: np.random.Generator) -> list[int]:
+    """Bins give up one or two pieces for displaced ones that fill them better; what is displaced then is smaller and easier to place.
+
+    Some bins with room are tried, each for its best exchange; `bins` is changed and the pieces now displaced are given.
+    """
+    placed = np.flatnonzero(bins >= 0)
+    room = capacity - np.bincount(bins[placed], sizes[placed]).astype(int)
+    tried = rng.permutation(np.flatnonzero(room > 0))[:EXCHANGED]
+    out = np.zeros(len(room), bool)
+    out[tried] = True
+    own: dict[int, list[int]] = {}
+    for i in placed[out[bins[placed]]].tolist():
+        own.setdefault(int(bins[i]), []).append(i)
+    loose = sorted((int(sizes[i]), i) for i in displaced)
+    for b in tried.tolist():
+        best, gives, takes = 0, (), ()
+        some = own[b][:8]
+        pool = loose[-EXCHANGED:]
+        for given in [(i,) for i in some] + [(i, j) for k, i in enumerate(some) for j in some[k + 1 :]]:
+            held = int(sizes[list(given)].sum())
+            most = held + int(room[b])
+            at = bisect_right(loose, (most, len(sizes))) - 1
+            if at >= 0 and loose[at][0] - held > best:
+                best, gives, takes = loose[at][0] - held, given, (at,)
+            for first in range(len(loose) - len(pool), len(loose)) if len(given) == 2 and best < room[b] else ():
+                at = bisect_right(loose, (most - loose[first][0], len(sizes)), 0, first) - 1
+                if at >= 0 and loose[first][0] + loose[at][0] - held > best:
+                    best, gives, takes = loose[first][0] + loose[at][0] - held, given, (first, at)
+        if best:
+            for at in takes:  # the later place first
+                bins[loose.pop(at)[1]] = b
+            for i in gives:
+                bins[i] = -1
+                insort(loose, (int(sizes[i]), i))
+    return [i for _, i in loose]
+
+
 def crossover(sizes: np.ndarray, mother: np.ndarray, father: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """The mother with whole well-filled bins of the father injected and displaced pieces best-fitted."""
+    """The mother with whole well-filled bins of the father injected; displaced pieces are exchanged for those of other bins, then best-fitted."""
     fill = np.bincount(father, sizes)
     good = np.flatnonzero(fill >= np.quantile(fill, 0.5))
     chosen = np.zeros(len(fill), bool)
@@ -86,15 +125,18 @@ def crossover(sizes: np.ndarray, mother: np.ndarray, father: np.ndarray, capacit
     hit[mother[injected]] = True
     # the mother's loosest bins are opened too: those are what the search has to empty
     own = np.bincount(mother, sizes)
-    hit[np.argsort(own)[: max(1, len(own) // 50)]] = True
+    hit[np.argsort(own)[: max(2, len(own) // 50)]] = True
     displaced = np.flatnonzero(hit[mother] & ~injected)
     child = mother.copy()
     child[injected] = father[injected] + len(hit)
     keep = np.ones(len(child), bool)
     keep[displaced] = False
     child[keep] = dense(child[keep])
+    child[displaced] = -1
+    left = np.array(exchange(sizes, child, displaced.tolist(), capacity, rng) if keep.any() else displaced, np.int64)
+    keep = child >= 0
     fill = np.bincount(child[keep], sizes[keep]).astype(int).tolist() if keep.any() else []
-    best_fit(sizes, displaced, child, fill, capacity)
+    best_fit(sizes, left, child, fill, capacity)
     return dense(child)
 
 
