@@ -1,9 +1,10 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
 The tree has a fixed depth: the number of words of a line, then its leading words; words with a digit are
-variable fields and read as <*>. A leaf's template is its most frequent line. A line belongs to that
-template if at least three of the four quarters of its words are the same (the rest is a variable field),
-otherwise it stands for itself. Lines whose template recurs across documents are dropped, all but the first.
+variable fields and read as <*>. A leaf holds any number of templates: a template is a line of which one
+quarter of the words is a variable field, so lines share it if their other three quarters are the same. Of
+the templates that a line could have it takes the one that occurs in most documents. Lines whose template
+recurs across documents are dropped, all but the first.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ MIN_DOCS = 3
 
 
 def _parsed(docs: DataFrame, depth: int, min_words: int) -> DataFrame:
-    """(doc_id, pos, leaf, line, q1..q4) of the lines with enough words; texts stay behind, as hashes."""
+    """(doc_id, pos, leaf, q1..q4) of the lines with enough words; texts stay behind, as hashes."""
     lines = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     # most lines need neither rewriting
     spaced = reduce(or_, (F.col("line").contains(x) for x in ("  ", "\t", "\r", "\f", "\x0b")))
@@ -34,24 +35,25 @@ def _parsed(docs: DataFrame, depth: int, min_words: int) -> DataFrame:
     lines = lines.withColumn("n", F.when(F.col("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)).where(F.col("n") >= min_words)
     heads = [F.expr(f"substring_index(line, ' ', cast(floor(n * {i} / 4) as int))") for i in range(5)]
     quarters = [F.xxhash64(F.substr("line", F.length(a) + 1, F.length(b) - F.length(a))).alias(f"q{i + 1}") for i, (a, b) in enumerate(zip(heads, heads[1:], strict=False))]
-    return lines.select("doc_id", "pos", F.xxhash64("n", F.substring_index("line", " ", depth)).alias("leaf"), F.xxhash64("line").alias("line"), *quarters)
+    return lines.select("doc_id", "pos", F.xxhash64("n", F.substring_index("line", " ", depth)).alias("leaf"), *quarters)
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, pos) of the lines to drop."""
     quarters = ["q1", "q2", "q3", "q4"]
     keys = written(_parsed(docs, depth, min_words), "lines")
-    by_doc = keys.groupBy("leaf", "line", "doc_id").agg(F.min("pos").alias("pos"), *(F.first(q).alias(q) for q in quarters))
-    by_line = by_doc.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("at"), *(F.first(q).alias(q) for q in quarters))
-    best = F.max_by(F.struct("line", *quarters), F.struct("n", (-F.col("at.doc_id")).alias("a"), (-F.col("at.pos")).alias("b"))).alias("best")
-    # a leaf that one document alone has, or one line alone without enough documents, holds nothing to drop
-    leaves = written(by_line.groupBy("leaf").agg(best, F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "best"), "leaves")
-    same = sum((F.col(q) == F.col(f"best.{q}")).cast("int") for q in quarters)
-    named = keys.join(sized(leaves), "leaf").select("doc_id", "pos", "leaf", F.when(same >= 3, F.col("best.line")).otherwise(F.col("line")).alias("template"))
-    per_doc = named.groupBy("leaf", "template", "doc_id").agg(F.min("pos").alias("pos"))
-    recurring = per_doc.groupBy("leaf", "template").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where(F.col("n") >= min_docs)
-    # both joins stay out of the shuffle where the templates are few enough, so a very common line is no hot key
-    found = named.join(sized(written(recurring, "recurring")), ["leaf", "template"])
+    # a leaf that fewer documents have holds nothing to drop
+    leaves = keys.select("leaf", "doc_id").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    open_ = keys.join(sized(written(leaves, "leaves")), "leaf", "left_semi")
+    templates = F.array(*(F.xxhash64("leaf", F.lit(k), *(q for q in quarters if q != left_out)) for k, left_out in enumerate(quarters)))
+    possible = open_.select("doc_id", "pos", F.posexplode(templates).alias("k", "template"))
+    # counted by document first, so a very common line is no hot key
+    counts = possible.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    best = F.max(F.struct("n", (-F.col("k")).alias("k"), "template")).alias("best")
+    named = written(possible.join(sized(written(counts, "templates")), "template").groupBy("doc_id", "pos").agg(best).select("doc_id", "pos", "best.template"), "named")
+    per_doc = named.groupBy("template", "doc_id").agg(F.min("pos").alias("pos"))
+    recurring = per_doc.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where(F.col("n") >= min_docs)
+    found = named.join(sized(written(recurring, "recurring")), "template")
     return found.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos"))).select("doc_id", "pos")
 
 
@@ -92,19 +94,18 @@ WITH raw AS (
   SELECT doc_id, pos, len(w) AS n, w[1:{depth}] AS head, w,
     w[1:len(w) // 4] AS q1, w[len(w) // 4 + 1:len(w) * 2 // 4] AS q2, w[len(w) * 2 // 4 + 1:len(w) * 3 // 4] AS q3, w[len(w) * 3 // 4 + 1:] AS q4
   FROM words WHERE len(w) >= {min_words}
-), by_line AS (
-  SELECT n, head, w, count(DISTINCT doc_id) AS docs, min(doc_id) AS first_doc, arg_min(pos, (doc_id, pos)) AS first_pos,
-    any_value(q1) AS q1, any_value(q2) AS q2, any_value(q3) AS q3, any_value(q4) AS q4
-  FROM keys GROUP BY n, head, w
 ), leaves AS (
-  SELECT * FROM by_line QUALIFY row_number() OVER (PARTITION BY n, head ORDER BY docs DESC, first_doc, first_pos) = 1
+  SELECT n, head FROM keys GROUP BY n, head HAVING count(DISTINCT doc_id) >= {min_docs}
+), possible AS (
+  {" UNION ALL ".join(f"SELECT doc_id, pos, {k} AS k, n, head, {a} AS a, {b} AS b, {c} AS c FROM keys SEMI JOIN leaves USING (n, head)" for k, (a, b, c) in enumerate((("q2", "q3", "q4"), ("q1", "q3", "q4"), ("q1", "q2", "q4"), ("q1", "q2", "q3"))))}
+), counts AS (
+  SELECT k, n, head, a, b, c, count(DISTINCT doc_id) AS docs FROM possible GROUP BY k, n, head, a, b, c HAVING count(DISTINCT doc_id) >= {min_docs}
 ), named AS (
-  SELECT k.doc_id, k.pos, k.n, k.head, CASE WHEN (k.q1 = b.q1)::INT + (k.q2 = b.q2)::INT + (k.q3 = b.q3)::INT + (k.q4 = b.q4)::INT >= 3 THEN b.w ELSE k.w END AS template
-  FROM keys k JOIN leaves b ON k.n = b.n AND k.head = b.head
+  SELECT doc_id, pos, (k, n, head, a, b, c) AS template FROM possible JOIN counts USING (k, n, head, a, b, c) QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY docs DESC, k) = 1
 ), recurring AS (
-  SELECT n, head, template, min(doc_id) AS first_doc, arg_min(pos, (doc_id, pos)) AS first_pos FROM named GROUP BY n, head, template HAVING count(DISTINCT doc_id) >= {min_docs}
+  SELECT template, min(doc_id) AS first_doc, arg_min(pos, (doc_id, pos)) AS first_pos FROM named GROUP BY template HAVING count(DISTINCT doc_id) >= {min_docs}
 ), dropped AS (
-  SELECT m.doc_id, m.pos FROM named m JOIN recurring r ON m.n = r.n AND m.head = r.head AND m.template = r.template WHERE m.doc_id <> r.first_doc OR m.pos <> r.first_pos
+  SELECT m.doc_id, m.pos FROM named m JOIN recurring r ON m.template = r.template WHERE m.doc_id <> r.first_doc OR m.pos <> r.first_pos
 ), kept AS (
   SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.pos) FILTER (WHERE d.pos IS NULL) AS text, count(*) AS n_lines, count(d.pos) AS n_dropped
   FROM raw r LEFT JOIN dropped d ON r.doc_id = d.doc_id AND r.pos = d.pos GROUP BY r.doc_id

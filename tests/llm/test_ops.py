@@ -161,20 +161,25 @@ def naive_lines(texts):
             w = [re.sub(r"[^ ]*[0-9][^ ]*", "<*>", x) for x in re.sub(r"[ \t\r\f\v]+", " ", line).strip(" ").split(" ")]
             if len(w) >= lines.MIN_WORDS:
                 parsed.append((doc, pos, tuple(w)))
-    leaves = {}
+    in_leaf, docs_of = {}, {}
+    for doc, _, w in parsed:
+        in_leaf.setdefault((len(w), w[:3]), set()).add(doc)
+    possible = {}
     for doc, pos, w in parsed:
-        leaves.setdefault((len(w), w[:3]), {}).setdefault(w, []).append((doc, pos))
+        leaf = (len(w), w[:3])
+        cut = [len(w) * i // 4 for i in range(5)]
+        for k in range(4) if len(in_leaf[leaf]) >= lines.MIN_DOCS else ():
+            template = (k, leaf, *(w[cut[i] : cut[i + 1]] for i in range(4) if i != k))
+            docs_of.setdefault(template, set()).add(doc)
+            possible.setdefault((doc, pos), []).append(template)
+    groups = {}
+    for at, templates in possible.items():
+        best = min(templates, key=lambda t: (-len(docs_of[t]), t[0]))
+        groups.setdefault(best, []).append(at)
     dropped = set()
-    for (n, _), own in leaves.items():
-        best = min(own, key=lambda w: (-len({d for d, _ in own[w]}), min(own[w])))
-        cut = [n * i // 4 for i in range(5)]
-        groups = {}
-        for w, at in own.items():
-            same = sum(w[cut[i] : cut[i + 1]] == best[cut[i] : cut[i + 1]] for i in range(4))
-            groups.setdefault(best if same >= 3 else w, []).extend(at)
-        for at in groups.values():
-            if len({d for d, _ in at}) >= lines.MIN_DOCS:
-                dropped |= set(at) - {min(at)}
+    for at in groups.values():
+        if len({d for d, _ in at}) >= lines.MIN_DOCS:
+            dropped |= set(at) - {min(at)}
     return dropped
 
 
@@ -186,6 +191,7 @@ def test_lines(spark):
         own.insert(rng.randrange(4), f"Order {i} was shipped to customer c{i * 7} on day {i % 9}")
         own.insert(rng.randrange(4), "All rights are reserved by the usual owners" + rng.choice(["", "  ", "\t"]))
         own.insert(rng.randrange(4), f"The value of the thing is {rng.choice('abc')} and no more here today")
+        own.insert(rng.randrange(4), f"The value of the other one was never {rng.choice('abcdefghijkl')} before")
         texts.append("\n".join(own))
     texts += texts[5:9]
     want = naive_lines(texts)
