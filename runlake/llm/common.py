@@ -62,15 +62,16 @@ class Tables:
         return out
 
 
-def n_buckets(docs: DataFrame, bytes_each: int = 64 << 20, per_partition: int = 8) -> int:
+def n_buckets(docs: DataFrame, bytes_each: int = 64 << 20) -> int:
     """Buckets of a packed exchange of `docs.text`: one for each `bytes_each` of text, but some for each shuffle partition, so that none is large."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    return max(per_partition * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each))
+    return max(8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each))
 
 
 def bucketed(sent: DataFrame, buckets: int):
-    """`sent`, grouped by its column `bucket`; partitions follow the number of buckets, so a task holds few of them."""
-    partitions = max(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // 8))
+    """`sent`, grouped by its column `bucket`; where there are so many buckets that they follow the bytes of text, partitions do too, two buckets each."""
+    least = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = least if buckets <= 8 * least else -(-buckets // 2)
     return sent.repartition(partitions, "bucket").groupBy("bucket")
 
 
@@ -81,7 +82,7 @@ def needed_only(df: DataFrame, ids: DataFrame, key: str, limit: int = 2_000_000)
 
 
 def sized(df: DataFrame, limit: int = 250_000) -> DataFrame:
-    """`df`, a small or written table, marked for broadcasting if a count shows at most `limit` rows; else as it is."""
+    """`df`, a small or written table of a few numbers a row, marked for broadcasting if a count shows at most `limit` rows (10 MB); else as it is. A join of two large sides is left to Spark, which splits skewed keys."""
     return F.broadcast(df) if df.count() <= limit else df
 
 
