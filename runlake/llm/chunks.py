@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, n_buckets
+from .common import bucketed, n_buckets, with_places
 
 #: A cut where the hash has these bits clear: every 16 bytes on average.
 MASK = np.uint32(0b1111 << 12)
@@ -143,11 +143,13 @@ def dedup_substrings(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
 
     A chunk is repeated if its digest occurs at a smaller (doc_id, start). Runs of neighbouring repeated
     chunks of at least `min_run` bytes are removed. Null and empty texts have no chunks and come back as they
-    are, as do rows without a doc_id. Rows that repeat a doc_id count as one document and get the same cuts.
+    are, as do rows without a doc_id. Rows that repeat a doc_id with the same text are one document; further
+    texts of an id count as documents after all others.
     A cut within a character (chunks are bytes) drops the split character's remaining bytes.
     """
-    facts = repeated_chunks(docs).groupBy("doc_id").agg(F.collect_list("starts").alias("__repeated"))
-    joined = docs.select("doc_id", "text").join(facts, "doc_id", "left")
+    docs = with_places(docs)
+    facts = repeated_chunks(docs.select(F.col("place").alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("place")).agg(F.collect_list("starts").alias("__repeated"))
+    joined = docs.join(facts, "place", "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

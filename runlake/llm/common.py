@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Documents and bytes handed to Python at a time; texts may be long.
@@ -62,6 +62,25 @@ class Tables:
         return out
 
 
+def with_places(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, place): what stands for a row among all others, its doc_id as a rule.
+
+    Rows that repeat a doc_id with the same text are one. Of an id with different texts the first, by digest,
+    has the id as its place; the others come after all other documents.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    again = written(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return docs.withColumn("place", F.col("doc_id"))
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    texts = docs.join(sized(again), "doc_id", "left_semi").select("doc_id", digest.alias("digest")).distinct()
+    more = texts.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("digest"))).where("nth > 1")
+    top = docs.agg(F.max("doc_id").alias("top")).first().top
+    more = written(more.select("doc_id", "digest", (F.monotonically_increasing_id() + (top + 1)).alias("other")), "places")
+    out = docs.withColumn("digest", digest).join(sized(more), ["doc_id", "digest"], "left")
+    return out.select("doc_id", "text", F.coalesce("other", "doc_id").alias("place"))
+
+
 def n_buckets(docs: DataFrame, bytes_each: int = 64 << 20) -> int:
     """Buckets of a packed exchange of `docs.text`: one for each `bytes_each` of text, but some for each shuffle partition, so that none is large."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0

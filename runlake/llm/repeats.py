@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, mix, n_buckets, written
+from .common import bucketed, mix, n_buckets, with_places, written
 
 LENGTH = 100
 GRAM = 20
@@ -328,10 +328,12 @@ def dedup_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False
 
     A byte is removed if a string of `length` bytes that covers it also starts at a smaller (doc_id, start) in
     the input. Null texts are empty, texts shorter than `length` lose nothing, and rows without a doc_id take
-    no part and lose nothing. Rows that repeat a doc_id count as one document at one place.
+    no part and lose nothing. Rows that repeat a doc_id with the same text are one document; further texts of an
+    id count as documents after all others.
     """
-    spans = removed_spans(docs, length).groupBy("doc_id").agg(F.collect_list("spans").alias("__spans"))
-    joined = docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "__spans")
+    docs = with_places(docs)
+    spans = removed_spans(docs.select(F.col("place").alias("doc_id"), "text"), length).groupBy(F.col("doc_id").alias("place")).agg(F.collect_list("spans").alias("__spans"))
+    joined = docs.join(spans, "place", "left").select("doc_id", "text", "__spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

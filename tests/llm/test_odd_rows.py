@@ -46,6 +46,19 @@ def test_repeated_rows_of_the_suffix_arrays(spark):
     assert got == [(1, len(a + b), 0, 0), (1, len(a + b), 0, 0), (2, len(b), len(b), 1), (3, 0, 0, 0), (3, 0, 0, 0), (3, 0, 0, 0)]
 
 
+def test_different_texts_of_one_id(spark):
+    """A text loses nothing because another text of its id repeats."""
+    common.small_batches(spark)
+    rng = random.Random(6)
+    own, copied = words(rng, 90), words(rng, 90)
+    docs = spark.createDataFrame([(1, own), (1, copied), (1, copied), (2, copied), (9, own[:50])], "doc_id long, text string").coalesce(1)
+    for run in (repeats.dedup_repeats, chunks.dedup_substrings):
+        got = sorted((r.doc_id, r.n_bytes, r.n_removed > 0) for r in run(docs).collect())
+        assert len(got) == 5 and not any(gone for d, n, gone in got if n == len(own) != len(copied))
+        # two of the three rows that hold the copied text go, or the other document's
+        assert sum(gone for _, n, gone in got if n == len(copied)) in (1, 2)
+
+
 def test_repeated_rows_and_long_texts_of_decontamination(spark):
     common.small_batches(spark)
     rng = random.Random(7)
