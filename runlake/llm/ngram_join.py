@@ -358,7 +358,9 @@ def join_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
 
     # components against each other: one pair for each component and list with a larger component in it
     comps = tables.written(components(links, tables), "comps")
-    groups = _open_lists(postings, comps).groupBy("token", "comp").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
+    # a list of one component stays one, so only the others are looked at from here on
+    opened = tables.written(_open_lists(postings, comps), "open")
+    groups = opened.groupBy("token", "comp").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
     heads = groups.groupBy("token").agg(F.max(F.struct("n", "comp", "doc")).alias("head")).where(F.col("head.n") > 1)
     pairs = groups.join(heads, "token").where(F.col("comp") != F.col("head.comp"))
     pairs = pairs.select(F.least("doc", "head.doc").alias("a"), F.greatest("doc", "head.doc").alias("b")).distinct()
@@ -368,7 +370,7 @@ def join_components(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
 
     # all that is left: every pair of documents in different components that may still be similar enough
     comps = tables.written(components(links, tables), "comps")
-    pairs = tables.written(candidates(_open_lists(postings, comps), facts, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs = tables.written(candidates(_open_lists(opened.select("token", "doc"), comps), facts, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
     if not pairs.isEmpty():
         links = tables.written(links.unionByName(_verified(docs, facts, pairs, *measure, tables)), "links")
         comps = components(links, tables)
