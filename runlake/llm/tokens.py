@@ -27,10 +27,10 @@ class TokenIds:
     Pre-tokenizing never joins what white space parts, so ids of a text are those of its words, one after
     another. The distinct words of a batch are found in Arrow, each is looked up once, and the ids of the texts
     are gathered by place. If the file is a lower-casing word tokenizer with one split pattern, words are parted
-    further by that pattern, so that most are found among known pieces. Both memories are emptied when full.
+    further by that pattern, so that most are found among known pieces. When full, the memory of words starts anew from those of the batch, that of pieces from none.
     """
 
-    def __init__(self, tokenizer_json: str, pattern: str | None = None, most: int = 600_000):
+    def __init__(self, tokenizer_json: str, pattern: str | None = None, most: int = 200_000):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.pattern, self.most = regex.compile(pattern) if pattern else None, most
         self.words: dict[str, bytes] = {}
@@ -61,10 +61,12 @@ class TokenIds:
         names, codes, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), self.words.get
         ids = [known(w) for w in names]
         missed = [i for i, found in enumerate(ids) if found is None]
-        if len(self.words) + len(missed) > self.most:
-            self.words.clear()
         for i in missed:
-            ids[i] = self.words[names[i]] = self._word(names[i])
+            ids[i] = self._word(names[i])
+        if len(self.words) + len(missed) > self.most:
+            self.words = dict(zip(names[: self.most], ids, strict=False))  # the frequent words are among them
+        else:
+            self.words.update((names[i], ids[i]) for i in missed)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         start = np.cumsum(size) - size
         n = size[codes]
