@@ -30,7 +30,7 @@ class TokenIds:
     further by that pattern, so that most are found among known pieces. When full, the memory of words starts anew from those of the batch, that of pieces from none.
     """
 
-    def __init__(self, tokenizer_json: str, pattern: str | None = None, most: int = 200_000):
+    def __init__(self, tokenizer_json: str, pattern: str | None = None, most: int = 100_000):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.pattern, self.most = regex.compile(pattern) if pattern else None, most
         self.words: dict[str, bytes] = {}
