@@ -27,7 +27,7 @@ from .common import Tables, bucketed, mix, n_buckets, needed_only, shingle_sets,
 from .graph import components
 
 #: Text that shares one packed row of an exchange.
-FLUSH = 8 << 20
+FLUSH = 4 << 20
 #: Frequent shingles known to every task: at most this many, 9 bytes each; the rest counts as rare.
 FREQUENT_MOST = 1_000_000
 #: Fewest documents of a frequent shingle.
