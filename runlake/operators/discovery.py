@@ -31,48 +31,22 @@ def discover_metadata_keys(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.map_keys("metadata")).alias("key")).distinct().orderBy("key")
 
 
-def _children(x: Column) -> Column:
-    """(path, value) of the fields of an object value, under the path of `x`; none for other values."""
-    fields = F.map_entries(F.try_variant_get(x["value"], "$", "map<string,variant>"))
-    return F.coalesce(F.transform(fields, lambda e: F.struct(F.concat_ws(".", F.nullif(x["path"], F.lit("")), e["key"]).alias("path"), _shown(e["value"]).alias("value"))), _none())
-
-
-def _elements(x: Column) -> Column:
-    """(path, value) of the elements of a list value; none for other values."""
-    items = F.try_variant_get(x["value"], "$", "array<variant>")
-    return F.coalesce(F.transform(items, lambda e: F.struct(F.concat(x["path"], F.lit("[]")).alias("path"), _shown(e).alias("value"))), _none())
-
-
-def _shown(v: Column) -> Column:
-    return F.coalesce(v, F.parse_json(F.lit("null")))
-
-
-def _none() -> Column:
-    return F.array().cast("array<struct<path:string,value:variant>>")
-
-
-def _top(text: str) -> Column:
-    """The whole value of a JSON text as a list of one; none if it is no JSON."""
-    return F.when(F.try_parse_json(text).isNotNull(), F.array(F.struct(F.lit("").alias("path"), F.try_parse_json(text).alias("value")))).otherwise(_none())
-
-
 def flatten_json(df: DataFrame, key: str, text: str, max_depth: int = FLATTEN_DEPTH) -> DataFrame:
     """(key, path, value VARIANT): leaves of a JSON object under dotted paths.
 
     Lists and empty objects are leaves; an object below `max_depth` levels disappears. Text that is no JSON has none.
-    Each text is parsed once and opened level by level within its row; one explode gives the rows.
+    Each text is parsed once. Rows pass through one explode a level: objects give their fields, leaves go through as they are.
     """
-    rows, leaves = df.select(F.col(key).alias(key), _top(text).alias("__level")), []
-    for depth in range(max_depth):
-        # every value with what is in it
-        opened = F.transform("__level", lambda x: F.struct(x.alias("of"), _children(x).alias("inner")))
-        rows = rows.withColumn("__opened", opened)
-        if depth:
-            rows = rows.withColumn(f"__leaves{depth}", F.transform(F.filter("__opened", lambda o: F.size(o["inner"]) == 0), lambda o: o["of"]))
-            leaves.append(f"__leaves{depth}")
-        rows = rows.withColumn("__level", F.flatten(F.transform("__opened", lambda o: o["inner"])))
-    last = F.filter("__level", lambda x: F.size(_children(x)) == 0)
-    return rows.select(key, F.inline(F.concat(*leaves, last)))
+    kind = F.schema_of_variant("value")
+    inner = F.coalesce(kind.startswith("OBJECT") & (kind != "OBJECT<>"), F.lit(False))
+    level = df.select(F.col(key).alias("__key"), F.lit("").alias("path"), F.try_parse_json(text).alias("value")).withColumn("inner", inner).where("inner")
+    for _ in range(max_depth):
+        level = df.sparkSession.sql(
+            "SELECT t.__key, CASE WHEN e.key IS NULL THEN t.path WHEN t.path = '' THEN e.key ELSE concat(t.path, '.', e.key) END AS path, CASE WHEN e.key IS NULL THEN t.value ELSE e.value END AS value "
+            "FROM {level} t, LATERAL variant_explode_outer(CASE WHEN t.inner THEN t.value END) e",
+            level=level,
+        ).withColumn("inner", inner)
+    return level.where("NOT inner").select(F.col("__key").alias(key), "path", "value")
 
 
 def profile_fields(leaves: DataFrame, total: int, key: str = "id") -> DataFrame:
@@ -80,13 +54,20 @@ def profile_fields(leaves: DataFrame, total: int, key: str = "id") -> DataFrame:
     kind = value_type("value")
     number = F.when(kind.isin("int", "float"), F.variant_get("value", "$", "double"))
     length = F.when(kind == "str", F.length(F.variant_get("value", "$", "string"))).when(kind == "list", F.size(F.variant_get("value", "$", "array<variant>")))
-    own = leaves.select(key, "path", kind.alias("kind"), number.alias("number"), length.alias("length"), F.to_json("value").alias("text")).where(F.col("kind") != "null")
-    figures = [f(c).alias(f"{c}_{n}") for c in ("number", "length") for n, f in (("min", F.min), ("max", F.max), ("avg", F.avg))]
-    out = own.groupBy("path").agg(F.min_by("kind", key).alias("type"), F.count("*").alias("present_count"), *figures, F.sum("number").alias("number_sum"), F.min_by("text", key).alias("sample"))
-    # a value has a number or a length, never both
-    both = own.select("path", F.col("number").isNotNull().alias("is_number"), F.coalesce("number", "length").alias("x"))
-    medians = ranked_values(both, ["path", "is_number"], "x", {"p50": continuous(0.5)}).groupBy("path").agg(F.max(F.when(F.col("is_number"), F.col("p50"))).alias("number_p50"), F.max(F.when(~F.col("is_number"), F.col("p50"))).alias("length_p50"))
-    return out.join(medians, "path", "left").withColumn("present_pct", F.round(F.col("present_count") * 100.0 / total, 1)).orderBy("path")
+    own = leaves.select(key, "path", kind.alias("kind"), number.isNotNull().alias("is_number"), F.coalesce(number, length).alias("x"), F.to_json("value").alias("text")).where(F.col("kind") != "null")
+    # counted once by value; a value has a number or a length, never both
+    counted = own.groupBy("path", "is_number", "x").agg(F.count("*").alias("n"))
+    figures = []
+    for name, mine in (("number", F.col("is_number")), ("length", ~F.col("is_number"))):
+        x, n = F.when(mine, F.col("x")), F.when(mine & F.col("x").isNotNull(), F.col("n"))
+        figures += [F.min(x).alias(f"{name}_min"), F.max(x).alias(f"{name}_max"), (F.sum(x * n) / F.sum(n)).alias(f"{name}_avg")]
+    total_x = F.sum(F.when(F.col("is_number"), F.col("x") * F.col("n"))).alias("number_sum")
+    first = own.groupBy("path").agg(F.min_by(F.struct("kind", "text"), key).alias("first"))
+    out = counted.groupBy("path").agg(F.sum("n").alias("present_count"), *figures, total_x).join(first, "path")
+    medians = ranked_values(counted, ["path", "is_number"], "x", {"p50": continuous(0.5)}, "n").groupBy("path").agg(F.max(F.when(F.col("is_number"), F.col("p50"))).alias("number_p50"), F.max(F.when(~F.col("is_number"), F.col("p50"))).alias("length_p50"))
+    out = out.join(medians, "path", "left").withColumns({"present_pct": F.round(F.col("present_count") * 100.0 / total, 1), "type": F.col("first.kind"), "sample": F.col("first.text")})
+    names = [f"{c}_{f}" for c in ("number", "length") for f in ("min", "max", "avg", "p50")]
+    return out.select("path", "type", "present_count", *names, "number_sum", "sample", "present_pct").orderBy("path")
 
 
 def infer_schema(df: DataFrame, key: str, text: str, max_depth: int = SCHEMA_DEPTH, sample: int = 50) -> DataFrame:
@@ -94,12 +75,16 @@ def infer_schema(df: DataFrame, key: str, text: str, max_depth: int = SCHEMA_DEP
 
     The sample is the JSON text of the value of the smallest key, cut to `sample` signs. Rows are one run each.
     """
-    rows, found = df.select(F.col(key).alias("__key"), _top(text).alias("__level")), []
+    level = df.select(F.col(key).alias("__key"), F.lit("").alias("path"), F.try_parse_json(text).alias("value"), F.lit(False).alias("done")).where(F.col("value").isNotNull())
     for depth in range(max_depth):
-        rows = rows.withColumn("__level", F.flatten(F.transform("__level", lambda x: F.concat(_children(x), _elements(x)))))
-        rows = rows.withColumn(f"__found{depth}", F.col("__level"))
-        found.append(f"__found{depth}")
-    values = rows.select("__key", F.inline(F.concat(*found))).select("__key", "path", value_type("value").alias("type"), F.left(F.to_json("value"), F.lit(sample)).alias("text")).where(F.col("type") != "null")
+        # a value stays as it is and, the first time, is opened too
+        stays = F.array(F.lit(False)) if depth == 0 else F.when(F.col("done"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
+        level = df.sparkSession.sql(
+            "SELECT t.__key, CASE WHEN t.stays THEN t.path WHEN e.key IS NULL THEN concat(t.path, '[]') WHEN t.path = '' THEN e.key ELSE concat(t.path, '.', e.key) END AS path, CASE WHEN t.stays THEN t.value ELSE e.value END AS value, t.stays AS done "
+            "FROM {level} t, LATERAL variant_explode_outer(CASE WHEN NOT t.stays THEN t.value END) e WHERE t.stays OR e.value IS NOT NULL",
+            level=level.select("*", F.explode(stays).alias("stays")),
+        )
+    values = level.select("__key", "path", value_type("value").alias("type"), F.left(F.to_json("value"), F.lit(sample)).alias("text")).where(F.col("type") != "null")
     # the elements of a list share a path within a run
     runs = values.groupBy("path", "__key").agg(F.min("type").alias("low"), F.max("type").alias("high"), F.min("text").alias("text"))
     known = runs.groupBy("path").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("present_count"), F.min_by("text", "__key").alias("sample"))

@@ -47,15 +47,17 @@ def _bin(x: Column) -> Column:
     return F.when(F.isnan(x), F.lit(1 << 40)).otherwise(F.floor(F.signum(x) * F.log1p(F.abs(x) * 1e6) * 200))
 
 
-def ranked_values(df: DataFrame, keys: list[str], value: str, wanted: dict[str, Callable[[Column], tuple[Column, Column]]]) -> DataFrame:
-    """`keys` and a column for each wanted quantile of `value`, exactly; null values do not count, one value is its own quantile.
+def ranked_values(df: DataFrame, keys: list[str], value: str, wanted: dict[str, Callable[[Column], tuple[Column, Column]]], times: str | None = None) -> DataFrame:
+    """`keys` and a column for each wanted quantile of `value`, exactly; null values do not count, one value is its own quantile. A row counts as often as its column `times` says.
 
     A quantile lies between the j-th and the next value of a group. Values are counted by group and value, by
     group and bin of values from that, and only the bins that hold a wanted rank are sorted: no group is sorted
     or held as a whole. Keys may be null, and no keys make one group.
     """
-    own = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"))
-    counted = own.groupBy(*keys, "__x").agg(F.count("*").alias("__n")).withColumn("__bin", _bin(F.col("__x")))
+    # conditions that would be pushed below one use of the counts but not the other would make the rows twice
+    known = F.col(value).isNotNull() if times is None else F.when(F.col(value).isNotNull(), F.col(times)) > 0
+    own = df.where(known).select(*keys, F.col(value).cast("double").alias("__x"), (F.col(times) if times else F.lit(1)).alias("__t"))
+    counted = own.groupBy(*keys, "__x").agg(F.sum("__t").alias("__n")).withColumn("__bin", _bin(F.col("__x")))
     group = Window.partitionBy(*keys)
     up_to = group.orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bins = counted.groupBy(*keys, "__bin").agg(F.sum("__n").alias("__m"))
@@ -64,7 +66,7 @@ def ranked_values(df: DataFrame, keys: list[str], value: str, wanted: dict[str,
     ranks = [rank for j, _ in places.values() for rank in (j, j + 1)]
     held = reduce(or_, ((F.col("__before") < rank) & (F.col("__after") >= rank) for rank in ranks), F.col("__all") == 1)
     chosen = bins.where(held).select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__bin").alias("__of"), "__before", "__all")
-    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys), F.col("__bin") == F.col("__of"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys), F.col("__bin").eqNullSafe(F.col("__of")))
     inside = Window.partitionBy(*keys, "__bin").orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = counted.join(chosen, same).withColumn("__high", F.col("__before") + F.sum("__n").over(inside)).withColumn("__low", F.col("__high") - F.col("__n"))
     out = []
