@@ -49,8 +49,9 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_words: int = MIN_WO
     possible = open_.select("doc_id", "pos", F.posexplode(templates).alias("k", "template"))
     # counted by document first, so a very common line is no hot key
     counts = possible.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    best = F.max(F.struct("n", (-F.col("k")).alias("k"), "template")).alias("best")
-    named = written(possible.join(sized(written(counts, "templates")), "template").groupBy("doc_id", "pos").agg(best).select("doc_id", "pos", "best.template"), "named")
+    # the most frequent, then the first of the four
+    best = F.max_by("template", 4 * F.col("n") - F.col("k")).alias("template")
+    named = written(possible.join(sized(written(counts, "templates")), "template").groupBy("doc_id", "pos").agg(best), "named")
     per_doc = named.groupBy("template", "doc_id").agg(F.min("pos").alias("pos"))
     recurring = per_doc.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")).where(F.col("n") >= min_docs)
     found = named.join(sized(written(recurring, "recurring")), "template")
