@@ -15,6 +15,8 @@ from .licenses import oracle_sql as licenses_sql
 from .licenses import scan
 from .lines import drop_recurring_lines
 from .lines import oracle_sql as lines_sql
+from .manifest import manifest
+from .manifest import oracle_sql as manifest_sql
 from .ngram_join import join_components
 from .packing import pack_documents
 from .quality import classify
@@ -85,6 +87,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (bucket == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,10 +108,12 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": lines_sql(),
+    "op11_merkle_manifest": manifest_sql(),
     "op9_license_scan": f"""SELECT *, CAST(list_last(string_split(path, '/')) AS BIGINT) AS doc_id FROM ({licenses_sql("concat_ws('/', 'documents', source, lang, CAST(doc_id AS VARCHAR))")})""",
 }
