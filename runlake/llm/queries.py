@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_bucket, small_batches, table
 from .chunks import dedup_substrings
+from .cross_polytope import finite, nearest_neighbours
 from .decontaminate import find_matches
 from .licenses import oracle_sql as licenses_sql
 from .licenses import scan
@@ -23,6 +24,7 @@ from .quality import classify
 from .repeats import dedup_repeats
 from .topk_search import quantized, top_k
 from .toxicity import score as toxicity_score
+from .whitening import integers, whiten
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +93,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = finite(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(integers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), most=16)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,6 +120,8 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_embedding_whitening": op13_embedding_whitening,
     "pipeline": pipeline,
 }
 
