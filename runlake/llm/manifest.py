@@ -17,6 +17,8 @@ FANOUT = 8
 SLOTS = range(FANOUT)
 #: What a leaf is made of, in this order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+#: Paths, of a few KB each, that a join may broadcast.
+PATHS = 2000
 EDGE = "array<struct<left:string,right:string>>"
 
 
@@ -93,7 +95,7 @@ def descend(tables: Tables, runs: list[DataFrame], tops: DataFrame, carried: lis
     of_tree = [c for c in tops.columns if c not in ("tree", "path")]
     for level in range(len(runs) - 1, -1, -1):
         run, mine = runs[level], carried if level == 0 else []
-        joined = run.join(sized(above).withColumnRenamed("at", "parent"), ["tree", "parent"])
+        joined = run.join(sized(above, PATHS).withColumnRenamed("at", "parent"), ["tree", "parent"])
         children = []
         for i in SLOTS:
             left, right = (F.concat(F.lit(""), *(F.coalesce(f"digest{j}", F.lit("")) for j in side)) for side in (range(i), range(i + 1, FANOUT)))
@@ -134,7 +136,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     upper = tops.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("at"), F.lit(shape.trees).cast("long").alias("n"), "digest")
     upper_runs, root = climb(tables, upper, shape.trees, [], "upper")
     root = root.first().digest
-    bottom = spark.range(1).select(F.lit(0).cast("long").alias("tree"), F.array().cast(EDGE).alias("path"))
+    bottom = tables.written(spark.range(1).select(F.col("id").alias("tree"), F.array().cast(EDGE).alias("path")), "bottom")
     subroots = descend(tables, upper_runs, bottom, [], "upper").select(F.col("at").alias("tree"), "path", F.col("digest").alias("subroot"))
     found = descend(tables, runs, tables.written(subroots, "tops"), ["doc_id", "altered"], "runs")
     folded = F.aggregate("path", F.coalesce("altered", "digest"), lambda d, edge: hashed(edge["left"], d, edge["right"]))
