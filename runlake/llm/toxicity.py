@@ -31,8 +31,11 @@ MARGIN = 4.0
 FIT_ROWS = 6000
 #: Words and word beginnings the scorer may use.
 FEATURES = 4000
-#: A word of more signs is no disguise: it is parted at its marks, and what is still longer at every so many signs.
-LONG = 100
+#: A word of more signs is parted at marks that never stand for letters, and what is still longer is decoded in
+#: windows of so many signs, each with some signs of the one before.
+LONG, OVERLAP = 100, 25
+#: In a lattice of more signs only the best ways are kept at each step, and letters further back are settled.
+SHORT, BEAM, SETTLED = 30, 24, 40
 
 N = len(LETTERS) + 2
 INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
@@ -40,7 +43,10 @@ _LETTER = re.compile(r"[^\W\d_]")
 # a letter before one of the first marks, or one of the second before a letter, may be a disguise
 _AFTER, _BEFORE = re.compile(r"[\d_@$!|+€(£#*.\-~^'/\\]"), re.compile(r"[\d@$!|+€(£#*]")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_PIECE = re.compile(rf"[\w@$€£]{{1,{LONG}}}")
+# what a long word is parted into: letters, digits, marks that stand for letters and those often put between them
+_PIECE = re.compile(rf"[\w{re.escape(''.join(LEET))}.\-~^'’/\\]+")
+# more than eight signs in a row without a letter, set apart: no part of a word
+_QUIET = re.compile(r"((?:[\d_]|[^\w\s])(?:\s+(?:[\d_]|[^\w\s])){8,})")
 # single signs with white space between, from a blank, an opening mark or (letters and digits) any mark, up to a blank or mark
 _APART = re.compile(
     r"""(?<!\w['’\-])(?:(?<![^\s"'(\[{«“‘])[^\s.,;:?]|(?<!\w)(?<!\d[.,])\w)\s+(?:[^\s.,;:?]\s+)+(?:\w(?!\w)(?!['’\-@&/]\w)|[^\s\w.,;:?](?![^\s.,;:?!"')\]}»”’]))"""
@@ -74,11 +80,12 @@ class CharModel:
     def readings(self, seen: str, apart: bool = False) -> list[str]:
         """Up to three readings of a disguised word, likeliest first; with `apart`, of letters written one by one, which may hold several words.
 
-        Viterbi over (last letter but one, last letter), keeping the two best ways into each state.
+        Viterbi over (last letter but one, last letter), keeping the two best ways into each state. Of more than
+        `SHORT` signs a beam of ways is kept, and all readings share the letters that are settled.
         """
-        cost = self.cost
+        cost, long, settled = self.cost, len(seen) > SHORT, []
         states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-        for run in re.finditer(r"(.)\1*", seen.lower(), re.DOTALL):
+        for n, run in enumerate(re.finditer(r"(.)\1*", seen.lower(), re.DOTALL), 1):
             options = _options(run[0][0], len(run[0]))
             found: dict[tuple[int, int], list[tuple[float, str]]] = {}
             for (a, b), ways in states.items():
@@ -95,8 +102,17 @@ class CharModel:
                                 p, q = q, i
                             found.setdefault((p, q), []).append((total, head + letters))
             states = {k: sorted(set(v))[:2] for k, v in found.items()}
+            if long:
+                best = sorted((v, text, k) for k, ways in states.items() for v, text in ways)[:BEAM]
+                done = max(0, len(best[0][1]) - SETTLED) if n % SETTLED == 0 else 0
+                head = best[0][1][:done]
+                settled.append(head)
+                states = {}
+                for v, text, k in best:
+                    if text.startswith(head):
+                        states.setdefault(k, []).append((v, text[done:]))
         ends = sorted((v + float(cost[a, b, 0]), text) for (a, b), ways in states.items() for v, text in ways)
-        return [text for v, text in ends[:3] if v <= ends[0][0] + MARGIN]
+        return ["".join([*settled, text]) for v, text in ends[:3] if v <= ends[0][0] + MARGIN]
 
     def decode(self, seen: str, apart: bool = False) -> str:
         return self.readings(seen, apart)[0]
@@ -161,10 +177,23 @@ def looks_odd(core: str) -> bool:
     return bool(_AFTER.search(core, letter.end()) or (mark and _LETTER.search(core, mark.end())) or _TRIPLE.search(core))
 
 
+def pieces_of(word: str) -> Iterator[str]:
+    """The parts of a word of more than LONG signs, in windows where a part is as long."""
+    for part in _PIECE.finditer(word):
+        low, high = part.span()
+        for at in range(low, max(low + 1, high - OVERLAP), LONG - OVERLAP):
+            yield word[at : min(at + LONG, high)]
+
+
+def parts_apart(run: str) -> list[str]:
+    """A run of single signs, parted at longer stretches without a letter: every second part is such a stretch."""
+    return _QUIET.split(run) if _LETTER.search(run) else ["", run, ""]
+
+
 def restored_words(word: str, model: CharModel, known: Container[str] = ()) -> Iterable[str]:
     """A word in small letters without marks at its ends, decoded where it looks disguised; letters may be doubled in any word that is not `known`."""
     if len(word) > LONG:
-        return tuple(w for piece in _PIECE.findall(word) for w in restored_words(piece, model, known))
+        return tuple(w for piece in pieces_of(word) for w in restored_words(piece, model, known))
     core = word.strip(".,;:?")
     if core.isalpha() and not _THRICE.search(core):
         return _undoubled(core.lower(), model, known)
@@ -185,7 +214,16 @@ def restore(text: str | None, model: CharModel) -> str:
     """The whole text with disguised words in plain letters; other words stay as they are."""
     if not text:
         return ""
-    joined = _APART.sub(lambda m: model.decode(_WHITE.sub("", m[0]), apart=True), text)
+
+    def together(m: re.Match) -> str:
+        parts = parts_apart(m[0])
+        for i in range(0, len(parts), 2):
+            if _LETTER.search(parts[i]):
+                before, after = re.match(r"\s*", parts[i])[0], re.search(r"\s*\Z", parts[i])[0]
+                parts[i] = before + model.decode(_WHITE.sub("", parts[i]), apart=True) + after
+        return "".join(parts)
+
+    joined = _APART.sub(together, text)
 
     def one(m: re.Match) -> str:
         return model.decode(core) if looks_odd(core := core_of(m[0])) else m[0]
@@ -206,7 +244,7 @@ class Words(dict):
 
     def __missing__(self, word: str):
         if len(word) > LONG:
-            return tuple({f for piece in set(_PIECE.findall(word)) for f in self[piece]})
+            return tuple({f for piece in set(pieces_of(word)) for f in self[piece]})
         if len(self) >= self.most:
             self.clear()
         names = [f for w in restored_words(word, self.model, self.known or ()) for part in w.split(" ") for f in _beginnings(part)]
@@ -220,9 +258,10 @@ class Words(dict):
         for f in set(map(self.__getitem__, set(text.split() if text else ()))):
             out.update(f)
         for m in _APART.finditer(text or ""):
-            for reading in self.model.readings(_WHITE.sub("", m[0]), apart=True):
-                for w in reading.split(" "):
-                    out.update(self[w])
+            for part in parts_apart(m[0])[::2]:
+                if _LETTER.search(part):
+                    for w in {w for reading in self.model.readings(_WHITE.sub("", part), apart=True) for w in reading.split(" ")}:
+                        out.update(self[w])
         return out
 
 
@@ -285,7 +324,9 @@ def learn(sample: DataFrame, model: CharModel) -> Scorer | None:
 def score(docs: DataFrame, labels: DataFrame, allowed, label: str = "toxic", rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, score, predicted for every document, from its text alone (0.5 where there are no labels to learn from).
 
-    Null and empty texts get the score of a text without words; repeated rows are scored alike.
+    Null and empty texts get the score of a text without words; repeated rows are scored alike. Long texts, words of
+    any length and long runs of single signs are read as a whole, in time that grows with their length; signs set apart
+    without a letter for a long stretch (numbers, tables) stand for no word.
     """
     model = CharModel(char_counts(docs))
     scorer = learn(fit_sample(docs, labels, label, allowed, rows), model)

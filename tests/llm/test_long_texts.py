@@ -99,3 +99,36 @@ def test_the_classifier_reads_every_passage_of_a_fitted_document(spark):
     assert [(r.doc_id, r.n) for r in quality.encoded(sample).orderBy("doc_id").collect()] == [(0, 300), (1, 1), (2, 1), (3, 1)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
     assert quality.classifier(table(spark, texts), labels, F.lit(True), passages=1) is not None
+
+
+@pytest.mark.parametrize(
+    "text",
+    ("7 3 " * 50_000, "\n".join(" ".join("0123456789"[(i * j) % 10] for j in range(50)) for i in range(10_000)), "a " + "1 " * 100_000 + "b c", "a c g t " * 50_000, "x 1 " * 10_000, "! ( " * 50_000, "1 a 2 b | c " * 2000),
+)
+def test_signs_set_apart_in_a_long_text(char_model, text):  # noqa: F811
+    """Digits, tables of numbers, letters and both, apart by white space."""
+    assert seconds(lambda: toxicity.Words(char_model, None).of(text)) < 20
+
+
+def test_disguises_among_signs_set_apart(char_model):  # noqa: F811
+    found = toxicity.Words(char_model, None).of
+    numbers = "4 8 1 5 1 6 2 3 4 2 " * 300
+    assert "idiot" in found(f"{numbers}\n you i d i o t and {numbers}") and "idiot" in found("you i d 1 0 t")
+    assert toxicity.restore(numbers.strip(), char_model) == numbers.strip()
+    assert "idiot" in toxicity.restore(f"{numbers} i d i o t", char_model)
+
+
+@pytest.mark.parametrize("mark", ("id!ot", "id|ot", "id10t", "i.d.i.o.t", "id*ot", "1d1ot"))
+def test_marks_stand_for_letters_in_a_long_word(char_model, mark):  # noqa: F811
+    """Whatever comes before, also where a window ends within the disguise."""
+    for before in (0, 20, 24):
+        assert "idiot" in toxicity.Words(char_model, None).of(",".join(["xyz"] * (40 + before) + [mark] + ["xyz"] * 40)), (mark, before)
+
+
+def test_long_lattices_read_like_short_ones(char_model, monkeypatch):  # noqa: F811
+    rng = random.Random(5)
+    seen = ["".join(rng.choice(("id10t", "m0ron", "w0rd", "pl@in", "st0p")) for _ in range(3)) for _ in range(20)]
+    exact = [char_model.decode(w) for w in seen]
+    monkeypatch.setattr(toxicity, "SHORT", 0)
+    monkeypatch.setattr(toxicity, "SETTLED", 8)
+    assert sum(a == char_model.decode(w) for a, w in zip(exact, seen, strict=True)) >= 19
