@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 
 from runlake.functions.columns import strip_binary
 from runlake.operators.sampling import top_per
+from runlake.sources import store
+from runlake.sources.shared import new_path
 
 #: Where a line that could not be used went wrong.
 BAD = "__corrupt"
@@ -85,19 +87,12 @@ def strip_payloads(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def append_runs(batch: DataFrame, path: str, order: list[Column]) -> DataFrame:
-    """Appends the new runs of `batch` to the Parquet table at `path`, by project; gives what was appended.
+    """Appends the new runs of `batch` to the Parquet table at `path`, by project, and merges its metadata; gives what was appended.
 
-    Ids are compared within a project, so of the stored table only the folders of the batch's projects are read.
+    Runs are told apart by (project, id); of those that the batch repeats the first by `order` is taken. The batch is
+    evaluated once and staged in the shared folder; of the stored table only the ids of its projects are read.
     """
     spark = batch.sparkSession
-    try:
-        stored = spark.read.schema(batch.schema).parquet(path).select("id", "project")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        stored = batch.select("id", "project").limit(0)
-    projects = [r.project for r in batch.select("project").distinct().collect()]  # folder names
-    here = F.col("project").isin([p for p in projects if p is not None])
-    fresh = new_rows(batch, stored.where(here | F.col("project").isNull() if None in projects else here), order)
-    fresh.write.mode("append").partitionBy("project").parquet(path)
-    return fresh
+    staging = new_path(spark, "staged")
+    store.first_of_each(batch, order).write.parquet(staging)
+    return store.append(spark.read.schema(batch.schema).parquet(staging), path)
