@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlake.functions.columns import looks_like_uuid, name_tokens
+from runlake.functions.columns import looks_like_uuid
 from runlake.operators.predicates import all_of
-from runlake.operators.sampling import page, top_per
-
-#: Queries of a similarity search that are compared with all names at once.
-QUERY_ROWS = 1000
+from runlake.operators.sampling import page
+from runlake.operators.similar import suggest_names  # noqa: F401  (it finds entities, too)
 
 
 def contains_metadata(wanted: dict[str, str], metadata: str = "metadata") -> Column:
@@ -41,27 +39,6 @@ def resolve(wanted: DataFrame, entities: DataFrame) -> DataFrame:
     return out.select("query", F.when(looks_like_uuid("query"), F.col("identified")).otherwise(F.coalesce("named", "identified")).alias("id"))
 
 
-def suggest_names(queries: DataFrame, names: DataFrame, top: int = 5) -> DataFrame:
-    """For each of the queries (query) the `top` most similar names (name): 1 if one contains the other, else the Jaccard similarity of their parts; equal names and 0 are left out.
-
-    Names that share no part with a query are met only by containment, so each name is compared with each
-    query: queries are dealt into blocks of about QUERY_ROWS, each broadcast, and names are read once a block.
-    """
-    asked = queries.select("query").distinct()
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    q, n = F.lower("query"), F.lower("name")
-    parts_q, parts_n = F.array_distinct(name_tokens("query")), F.array_distinct(name_tokens("name"))
-    jaccard = F.coalesce(F.size(F.array_intersect(parts_q, parts_n)) / F.nullif(F.size(F.array_union(parts_q, parts_n)), F.lit(0)), F.lit(0.0))
-    out = None
-    for block in range(blocks):
-        mine = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block)
-        scored = names.select("name").distinct().join(F.broadcast(mine), q != n)
-        scored = scored.withColumn("score", F.when(n.contains(q) | q.contains(n), 1.0).otherwise(jaccard)).where("score > 0")
-        best = top_per(scored, ["query"], top, [F.desc("score"), F.asc("name")]).select("query", "name", "score")
-        out = best if out is None else out.unionByName(best)
-    return out
-
-
 def examples_from_runs(runs: DataFrame, where: Column) -> DataFrame:
     """Runs that meet the condition, as dataset examples."""
     return runs.where(where).select(F.concat(F.lit("ex-"), F.col("id")).alias("id"), "inputs", "outputs", F.col("id").alias("source_run_id"))

@@ -199,13 +199,12 @@ def e11_resolve_entities(spark, d):
 _PARTS = "list_distinct(list_filter(string_split_regex(lower({}), '[/\\-_. ]'), lambda x: x <> ''))"
 
 
-@query(f"""WITH names AS (SELECT DISTINCT replace(p_name, ' ', '-') AS name FROM part), q AS (SELECT name AS query FROM names ORDER BY name LIMIT 20),
+@query(f"""WITH names AS (SELECT DISTINCT replace(p_name, ' ', '-') AS name FROM part), q AS (SELECT name AS query FROM names),
     s AS (SELECT query, name, CASE WHEN contains(lower(name), lower(query)) OR contains(lower(query), lower(name)) THEN 1.0 ELSE len(list_intersect({_PARTS.format("query")}, {_PARTS.format("name")})) / (len({_PARTS.format("query")}) + len({_PARTS.format("name")}) - len(list_intersect({_PARTS.format("query")}, {_PARTS.format("name")}))) END AS score FROM q, names WHERE lower(query) <> lower(name))
     SELECT query, name, round(score, 6) AS score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, name) <= 5""", ())
 def e12_similar_names(spark, d):
     names = view(spark, d, "part").select(F.replace("p_name", F.lit(" "), F.lit("-")).alias("name")).distinct()
-    asked = names.orderBy("name").limit(20).select(F.col("name").alias("query"))
-    return rounded(E.suggest_names(asked, names))
+    return rounded(E.suggest_names(names.select(F.col("name").alias("query")), names))
 
 
 @query("SELECT concat('ex-', id) AS id, id AS source_run_id, md5(text) AS inputs FROM runs_docs WHERE n_chars < 1000", ("runs_docs",))

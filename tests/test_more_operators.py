@@ -1,12 +1,13 @@
 import json
 import random
+import re
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from runlake.functions import columns as C
-from runlake.operators import discovery, entities, metrics
+from runlake.operators import discovery, metrics, similar
 from runlake.sources import jsonl
 from runlake.streaming import monitor
 
@@ -67,12 +68,38 @@ def test_tags_of_a_key_with_many_values(spark):
     assert {r.key: r["values"] for r in discovery.discover_tags(df, most=3).collect()} == {"env": ["dev"], "user": ["000", "001", "002"]}
 
 
-def test_names_are_suggested_in_blocks(spark, monkeypatch):
-    names = spark.createDataFrame([(f"svc/part-{i}",) for i in range(40)], "name string")
-    asked = spark.createDataFrame([(f"part-{i}",) for i in range(30)], "query string")
-    whole = sorted(map(tuple, entities.suggest_names(asked, names).collect()))
-    monkeypatch.setattr(entities, "QUERY_ROWS", 7)
-    assert sorted(map(tuple, entities.suggest_names(asked, names).collect())) == whole and len(whole) == 150
+def plain_suggestions(asked, names, top=5):
+    def parts(x):
+        return set(re.split(r"[/\-_.]", x.lower())) - {""}
+
+    out = []
+    for q in asked:
+        scored = []
+        for n in names:
+            a, b = q.lower(), n.lower()
+            union = parts(q) | parts(n)
+            score = 1.0 if a in b or b in a else len(parts(q) & parts(n)) / len(union) if union else 0
+            if a != b and score > 0:
+                scored.append((-score, n))
+        out += [(q, n, round(-s, 9)) for s, n in sorted(scored)[:top]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("common", (500, 3, 0))
+def test_similar_names_against_all_pairs(spark, monkeypatch, common):
+    """Parts that most names hold, contained and empty names, other cases, short and repeated ones."""
+    monkeypatch.setattr(similar, "COMMON", common)
+    rng = random.Random(7)
+    words = ["prod", "dev", "api", "web", "v1", "v2", "eu", "team"] + [f"x{i}" for i in range(40)]
+    names = {rng.choice("-/._").join(["prod" if rng.random() < 0.5 else rng.choice(words), *(rng.choice(words) for _ in range(rng.randrange(0, 5)))]) for _ in range(250)}
+    names |= {"", "p", "PR", "Prod", "prod-API", "---", "é/ü", "a/b/c/d/e/f/g/h"}
+    asked = set(rng.sample(sorted(names), 60)) | {"", "x", "ro", "od", "zzz", "zzz/prod", "Prod", "prod/api/v1/eu/team/x1/x2", "---", "É", "api-only"}
+    frame = spark.createDataFrame([(n,) for n in [*names, "prod-API", None]], "name string")
+    queries = spark.createDataFrame([(q,) for q in [*asked, "ro", None]], "query string")
+    got = similar.suggest_names(queries, frame)
+    assert sorted((r.query, r.name, round(r.score, 9)) for r in got.collect()) == plain_suggestions(asked, names)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
+    assert similar.suggest_names(queries, frame.limit(0)).count() == 0 == similar.suggest_names(queries.limit(0), frame).count()
 
 
 def test_newest_row_of_an_id_is_kept(spark):
