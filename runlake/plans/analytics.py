@@ -275,8 +275,8 @@ def f10_field_profile(spark, d):
     return rounded(D.profile_fields(leaves, runs.count()).drop("number_sum", "sample"))
 
 
-@query(f"""SELECT project, language, sum(n)::BIGINT AS n, round(sum(n) * 100.0 / any_value(a), 1) AS pct FROM (SELECT project, CASE WHEN r <= 3 THEN language ELSE 'others' END AS language, n, a FROM (SELECT project, language, count(*) AS n, sum(count(*)) OVER (PARTITION BY project) AS a,
-    row_number() OVER (PARTITION BY project ORDER BY count(*) DESC, language) AS r FROM (SELECT project, {language_sql('text')} AS language FROM runs_docs) WHERE language IS NOT NULL GROUP BY project, language)) GROUP BY project, language""", ("runs_docs",))
+@query(f"""{language_sql("runs_docs", "text")} SELECT project, language, sum(n)::BIGINT AS n, round(sum(n) * 100.0 / any_value(a), 1) AS pct FROM (SELECT project, CASE WHEN r <= 3 THEN language ELSE 'others' END AS language, n, a FROM (SELECT project, language, count(*) AS n, sum(count(*)) OVER (PARTITION BY project) AS a,
+    row_number() OVER (PARTITION BY project ORDER BY count(*) DESC, language) AS r FROM detected WHERE language IS NOT NULL GROUP BY project, language)) GROUP BY project, language""", ("runs_docs",))
 def f11_language_distribution(spark, d):
     return language_distribution(view(spark, d, "runs_docs"), ["project"], "text")
 

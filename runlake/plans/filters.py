@@ -11,7 +11,7 @@ from runlake.functions.register import register
 from runlake.operators import predicates as P
 from runlake.operators import sampling as S
 from runlake.operators.entities import contains_metadata, list_entities, prune
-from runlake.operators.text import language
+from runlake.operators.text import detect_languages
 from runlake.plans.fixtures import NOW, language_sql, view, with_maps
 from runlake.plans.registry import query
 
@@ -157,10 +157,9 @@ def c21_json_text(spark, d):
     return view(spark, d, "runs_events").select("id", C.json_text("id", "error", F.col("total_tokens").alias("tokens")).alias("line"))
 
 
-@query(f"SELECT lang, {language_sql('text')} AS found, count(*) AS n FROM runs_docs GROUP BY ALL", ("runs_docs",))
+@query(f"{language_sql('runs_docs', 'text')} SELECT lang, language AS found, count(*) AS n FROM detected GROUP BY ALL", ("runs_docs",))
 def c23_language(spark, d):
-    docs = view(spark, d, "runs_docs")
-    return docs.select("lang", language("text").alias("found")).groupBy("lang", "found").agg(F.count("*").alias("n"))
+    return detect_languages(view(spark, d, "runs_docs"), "text", ["lang"], "found").groupBy("lang", "found").agg(F.count("*").alias("n"))
 
 
 @query("SELECT id, strftime(start_time, '%Y-%m-%dT%H:%M:%SZ') AS utc FROM runs_events")

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlake.operators.text import LOOKED_AT, SHORTEST, STOP_WORDS
+from runlake.operators.text import LOOKED_AT, SHORTEST, SIZES, WORDS
 
 #: "Now" of the fixtures.
 NOW = datetime(2024, 1, 31)
@@ -90,11 +90,19 @@ def with_maps(events: DataFrame) -> DataFrame:
     return events.withColumns({"tags": tags, "metadata": F.from_json("props", "map<string,string>")})
 
 
-def language_sql(text: str) -> str:
-    """The language of a text by stop words, in DuckDB."""
-    words = f"string_split_regex(lower(left({text}, {LOOKED_AT})), '[^\\p{{L}}]+')"
-    counts = {}
-    for code, known in sorted(STOP_WORDS.items()):
-        counts[code] = f"len(list_filter({words}, lambda w: w IN ({', '.join(repr(w) for w in known.split())})))"
-    best = f"greatest({', '.join(counts.values())})"
-    return f"CASE WHEN length({text}) < {SHORTEST} OR {best} = 0 THEN NULL {' '.join(f"WHEN {n} = {best} THEN '{code}'" for code, n in counts.items())} END"
+def language_sql(rows: str, text: str) -> str:
+    """Further clauses of a WITH, the last of which, `detected`, is the view `rows` with the `language` of its column `text`, in DuckDB."""
+    lists = ", ".join(f"('{code}', '{words.replace(chr(39), chr(39) * 2)}')" for code, words in sorted(WORDS.items()))
+    grams = "SELECT {0}, unnest(list_transform(range(1, length({1}) - {2} + 2), lambda i: substr({1}, CAST(i AS INT), {2}))) AS gram FROM {3}"
+    of_words = " UNION ALL ".join(grams.format("code, n", "w", k, "lang_words") for k in SIZES)
+    of_texts = " UNION ALL ".join(grams.format("nth", "padded", k, "lang_texts") for k in SIZES)
+    padded = f"concat(' ', array_to_string(list_filter(string_split_regex(lower(left({text}, {LOOKED_AT})), '[^\\p{{L}}\\p{{M}}]+'), lambda w: w <> ''), ' '), ' ')"
+    return f""", lang_words AS (SELECT code, concat(' ', unnest(string_split(words, ' ')), ' ') AS w, 600 // (generate_subscripts(string_split(words, ' '), 1) + 4) + 1 AS n FROM (VALUES {lists}) v(code, words)),
+    lang_counts AS (SELECT code, gram, sum(n) AS n FROM ({of_words}) WHERE gram <> ' ' GROUP BY ALL), lang_every AS (SELECT DISTINCT gram FROM lang_counts),
+    lang_totals AS (SELECT code, sum(n) + (SELECT count(*) FROM lang_every) AS total FROM lang_counts GROUP BY code),
+    lang_profile AS (SELECT e.gram, t.code, CAST(round(1000 * ln((coalesce(c.n, 0) + 1) / t.total)) AS BIGINT) AS score FROM lang_every e CROSS JOIN lang_totals t LEFT JOIN lang_counts c ON c.gram = e.gram AND c.code = t.code),
+    lang_rows AS (SELECT *, row_number() OVER () AS nth FROM {rows}), lang_texts AS (SELECT nth, {padded} AS padded FROM lang_rows WHERE length({text}) >= {SHORTEST}),
+    lang_grams AS (SELECT nth, gram, count(*) AS often FROM ({of_texts}) GROUP BY ALL),
+    lang_sums AS (SELECT nth, code, sum(often * score) AS score FROM lang_grams JOIN lang_profile USING (gram) GROUP BY ALL),
+    lang_best AS (SELECT nth, code FROM lang_sums QUALIFY row_number() OVER (PARTITION BY nth ORDER BY score DESC, code) = 1),
+    detected AS (SELECT r.* EXCLUDE (nth), b.code AS language FROM lang_rows r LEFT JOIN lang_best b USING (nth))"""
