@@ -26,6 +26,12 @@ def event_lines(spark, d) -> DataFrame:
     return runs.select(F.coalesce(broken, line).alias("value"))
 
 
+def whole_lines(spark, d) -> DataFrame:
+    """(start_time, value): every event as a JSON line."""
+    runs = view(spark, d, "runs_events").withColumn("start_time", F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    return runs.select("start_time", F.to_json(F.struct(*_FIELDS, "project")).alias("value"))
+
+
 def stored_lines(spark, d) -> str:
     path = new_path(spark, "lines")
     event_lines(spark, d).write.text(path)
@@ -201,7 +207,14 @@ def j3_windowed_usage(spark, d):
 
 @query("""SELECT strftime(w, '%Y-%m-%d %H:%M') AS started, sum(n)::BIGINT AS errors FROM (SELECT date_trunc('minute', start_time) - to_minutes(CAST(unnest([0, 1, 2, 3, 4]) AS BIGINT)) AS w, 1 AS n FROM runs_events WHERE error IS NOT NULL) GROUP BY w HAVING sum(n) > 1""")
 def j4_error_alerts(spark, d):
-    alerts = monitor.error_alerts(view(spark, d, "runs_events"), threshold=1)
+    """A running stream; a heartbeat far ahead, in the last batch, lets the watermark pass every window."""
+    path, out = new_path(spark, "errors"), new_path(spark, "alerts")
+    whole_lines(spark, d).select("value").write.text(path)
+    beat = F.to_json(F.struct(F.lit("beat").alias("id"), F.lit("2100-01-01T00:00:00Z").alias("start_time")))
+    spark.range(1).select(beat.alias("value")).write.mode("append").text(path)
+    alerts = monitor.error_alerts(monitor.run_stream(spark, path, SCHEMA, files_per_trigger=4), threshold=1, delay="60 days")
+    monitor.to_table(alerts, out, new_path(spark, "checkpoint")).awaitTermination()
+    alerts = spark.read.schema(alerts.schema).parquet(out)
     return alerts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("started"), "errors")
 
 
@@ -230,11 +243,13 @@ def j6_late_rows(spark, d):
 def j6_late_stream(spark, d):
     """A stream whose oldest runs come last: those beyond the watermark, which counts from the next but one batch on, are kept out and counted."""
     path, out = new_path(spark, "late"), new_path(spark, "kept")
-    runs = view(spark, d, "runs_events").withColumn("start_time", F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
-    line = runs.select("start_time", F.to_json(F.struct(*_FIELDS, "project")).alias("value"))
+    line = whole_lines(spark, d)
     for part in (F.col("start_time") >= "2024-01-04", F.col("start_time").startswith("2024-01-03"), F.col("start_time") < "2024-01-03"):
         line.where(part).select("value").coalesce(1).write.mode("append").text(path)
     stream = monitor.once_per_id(monitor.run_stream(spark, path, SCHEMA, files_per_trigger=1), "2 days")
+    listener = monitor.LateRows(spark, new_path(spark, "dropped"))
     q = monitor.to_table(stream, out, new_path(spark, "checkpoint"))
     q.awaitTermination()
-    return spark.read.parquet(out).agg(F.lit(monitor.late_rows(q)).cast("long").alias("late"), F.count("*").alias("kept"))
+    late = listener.count(q)
+    listener.stop()
+    return spark.read.parquet(out).agg(F.lit(late).cast("long").alias("late"), F.count("*").alias("kept"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from runlake.operators.sampling import top_per
 from runlake.sources.jsonl import BAD, load_sources
@@ -34,11 +35,20 @@ def windowed_usage(runs: DataFrame, length: str = "1 hour", slide: str | None =
     return runs.withWatermark("start_time", delay).groupBy(w.alias("window")).agg(F.count("*").alias("run_count"), F.count("error").alias("errors"), F.sum(F.coalesce("total_tokens", F.lit(0))).alias("total_tokens"))
 
 
-def error_alerts(runs: DataFrame, threshold: int = 10, length: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
-    """Windows with more errors than `threshold`, with the number of each kind; for batches and, below a watermark, for streams."""
-    kind = F.coalesce(F.nullif(F.regexp_extract("error", "^(\\w+Error)", 1), F.lit("")), F.lit("other"))
-    by_kind = runs.where(F.col("error").isNotNull()).groupBy(F.window("start_time", length, slide).alias("window"), kind.alias("kind")).agg(F.count("*").alias("n"))
-    return by_kind.groupBy("window").agg(F.sum("n").alias("errors"), F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("kinds")).where(F.col("errors") > threshold)
+def error_alerts(runs: DataFrame, threshold: int = 10, length: str = "5 minutes", slide: str = "1 minute", delay: str | None = None) -> DataFrame:
+    """Windows with more errors than `threshold`, with the number of each kind, for batches and streams.
+
+    Of a stream, which needs a `delay`, a window comes out once, in append mode, when the watermark has passed its end:
+    errors may arrive out of order by the delay, and later ones do not count. Kinds are counted by window and kind
+    first, and then by window, both within the stream's state.
+    """
+    # a stream's runs without an error stay in it, as one kind more, since they move the watermark on, too
+    failed = F.col("error").isNotNull()
+    runs = runs.where(failed) if delay is None else runs.withWatermark("start_time", delay)
+    kind = F.when(failed, F.coalesce(F.nullif(F.regexp_extract("error", "^(\\w+Error)", 1), F.lit("")), F.lit("other")))
+    by_kind = runs.groupBy(F.window("start_time", length, slide).alias("window"), kind.alias("kind")).agg(F.count("error").alias("n"))
+    kinds = F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "n")))
+    return by_kind.groupBy("window").agg(F.sum("n").alias("errors"), F.array_sort(kinds).alias("kinds")).where(F.col("errors") > threshold)
 
 
 def latest_roots(batch: DataFrame, before: DataFrame | None = None, n: int = LATEST) -> DataFrame:
@@ -55,9 +65,47 @@ def latest_of_sources(spark: SparkSession, sources: dict[str, str], schema: T.St
     return latest_roots(runs, n=n).withColumn("failed_sources", F.lit(failed.count()))
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that a query's watermark kept out, over the batches its progress tells of."""
-    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Adds up the rows that the watermarks of queries have kept out, in a folder that outlives them.
+
+    A batch that dropped rows leaves an empty file that names the query, the batch and their number, so a batch that
+    runs again after a restart is not counted twice, and queries of any number of batches are counted in full.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.ended: dict[str, threading.Event] = {}
+        spark.streams.addListener(self)
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(name)
+
+    def onQueryStarted(self, event) -> None:
+        self.ended[str(event.runId)] = threading.Event()
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        dropped = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        if dropped:
+            path = self._path(f"{self.folder}/{p.id}/{p.batchId:012d}-{dropped}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True).close()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def count(self, query: StreamingQuery, wait: float = 60) -> int:
+        """All late rows of a query over its runs; of one that has ended, after its last progress has come in."""
+        if not query.isActive and not self.ended.setdefault(str(query.runId), threading.Event()).wait(wait):
+            raise TimeoutError("the listener has not heard of the end of the query")
+        path = self._path(f"{self.folder}/{query.id}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sum(int(f.getPath().getName().rpartition("-")[2]) for f in fs.listStatus(path)) if fs.exists(path) else 0
+
+    def stop(self) -> None:
+        self.spark.streams.removeListener(self)
 
 
 def for_each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
