@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runlake.functions import columns as C
+from runlake.functions.register import register_flatten
 from runlake.operators import discovery as D
 from runlake.operators import entities as E
 from runlake.operators import metrics as M
@@ -251,13 +252,24 @@ def _payload():
     return F.to_json(F.struct(F.from_json("props", "struct<k: bigint>").alias("meta"), inner.alias("run"), F.col("error").alias("error")))
 
 
-@query("""SELECT id, path, value FROM (SELECT id, 'meta.k' AS path, json_extract_string(props, '$.k') AS value FROM runs_events UNION ALL SELECT id, 'run.names', concat('["', name, '","', run_type, '"]') FROM runs_events
-    UNION ALL SELECT id, 'run.deep.env', concat('"', tag_env, '"') FROM runs_events WHERE tag_env IS NOT NULL UNION ALL SELECT id, 'error', concat('"', error, '"') FROM runs_events WHERE error IS NOT NULL UNION ALL SELECT id, 'run.deep', '{}' FROM runs_events WHERE tag_env IS NULL)""")
+_LEAVES = """SELECT id, path, value FROM (SELECT id, 'meta.k' AS path, json_extract_string(props, '$.k') AS value FROM runs_events UNION ALL SELECT id, 'run.names', concat('["', name, '","', run_type, '"]') FROM runs_events
+    UNION ALL SELECT id, 'run.deep.env', concat('"', tag_env, '"') FROM runs_events WHERE tag_env IS NOT NULL UNION ALL SELECT id, 'error', concat('"', error, '"') FROM runs_events WHERE error IS NOT NULL UNION ALL SELECT id, 'run.deep', '{}' FROM runs_events WHERE tag_env IS NULL)"""
+
+
+@query(_LEAVES)
 def c3_flatten(spark, d):
     runs = view(spark, d, "runs_events").withColumn("payload", _payload())
     return D.flatten_json(runs, "id", "payload").where(F.col("path") != "run.seconds").select("id", "path", F.to_json("value").alias("value"))
 
 
+@query(_LEAVES)
+def k2_flatten_in_sql(spark, d):
+    """Flattening as a table function."""
+    register_flatten(spark)
+    runs = view(spark, d, "runs_events").withColumn("payload", _payload())
+    return spark.sql("SELECT r.id, f.path, to_json(f.value) AS value FROM {runs} r, LATERAL runlake_flatten(r.payload) f WHERE f.path <> 'run.seconds'", runs=runs)
+
+
 @query("""SELECT path, type, count(*) AS n FROM (SELECT unnest(['meta.k', 'run.names', 'run.seconds']) AS path, unnest(['int', 'list', 'float']) AS type FROM runs_events UNION ALL SELECT 'run.deep.env', 'str' FROM runs_events WHERE tag_env IS NOT NULL
     UNION ALL SELECT 'error', 'str' FROM runs_events WHERE error IS NOT NULL UNION ALL SELECT 'run.deep', 'dict' FROM runs_events WHERE tag_env IS NULL) GROUP BY ALL""")
 def c4_value_types(spark, d):

@@ -7,11 +7,11 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from runlake.functions import columns as C
-from runlake.functions.register import register
+from runlake.functions.register import register, register_detector
 from runlake.operators import predicates as P
 from runlake.operators import sampling as S
 from runlake.operators.entities import contains_metadata, list_entities, prune
-from runlake.operators.text import detect_languages
+from runlake.operators.text import detect_languages, language_of
 from runlake.plans.fixtures import NOW, language_sql, view, with_maps
 from runlake.plans.registry import query
 
@@ -173,6 +173,13 @@ def k1_functions_in_sql(spark, d):
     return spark.sql("SELECT runlake_model(model, NULL, NULL) AS model, runlake_provider(model, gateway) AS provider, runlake_day(start_time) AS day, count(*) AS n FROM {runs} GROUP BY ALL", runs=view(spark, d, "runs_trace_llm"))
 
 
+@query(f"{language_sql('runs_docs', 'text')} SELECT lang, language AS found, count(*) AS n FROM detected GROUP BY ALL", ("runs_docs",))
+def k3_detector_in_sql(spark, d):
+    """A vectorised detector, registered under a name of the user's own."""
+    register_detector(spark, "my_language", lambda texts: texts.map(lambda t: None if t is None else language_of(t)))
+    return spark.sql("SELECT lang, my_language(text) AS found, count(*) AS n FROM {docs} GROUP BY ALL", docs=view(spark, d, "runs_docs"))
+
+
 @query("SELECT CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, count(*) AS n FROM runs_trace GROUP BY ALL", TRACE)
 def d1_status(spark, d):
     runs = view(spark, d, "runs_trace").select("error")

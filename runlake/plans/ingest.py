@@ -88,13 +88,24 @@ def a5_raw_sample(spark, d):
 
 @query("SELECT CASE item_id % 5 WHEN 0 THEN 'valid' WHEN 1 THEN 'inputs is not an object' WHEN 2 THEN 'not JSON' WHEN 3 THEN 'outputs is not an object' ELSE 'not an object' END AS reason, count(*) AS n FROM benchmark GROUP BY 1", ())
 def a6_validated_examples(spark, d):
+    valid, bad = jsonl.valid_examples(jsonl.read_lines(spark, stored_examples(spark, d)))
+    return valid.select(F.lit("valid").alias("reason")).unionAll(bad.select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def stored_examples(spark, d) -> str:
+    """Items as JSON lines in one file, by their ids; of five, one is valid."""
     path = new_path(spark, "examples")
     k, text = F.col("item_id") % 5, F.struct(F.col("text").alias("question"))
     good = F.to_json(F.struct(F.col("item_id").cast("string").alias("id"), text.alias("inputs")))
     line = F.when(k == 0, good).when(k == 1, F.to_json(F.struct(F.col("text").alias("inputs")))).when(k == 2, "no JSON").when(k == 3, F.to_json(F.struct(text.alias("inputs"), F.array("item_id").alias("outputs")))).otherwise("[1]")
-    view(spark, d, "benchmark").select(line).write.text(path)
-    valid, bad = jsonl.valid_examples(jsonl.read_lines(spark, path))
-    return valid.select(F.lit("valid").alias("reason")).unionAll(bad.select("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    view(spark, d, "benchmark").select("item_id", line.alias("value")).coalesce(1).sortWithinPartitions("item_id").select("value").write.text(path)
+    return path
+
+
+@query("SELECT * FROM (SELECT row_number() OVER (ORDER BY item_id) AS row, CASE item_id % 5 WHEN 1 THEN 'inputs is not an object' WHEN 2 THEN 'not JSON' WHEN 3 THEN 'outputs is not an object' WHEN 4 THEN 'not an object' END AS reason FROM benchmark) WHERE reason IS NOT NULL", ())
+def a6_bad_rows(spark, d):
+    _, bad = jsonl.valid_examples(jsonl.read_numbered_lines(spark, stored_examples(spark, d)))
+    return bad.select("row", "reason")
 
 
 @query("SELECT id, name, error, concat('[\"', tag_len, '\"]') AS tags FROM runs_events WHERE error IS NOT NULL")

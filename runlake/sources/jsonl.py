@@ -21,8 +21,28 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).where(F.trim("line") != "")
 
 
+def read_numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(file, line, row) of text files: `row` is the number of the line in its file, from 1, blank lines counted.
+
+    A file may be read in several splits. Lines are counted by split, the counts before a split are its offset, and
+    a line's place within its split comes from the order in which a task reads it; so texts are read twice and only
+    the counts, one for each split, are shuffled.
+    """
+    block, nth = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), block.alias("__block"), nth.alias("__nth"))
+    counts = lines.groupBy("file", "__block").agg(F.count("*").alias("__n"), F.min("__nth").alias("__first"))
+    before = F.sum("__n").over(Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("file", "__block", (F.coalesce(before, F.lit(0)) - F.col("__first") + 1).alias("__offset"))
+    return lines.join(offsets, ["file", "__block"]).where(F.trim("line") != "").select("file", "line", (F.col("__nth") + F.col("__offset")).alias("row"))
+
+
+def _quarantine(marked: DataFrame) -> DataFrame:
+    """file, line, reason and, where lines are numbered, row of lines that have a reason."""
+    return marked.where(F.col("reason").isNotNull()).select("file", "line", "reason", *(["row"] if "row" in marked.columns else []))
+
+
 def parse_runs(lines: DataFrame, schema: T.StructType, required: tuple[str, ...] = ("id",)) -> tuple[DataFrame, DataFrame]:
-    """(runs, quarantine) of (file, line): a line that is no JSON, does not fit the schema or lacks a required field is put aside with a reason."""
+    """(runs, quarantine) of (file, line[, row]): a line that is no JSON, does not fit the schema or lacks a required field is put aside with a reason, and its row where lines are numbered."""
     full = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
     parsed = lines.withColumn("run", F.from_json("line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}))
     missing = None
@@ -31,7 +51,7 @@ def parse_runs(lines: DataFrame, schema: T.StructType, required: tuple[str, ...]
     reason = F.when(F.try_parse_json("line").isNull(), "not JSON").when(F.col(f"run.{BAD}").isNotNull(), "does not fit the schema").when(missing, "a required field is missing")
     parsed = parsed.withColumn("reason", reason)
     good = parsed.where(F.col("reason").isNull()).select("run.*", "file").drop(BAD)
-    return good, parsed.where(F.col("reason").isNotNull()).select("file", "line", "reason")
+    return good, _quarantine(parsed)
 
 
 def raw_sample(lines: DataFrame, n: int) -> DataFrame:
@@ -59,7 +79,7 @@ def load_sources(spark: SparkSession, sources: dict[str, str], schema: T.StructT
 
 
 def valid_examples(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(examples, quarantine): a line is an object whose `inputs` is an object and whose `outputs` is one, null or missing."""
+    """(examples, quarantine, with the row of numbered lines): a line is an object whose `inputs` is an object and whose `outputs` is one, null or missing."""
     v = F.try_parse_json("line")
 
     def kind(path: str) -> Column:
@@ -72,7 +92,7 @@ def valid_examples(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     marked = lines.withColumn("reason", reason)
     good = marked.where(F.col("reason").isNull()).select("file", F.get_json_object("line", "$.id").alias("id"), F.get_json_object("line", "$.inputs").alias("inputs"), F.get_json_object("line", "$.outputs").alias("outputs"))
-    return good, marked.where(F.col("reason").isNotNull()).select("file", "line", "reason")
+    return good, _quarantine(marked)
 
 
 def new_rows(batch: DataFrame, stored: DataFrame, order: list[Column], key: str = "id") -> DataFrame:
