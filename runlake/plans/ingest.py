@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,23 +61,39 @@ def a2_load_projects(spark, d):
 
 
 def stored_sources(spark, d) -> dict[str, str]:
-    """Events of three projects as JSON lines in folders, and a fourth that is not there."""
+    """Events of all projects as JSON lines in folders; besides, a folder that is not there and one with a gzip file that breaks off."""
     path = new_path(spark, "sources")
-    runs = view(spark, d, "runs_events").where(F.col("project").isin("svc/0", "svc/1", "svc/2")).withColumn("folder", F.substr("project", F.lit(5)))
+    runs = view(spark, d, "runs_events").withColumn("folder", F.substr("project", F.lit(5)))
     runs.withColumn("start_time", F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).select(*_FIELDS, "project", "folder").write.partitionBy("folder").json(path)
-    return {f"svc/{n}": f"{path}/folder={n}" for n in (0, 1, 2, 9)}
+    good = "".join(json.dumps({"id": f"cut{i}", "start_time": "2100-01-01T00:00:00Z"}) + "\n" for i in range(2000))
+    broken = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/cut/a.json.gz")
+    out = broken.getFileSystem(spark._jsc.hadoopConfiguration()).create(broken)
+    out.write(bytearray(gzip.compress(good.encode())[:-40]))
+    out.close()
+    return {f"svc/{n}": f"{path}/folder={n}" for n in (0, 1, 2, 3, 4, 9)} | {"svc/8": f"{path}/cut"}
 
 
-@query("SELECT source, n, reason FROM (SELECT project AS source, least(count(*), 50) AS n, CAST(NULL AS STRING) AS reason FROM runs_events WHERE project IN ('svc/0', 'svc/1', 'svc/2') GROUP BY project UNION ALL SELECT 'svc/9', 0, 'PATH_NOT_FOUND')")
+@query("SELECT source, n, reason FROM (SELECT project AS source, least(count(*), 50) AS n, CAST(NULL AS STRING) AS reason FROM runs_events GROUP BY project UNION ALL SELECT 'svc/8', 0, 'EOFError' UNION ALL SELECT 'svc/9', 0, 'FileNotFoundError')")
 def a4_failed_sources(spark, d):
     runs, failed = jsonl.load_sources(spark, stored_sources(spark, d), SCHEMA, limit=50)
     read = runs.groupBy("source").agg(F.count("*").alias("n")).withColumn("reason", F.lit(None).cast("string"))
-    return read.unionByName(failed.select("source", F.lit(0).alias("n"), "reason"))
+    return read.unionByName(failed.select("source", F.lit(0).alias("n"), F.substring_index("reason", ":", 1).alias("reason")))
 
 
-@query("SELECT id, name, 1 AS failed_sources FROM runs_events WHERE project IN ('svc/0', 'svc/1', 'svc/2') ORDER BY start_time DESC, id LIMIT 10")
+@query("SELECT id, name, 1 AS failed_sources FROM runs_events ORDER BY start_time DESC, id LIMIT 10")
 def j1_failed_sources(spark, d):
-    return monitor.latest_of_sources(spark, stored_sources(spark, d), SCHEMA).select("id", "name", "failed_sources")
+    """One stream for runs and failures, stopped after its first look and started again."""
+    sources = {n: path for n, path in stored_sources(spark, d).items() if n != "svc/8"}
+    path, checkpoint = new_path(spark, "watched"), new_path(spark, "checkpoint")
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{n}")
+
+    for _ in range(2):
+        with monitor.rocksdb(spark):
+            q = monitor.for_each_batch(monitor.watch_sources(spark, sources, SCHEMA), keep, checkpoint)
+            q.awaitTermination()
+    return spark.read.parquet(f"{path}/{q.lastProgress['batchId']}").select("id", "name", "failed_sources")
 
 
 @query("""SELECT concat('{"id":"', CAST(event_id AS STRING), '","type":"', event_type, '"}') AS line FROM events WHERE event_id % 3 > 0 ORDER BY line LIMIT 100""", ())

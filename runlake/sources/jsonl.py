@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +9,7 @@ from pyspark.sql import types as T
 from runlake.functions.columns import strip_binary
 from runlake.operators.sampling import top_per
 from runlake.sources import store
+from runlake.sources.feeds import source_lines
 from runlake.sources.shared import new_path
 
 #: Where a line that could not be used went wrong.
@@ -67,15 +67,21 @@ def load_projects(stored: DataFrame, wanted: list[str]) -> tuple[DataFrame, Data
 
 
 def load_sources(spark: SparkSession, sources: dict[str, str], schema: T.StructType, limit: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(runs, failed) of JSON-line sources by name: runs with their `source`, at most `limit` of each, newest first (0 is all); a source that cannot be opened is captured as (source, reason) and the others are read."""
-    runs, failed = spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("source", T.StringType())])), []
-    for name, path in sources.items():
-        try:
-            runs = runs.unionByName(spark.read.schema(schema).json(path).withColumn("source", F.lit(name)))
-        except AnalysisException as why:
-            failed.append((name, why.getCondition()))
-    runs = top_per(runs, ["source"], limit) if limit else runs
-    return runs, spark.createDataFrame(failed, "source string, reason string")
+    """(runs, failed) of JSON-line sources by name: runs with their `source`, at most `limit` of each, newest first (0 is all), and (source, reason) of sources that failed.
+
+    A source fails if it cannot be listed or one of its files cannot be read to its end; it is left out as a whole,
+    and the others are read. Lines that are no runs of the schema are passed over.
+    """
+    lines = source_lines(spark, sources)
+    failed = lines.where(F.col("error").isNotNull()).groupBy("source").agg(F.min("error").alias("reason"))
+    path = new_path(spark, "failed")
+    failed.write.parquet(path)  # one row a source; reading them again would read the sources again
+    failed = spark.read.schema("source string, reason string").parquet(path)
+    full = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    run = F.from_json("line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    parsed = lines.where(F.col("line").isNotNull()).select("source", run.alias("run")).where(F.col("run").isNotNull() & F.col(f"run.{BAD}").isNull())
+    runs = parsed.select("run.*", "source").drop(BAD).join(F.broadcast(failed.select("source")), "source", "left_anti").select(*(f.name for f in schema), "source")
+    return (top_per(runs, ["source"], limit) if limit else runs), failed
 
 
 def valid_examples(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

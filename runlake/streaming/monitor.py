@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from runlake.operators.sampling import top_per
+from runlake.sources.feeds import source_lines
 from runlake.sources.jsonl import BAD, load_sources
 
 LATEST = 10
@@ -65,6 +68,79 @@ def latest_of_sources(spark: SparkSession, sources: dict[str, str], schema: T.St
     return latest_roots(runs, n=n).withColumn("failed_sources", F.lit(failed.count()))
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Within it, streams that are started keep their state in RocksDB, as those with a processor of their own must."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+class Newest(StatefulProcessor):
+    """State of one monitor: the newest root runs, and of each source whether it failed when it was last looked at."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.runs = handle.getMapState("runs", "id string", "start double, run string")
+        self.sources = handle.getMapState("sources", "source string", "failed boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        newest = {k[0]: (v[0], v[1]) for k, v in self.runs.iterator()}
+        looked_at: dict[str, bool] = {}
+        for batch in rows:
+            for kind, name, start, run in zip(batch["kind"], batch["name"], batch["start"], batch["run"], strict=True):
+                if kind == "run":
+                    newest[name] = max(newest.get(name, (start, run)), (start, run))
+                else:
+                    looked_at[name] = looked_at.get(name, False) or kind == "failed"
+        for source, failed in looked_at.items():
+            self.sources.updateValue((source,), (failed,))
+        kept = sorted(newest.items(), key=lambda x: (-x[1][0], x[0]))[: self.n]
+        self.runs.clear()
+        for name, value in kept:
+            self.runs.updateValue((name,), value)
+        failed = sum(bool(v[0]) for _, v in self.sources.iterator())
+        yield pd.DataFrame({"rank": range(1, len(kept) + 1), "run": [v[1] for _, v in kept], "failed_sources": failed})
+
+    def close(self) -> None:
+        pass
+
+
+def watch_sources(spark: SparkSession, sources: dict[str, str], schema: T.StructType, n: int = LATEST) -> DataFrame:
+    """A stream of the `n` newest root runs of all sources, with the number of sources that failed at the last look; one table each time the sources are polled.
+
+    Both are kept in the stream's state, so they outlive a restart. Of a file that breaks off, the runs before the break
+    are shown, and its source counts as failed. A task hands on its own newest runs only; what
+    meets in one group is at most `n` rows a task and one a source. The state store must be RocksDB.
+    """
+    lines = source_lines(spark, sources, stream=True)
+    full = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    run = F.from_json("line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    kind = F.when(F.col("line").isNotNull(), "run").when(F.col("error").isNotNull(), "failed").otherwise("read")
+    rows = lines.withColumn("run", run).where(F.col("line").isNull() | (F.col(f"run.{BAD}").isNull() & F.col("run.id").isNotNull() & F.col("run.parent_run_id").isNull()))
+    start = F.coalesce(F.unix_micros("run.start_time") / 1e6, F.lit(float("-inf")))
+    rows = rows.select(kind.alias("kind"), F.when(F.col("line").isNull(), F.col("source")).otherwise(F.col("run.id")).alias("name"), start.alias("start"), F.col("line").alias("run"))
+
+    def newest_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for batch in batches:
+            both = batch if kept is None else pd.concat([kept, batch])
+            runs = both[both["kind"] == "run"].sort_values(["start", "name", "run"], ascending=[False, True, False]).drop_duplicates("name").head(n)
+            kept = pd.concat([runs, both[both["kind"] != "run"].drop_duplicates()])
+        if kept is not None:
+            yield kept
+
+    few = rows.mapInPandas(newest_of_task, rows.schema).withColumn("monitor", F.lit(0))
+    made = few.groupBy("monitor").transformWithStateInPandas(Newest(n), "rank int, run string, failed_sources int", "Update", "None")
+    return made.select("rank", F.from_json("run", schema).alias("run"), "failed_sources").select("rank", "run.*", "failed_sources")
+
+
 class LateRows(StreamingQueryListener):
     """Adds up the rows that the watermarks of queries have kept out, in a folder that outlives them.
 
