@@ -1,8 +1,12 @@
-"""A table of stored runs, in folders by project, with metadata beside them that is merged at each append."""
+"""A table of stored runs, in folders by project, with metadata beside them that is merged at each append.
+
+The driver holds a listing of the folders and one row of metadata for each, never runs.
+"""
 
 from __future__ import annotations
 
 import uuid
+from datetime import UTC, datetime
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -35,10 +39,11 @@ def of_projects(runs: DataFrame, projects: list[str | None]) -> DataFrame:
     return runs.where(named | F.col("project").isNull() if None in projects else named)
 
 
-def counted(runs: DataFrame) -> DataFrame:
-    """Count and times of `runs` by project, in columns of META; without start times they are null."""
-    start = F.col("start_time") if "start_time" in runs.columns else F.lit(None).cast("timestamp")
-    return runs.groupBy("project").agg(F.count("*").alias("run_count"), F.min(start).cast("timestamp").alias("oldest"), F.max(start).cast("timestamp").alias("newest"), F.lit(None).cast("timestamp").alias("last_updated"))
+def _counted(runs: DataFrame) -> dict[str | None, dict]:
+    """Count and times of `runs` by project; without start times they are null."""
+    start = F.col("start_time") if "start_time" in runs.columns else F.lit(None)
+    rows = runs.groupBy("project").agg(F.count("*").alias("run_count"), F.min(start).cast("timestamp").alias("oldest"), F.max(start).cast("timestamp").alias("newest")).collect()
+    return {r.project: r.asDict() for r in rows}
 
 
 def _versions(spark: SparkSession, path: str):
@@ -50,70 +55,69 @@ def _versions(spark: SparkSession, path: str):
     return fs, new_path, [n for n in names if n.startswith("v")]
 
 
-def publish(meta: DataFrame, path: str) -> None:
+def publish(spark: SparkSession, meta: dict[str | None, dict], path: str) -> None:
     """Writes the next version of the metadata, which one rename makes visible; only the version before it is kept. For one writer at a time."""
-    spark = meta.sparkSession
     fs, new_path, versions = _versions(spark, path)
     made, name = f"{path}/_meta/new-{uuid.uuid4().hex}", f"v{int(versions[-1][1:]) + 1 if versions else 0:012d}"
-    meta.coalesce(1).write.parquet(made)
+    _frame(spark, meta).coalesce(1).write.parquet(made)
     if not fs.rename(new_path(made), new_path(f"{path}/_meta/{name}")):
         raise OSError(f"cannot publish {name} of {path}")
     for old in versions[:-1]:
         fs.delete(new_path(f"{path}/_meta/{old}"), True)
 
 
-def metadata(spark: SparkSession, path: str, files: dict[str | None, set[str]] | None = None) -> DataFrame:
+def _frame(spark: SparkSession, meta: dict[str | None, dict]) -> DataFrame:
+    names = [f.split(" ")[0] for f in META.split(", ")]
+    return spark.createDataFrame([tuple(row.get(n) for n in names) for row in meta.values()], META)
+
+
+def _known(spark: SparkSession, path: str, files: dict[str | None, set[str]]) -> tuple[dict[str | None, dict], bool]:
+    """What is known of each project of the listing, one row a folder, and whether all of it is published."""
+    _, _, versions = _versions(spark, path)
+    rows = spark.read.schema(META).parquet(f"{path}/_meta/{versions[-1]}").collect() if versions else []
+    out = {r.project: r.asDict() for r in rows if len(files.get(r.project, ())) == r.files}
+    stale = [p for p in files if p not in out]
+    if stale:
+        one = unquote(next(iter(files[stale[0]])))
+        schema = T.StructType([*(f for f in spark.read.parquet(one).schema if f.name == "start_time"), T.StructField("project", T.StringType())])
+        again = _counted(of_projects(spark.read.schema(schema).parquet(path), stale))
+        out |= {p: again.get(p, {"project": p, "run_count": 0}) | {"files": len(files[p])} for p in stale}
+    return out, not stale
+
+
+def metadata(spark: SparkSession, path: str) -> DataFrame:
     """META of the table at `path`, without reading its runs.
 
     A project whose number of files is not the one published, since a writer was stopped between data and metadata
     or is another one, is counted anew; only its folder is read.
     """
-    files = data_files(spark, path) if files is None else files
-    _, _, versions = _versions(spark, path)
-    now = spark.createDataFrame([(p, len(f)) for p, f in files.items()], "folder string, now long")
-    if not versions:
-        fresh, stale = spark.createDataFrame([], META), list(files)
-    else:
-        kept = spark.read.schema(META).parquet(f"{path}/_meta/{versions[-1]}")
-        fresh = kept.join(F.broadcast(now), F.col("project").eqNullSafe(F.col("folder")) & (F.col("files") == F.col("now"))).select(*kept.columns)
-        stale = [r.folder for r in now.join(F.broadcast(fresh), F.col("folder").eqNullSafe(F.col("project")), "left_anti").select("folder").collect()]
-    if not stale:
-        return fresh
-    one = unquote(next(iter(files[stale[0]])))
-    schema = T.StructType([*(f for f in spark.read.parquet(one).schema if f.name == "start_time"), T.StructField("project", T.StringType())])
-    runs = of_projects(spark.read.schema(schema).parquet(path), stale)
-    again = counted(runs).join(F.broadcast(now), F.col("project").eqNullSafe(F.col("folder"))).withColumnRenamed("now", "files")
-    return fresh.unionByName(again.select(*fresh.columns))
-
-
-def append(staged: DataFrame, path: str) -> DataFrame:
-    """Appends those rows of `staged`, a written table with each (project, id) once, that the table at `path` lacks, and merges its metadata; gives what was appended."""
+    return _frame(spark, _known(spark, path, data_files(spark, path))[0])
+
+
+def append(staged: DataFrame, touched: list[str | None], path: str) -> DataFrame:
+    """Appends those rows of `staged`, a written table with each (project, id) of the projects `touched` once, that the table at `path` lacks, and merges its metadata; gives what was appended."""
     spark = staged.sparkSession
     before = data_files(spark, path)
-    touched = [r.project for r in staged.select("project").distinct().collect()]  # folder names
-    known = metadata(spark, path, before)
-    old = set().union(*before.values())
+    known, published = _known(spark, path, before)
     fresh = staged
     if here := [p for p in touched if p in before]:
         stored = of_projects(spark.read.schema("id string, project string").parquet(path), here).select(F.col("id").alias("__id"), F.col("project").alias("__project"))
         fresh = staged.join(stored, (F.col("id") == F.col("__id")) & F.col("project").eqNullSafe(F.col("__project")), "left_anti")
     fresh.write.mode("append").partitionBy("project").parquet(path)
     after = data_files(spark, path)
-    new = sorted(set().union(*after.values()) - old)
+    new = sorted(f for p, own in after.items() for f in own - before.get(p, set()))
     if not new:
-        publish_if_missing(known, path)
+        if not published:
+            publish(spark, known, path)
         return staged.limit(0)
-    appended = spark.read.schema(staged.schema).option("basePath", path).parquet(*(unquote(f) for f in new)).select(*staged.columns)
-    now = spark.createDataFrame([(p, len(f)) for p, f in after.items()], "folder string, files long")
-    both = known.drop("files").unionByName(counted(appended).withColumn("last_updated", F.current_timestamp()))
-    merged = both.groupBy("project").agg(F.sum("run_count").alias("run_count"), F.min("oldest").alias("oldest"), F.max("newest").alias("newest"), F.max("last_updated").alias("last_updated"))
-    publish(merged.join(F.broadcast(now), F.col("project").eqNullSafe(F.col("folder"))).select("project", "run_count", "oldest", "newest", "last_updated", "files"), path)
-    return of_projects(appended, touched)
-
-
-def publish_if_missing(known: DataFrame, path: str) -> None:
-    if not _versions(known.sparkSession, path)[2]:
-        publish(known, path)
+    appended = of_projects(spark.read.schema(staged.schema).option("basePath", path).parquet(*(unquote(f) for f in new)).select(*staged.columns), touched)
+    now = datetime.now(UTC)
+    for p, row in _counted(appended).items():
+        old = known.get(p, {"run_count": 0})
+        times = {n: best(t for t in (old.get(n), row[n]) if t is not None) if old.get(n) or row[n] else None for n, best in (("oldest", min), ("newest", max))}
+        known[p] = {"project": p, "run_count": old["run_count"] + row["run_count"], "last_updated": now, "files": len(after[p])} | times
+    publish(spark, known, path)
+    return appended
 
 
 def first_of_each(batch: DataFrame, order: list[Column]) -> DataFrame:
