@@ -120,6 +120,7 @@ def append_runs(batch: DataFrame, path: str, order: list[Column]) -> DataFrame:
     """
     spark = batch.sparkSession
     staging = new_path(spark, "staged")
-    store.first_of_each(batch, order).write.partitionBy("project").parquet(staging)
-    touched = list(store.data_files(spark, staging))
-    return store.append(spark.read.schema(batch.schema).parquet(staging).select(*batch.columns), touched, path)
+    store.first_of_each(batch, order).write.parquet(staging)
+    staged = spark.read.schema(batch.schema).parquet(staging)
+    touched = [r.project for r in staged.select("project").distinct().collect()]  # folder names
+    return store.append(staged, touched, path)
