@@ -122,5 +122,5 @@ def append(staged: DataFrame, touched: list[str | None], path: str) -> DataFrame
 
 def first_of_each(batch: DataFrame, order: list[Column]) -> DataFrame:
     """Of each (project, id) the first row by `order`; rows without an id go."""
-    w = Window.partitionBy("project", "id").orderBy(*order)
+    w = Window.partitionBy("id", "project").orderBy(*order)  # sorted by the id first, which tells rows apart sooner
     return batch.where(F.col("id").isNotNull()).withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") == 1).drop("__rank")
