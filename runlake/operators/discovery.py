@@ -70,25 +70,53 @@ def profile_fields(leaves: DataFrame, total: int, key: str = "id") -> DataFrame:
     return out.select("path", "type", "present_count", *names, "number_sum", "sample", "present_pct").orderBy("path")
 
 
+#: What counts in the schema text of a VARIANT: quoted names, brackets, and types that elements of a list may have been merged to.
+_MARKS = "`(?:[^`]|``)*`|ARRAY<|OBJECT<|>|DECIMAL|DOUBLE|VARIANT"
+
+
+def _merged(schema: Column) -> Column:
+    """Whether a schema text may stand for lists whose elements differ in type: numbers of both kinds and unlike types share one text."""
+    start = F.struct(F.lit("").alias("open"), F.lit(False).alias("found"))
+
+    def step(state: Column, mark: Column) -> Column:
+        opened = F.when(mark == "ARRAY<", F.concat(state.open, F.lit("a"))).when(mark == "OBJECT<", F.concat(state.open, F.lit("o"))).when(mark == ">", F.left(state.open, F.length(state.open) - 1)).otherwise(state.open)
+        return F.struct(opened.alias("open"), (state.found | (mark.isin("DECIMAL", "DOUBLE", "VARIANT") & state.open.contains("a"))).alias("found"))
+
+    return schema.rlike("(?s)ARRAY<.*(DECIMAL|DOUBLE|VARIANT)") & F.aggregate(F.regexp_extract_all(schema, F.lit(_MARKS), F.lit(0)), start, step)["found"]
+
+
+def _kinds_of_payload(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(kind, n, first): payloads with the same types under the same paths are one kind, of which the payload of the smallest key is kept."""
+    whole = F.schema_of_variant(F.try_parse_json("text"))
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("schema", whole).where(F.col("schema").isNotNull())
+    # digits do not tell decimals apart, but for those after the point; a text with quoted names is left as it is
+    plain = F.when(F.col("schema").contains("`"), F.col("schema")).otherwise(F.regexp_replace("schema", "DECIMAL\\([0-9]+,[1-9][0-9]*\\)", "DECIMAL"))
+    kind = F.when(_merged(F.col("schema")), F.concat(F.lit("#"), F.md5("text"))).otherwise(F.md5(plain))
+    return rows.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text")).alias("first"))
+
+
 def infer_schema(df: DataFrame, key: str, text: str, max_depth: int = SCHEMA_DEPTH, sample: int = 50) -> DataFrame:
     """path, type, present_count, sample: every path of JSON values, [] standing for the elements of a list; 'mixed' where types differ.
 
     The sample is the JSON text of the value of the smallest key, cut to `sample` signs. Rows are one run each.
+    Rows are summed up by the schema of their payload, in one pass and before the shuffle; only one payload of each schema
+    is opened level by level. Lists that may mix types are told apart by their whole text. Payloads that all differ in
+    their schemas are all opened.
     """
-    level = df.select(F.col(key).alias("__key"), F.lit("").alias("path"), F.try_parse_json(text).alias("value"), F.lit(False).alias("done")).where(F.col("value").isNotNull())
+    opened = _kinds_of_payload(df, key, text).select("kind", "n", "first.key", F.lit("").alias("path"), F.try_parse_json("first.text").alias("value"), F.lit(False).alias("done"))
     for depth in range(max_depth):
         # a value stays as it is and, the first time, is opened too
         stays = F.array(F.lit(False)) if depth == 0 else F.when(F.col("done"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))
-        level = df.sparkSession.sql(
-            "SELECT t.__key, CASE WHEN t.stays THEN t.path WHEN e.key IS NULL THEN concat(t.path, '[]') WHEN t.path = '' THEN e.key ELSE concat(t.path, '.', e.key) END AS path, CASE WHEN t.stays THEN t.value ELSE e.value END AS value, t.stays AS done "
+        opened = df.sparkSession.sql(
+            "SELECT t.kind, t.n, t.key, CASE WHEN t.stays THEN t.path WHEN e.key IS NULL THEN concat(t.path, '[]') WHEN t.path = '' THEN e.key ELSE concat(t.path, '.', e.key) END AS path, CASE WHEN t.stays THEN t.value ELSE e.value END AS value, t.stays AS done "
             "FROM {level} t, LATERAL variant_explode_outer(CASE WHEN NOT t.stays THEN t.value END) e WHERE t.stays OR e.value IS NOT NULL",
-            level=level.select("*", F.explode(stays).alias("stays")),
+            level=opened.select("*", F.explode(stays).alias("stays")),
         )
-    values = level.select("__key", "path", value_type("value").alias("type"), F.left(F.to_json("value"), F.lit(sample)).alias("text")).where(F.col("type") != "null")
-    # the elements of a list share a path within a run
-    runs = values.groupBy("path", "__key").agg(F.min("type").alias("low"), F.max("type").alias("high"), F.min("text").alias("text"))
-    known = runs.groupBy("path").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("present_count"), F.min_by("text", "__key").alias("sample"))
-    return known.select("path", F.when(F.col("low") != F.col("high"), "mixed").otherwise(F.col("low")).alias("type"), "present_count", "sample").orderBy("path")
+    values = opened.select("kind", "n", "key", "path", value_type("value").alias("type"), F.left(F.to_json("value"), F.lit(sample)).alias("text")).where(F.col("type") != "null")
+    # the elements of a list share a path within a payload
+    payloads = values.groupBy("path", "kind", "n", "key").agg(F.min("type").alias("low"), F.max("type").alias("high"), F.min("text").alias("text"))
+    known = payloads.groupBy("path").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("present_count"), F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text")).alias("first"))
+    return known.select("path", F.when(F.col("low") != F.col("high"), "mixed").otherwise(F.col("low")).alias("type"), "present_count", F.col("first.text").alias("sample")).orderBy("path")
 
 
 def top_and_others(counts: DataFrame, keys: list[str], name: str, n: int = 3) -> DataFrame:
