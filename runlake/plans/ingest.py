@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from runlake.plans.fixtures import view
 from runlake.plans.registry import query
 from runlake.schema import RUN_SCHEMA
-from runlake.sources import jsonl, sinks
+from runlake.sources import jsonl, sinks, text_index
 from runlake.sources.shared import new_path
 from runlake.streaming import monitor
 
@@ -186,6 +186,25 @@ def e4_dedup_against_stored(spark, d):
     return fresh.groupBy("project").agg(F.count("*").alias("n"))
 
 
+@query("SELECT id, q AS query FROM runs_docs, (VALUES ('under the terms', true), ('License', false), ('zq', true)) v(q, any_case) WHERE CASE WHEN any_case THEN contains(lower(text), lower(q)) ELSE contains(text, q) END", ("runs_docs",))
+def d12_indexed_search(spark, d):
+    """Whole texts searched by a trigram index of their files; the last query is too short for it."""
+    path, index = new_path(spark, "texts"), new_path(spark, "grams")
+    view(spark, d, "runs_docs").select("id", "text", "project").write.partitionBy("project").parquet(path)
+    text_index.index_texts(spark, path, index, F.col("text"))
+    found = [text_index.search_files(spark, path, index, q, F.col("text"), ignore_case=any_case).select("id", F.lit(q).alias("query")) for q, any_case in (("under the terms", True), ("License", False), ("zq", True))]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
+@query("SELECT id, project FROM runs_events WHERE CAST(id AS BIGINT) % 3 = 0")
+def e4_dedup_by_filter(spark, d):
+    """What an append by the filter of stored ids adds: two thirds of the events, half of which are stored."""
+    path, runs = new_path(spark, "filtered"), view(spark, d, "runs_events").select("id", "project", "start_time")
+    k, order = F.col("id").cast("long") % 3, [F.asc("start_time")]
+    jsonl.append_runs(runs.where(k != 0), path, order, by_filter=True)
+    return jsonl.append_runs(runs.where(k != 1), path, order, by_filter=True).select("id", "project")
+
+
 @query("SELECT count(*) AS total, count(project) AS attributed FROM runs_trace", ("runs_trace",))
 def e5_project_attribution(spark, d):
     return view(spark, d, "runs_trace").agg(F.count("*").alias("total"), F.count("project").alias("attributed"))

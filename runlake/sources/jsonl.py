@@ -112,15 +112,17 @@ def strip_payloads(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: strip_binary(c) for c in columns})
 
 
-def append_runs(batch: DataFrame, path: str, order: list[Column]) -> DataFrame:
+def append_runs(batch: DataFrame, path: str, order: list[Column], by_filter: bool = False) -> DataFrame:
     """Appends the new runs of `batch` to the Parquet table at `path`, by project, and merges its metadata; gives what was appended.
 
     Runs are told apart by (project, id); of those that the batch repeats the first by `order` is taken. The batch is
     evaluated once and staged in the shared folder; of the stored table only the ids of its projects are read.
+    With `by_filter` a Bloom filter beside the data is asked first, and only files that may hold an id of the batch are
+    read, which pays where the stored ids are many times those of a batch; the result is the same.
     """
     spark = batch.sparkSession
     staging = new_path(spark, "staged")
     store.first_of_each(batch, order).write.parquet(staging)
     staged = spark.read.schema(batch.schema).parquet(staging)
     touched = [r.project for r in staged.select("project").distinct().collect()]  # folder names
-    return store.append(staged, touched, path)
+    return store.append(staged, touched, path, by_filter)

@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from runlake.sources import id_filter
+from runlake.sources.shared import new_path
+
 META = "project string, run_count long, oldest timestamp, newest timestamp, last_updated timestamp, files long"
 _NO_PROJECT = "__HIVE_DEFAULT_PARTITION__"
 
@@ -94,15 +97,46 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
     return _frame(spark, _known(spark, path, data_files(spark, path))[0])
 
 
-def append(staged: DataFrame, touched: list[str | None], path: str) -> DataFrame:
-    """Appends those rows of `staged`, a written table with each (project, id) of the projects `touched` once, that the table at `path` lacks, and merges its metadata; gives what was appended."""
+def _without(staged: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of `staged` whose (project, id) `stored` lacks."""
+    stored = stored.select(F.col("id").alias("__id"), F.col("project").alias("__project"))
+    return staged.join(stored, (F.col("id") == F.col("__id")) & F.col("project").eqNullSafe(F.col("__project")), "left_anti")
+
+
+def _new_by_filter(staged: DataFrame, files: dict[str | None, set[str]], known: dict[str | None, dict], path: str) -> DataFrame:
+    """Rows of `staged` that the table lacks; of `files`, those of the batch's projects, only those are read that may hold one of its ids by the filter."""
+    spark = staged.sparkSession
+    done = id_filter.covered(spark, path, files)
+    have = {f for _, f, *_ in done}
+    if open_files := {p: left for p, own in files.items() if (left := own - have)}:
+        id_filter.cover(spark, path, open_files, {p: known[p]["run_count"] for p in open_files})
+        done = id_filter.covered(spark, path, files)
+    hits = new_path(spark, "hits")
+    id_filter.possible(staged, done, path).write.parquet(hits)
+    found = spark.read.schema("id string, project string, batch string").parquet(hits)
+    where = {(r.project, r.batch) for r in found.select("project", "batch").distinct().collect()}  # at most the appends of each folder
+    held = [unquote(f) for p, f, _, b in done if (p, b) in where]
+    if not held:
+        return staged
+    stored = spark.read.schema("id string, project string").option("basePath", path).parquet(*held)
+    asked = found.select(F.col("id").alias("__id"), F.col("project").alias("__project")).distinct()
+    return _without(staged, stored.join(asked, (F.col("id") == F.col("__id")) & F.col("project").eqNullSafe(F.col("__project")), "left_semi"))
+
+
+def append(staged: DataFrame, touched: list[str | None], path: str, by_filter: bool = False) -> DataFrame:
+    """Appends those rows of `staged`, a written table with each (project, id) of the projects `touched` once, that the table at `path` lacks, and merges its metadata; gives what was appended.
+
+    `by_filter` asks a Bloom filter of the stored ids first, which is kept beside the data.
+    """
     spark = staged.sparkSession
     before = data_files(spark, path)
     known, published = _known(spark, path, before)
     fresh = staged
     if here := [p for p in touched if p in before]:
-        stored = of_projects(spark.read.schema("id string, project string").parquet(path), here).select(F.col("id").alias("__id"), F.col("project").alias("__project"))
-        fresh = staged.join(stored, (F.col("id") == F.col("__id")) & F.col("project").eqNullSafe(F.col("__project")), "left_anti")
+        if by_filter:
+            fresh = _new_by_filter(staged, {p: before[p] for p in here}, known, path)
+        else:
+            fresh = _without(staged, of_projects(spark.read.schema("id string, project string").parquet(path), here))
     fresh.write.mode("append").partitionBy("project").parquet(path)
     after = data_files(spark, path)
     new = sorted(f for p, own in after.items() for f in own - before.get(p, set()))
@@ -116,6 +150,9 @@ def append(staged: DataFrame, touched: list[str | None], path: str) -> DataFrame
         old = known.get(p, {"run_count": 0})
         times = {n: best(t for t in (old.get(n), row[n]) if t is not None) if old.get(n) or row[n] else None for n, best in (("oldest", min), ("newest", max))}
         known[p] = {"project": p, "run_count": old["run_count"] + row["run_count"], "last_updated": now, "files": len(after[p])} | times
+    if by_filter:
+        added = {p: own - before.get(p, set()) for p, own in after.items()}
+        id_filter.cover(spark, path, added, {p: known[p]["run_count"] for p, own in added.items() if own})
     publish(spark, known, path)
     return appended
 
