@@ -186,13 +186,13 @@ def e4_dedup_against_stored(spark, d):
     return fresh.groupBy("project").agg(F.count("*").alias("n"))
 
 
-@query("SELECT id, q AS query FROM runs_docs, (VALUES ('under the terms', true), ('License', false), ('zq', true)) v(q, any_case) WHERE CASE WHEN any_case THEN contains(lower(text), lower(q)) ELSE contains(text, q) END", ("runs_docs",))
+@query("SELECT id, q AS query FROM runs_docs, (VALUES ('Licensed Under', true), ('License', false), ('zq', true)) v(q, any_case) WHERE CASE WHEN any_case THEN contains(lower(text), lower(q)) ELSE contains(text, q) END", ("runs_docs",))
 def d12_indexed_search(spark, d):
     """Whole texts searched by a trigram index of their files; the last query is too short for it."""
     path, index = new_path(spark, "texts"), new_path(spark, "grams")
     view(spark, d, "runs_docs").select("id", "text", "project").write.partitionBy("project").parquet(path)
     text_index.index_texts(spark, path, index, F.col("text"))
-    found = [text_index.search_files(spark, path, index, q, F.col("text"), ignore_case=any_case).select("id", F.lit(q).alias("query")) for q, any_case in (("under the terms", True), ("License", False), ("zq", True))]
+    found = [text_index.search_files(spark, path, index, q, F.col("text"), ignore_case=any_case).select("id", F.lit(q).alias("query")) for q, any_case in (("Licensed Under", True), ("License", False), ("zq", True))]
     return found[0].unionAll(found[1]).unionAll(found[2])
 
 
