@@ -22,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches, and so the memory of Python workers, for columns of long texts. The session keeps these settings."""
+    """Bounds the batches of Parquet readers and of Arrow, and so the memory of executors and Python workers, for columns of long texts. The session keeps these settings."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
