@@ -57,3 +57,25 @@ def test_rows_are_kept(spark):
     df = spark.createDataFrame([("a", "x", SENTENCES["fr"])] * 3 + [(None, "y", None)], "k string, __row string, t string")
     assert sorted(str(tuple(r)) for r in text.detect_languages(df, "t", ["k", "__row"]).collect()) == sorted(map(str, [*[("a", "x", "fr")] * 3, (None, "y", None)]))
     assert text.detect_languages(df.limit(0), "t", ["k"]).count() == 0
+
+
+def test_many_texts_at_once_and_one_by_one(spark):
+    """Looked up together, n-grams do not reach from text to text, and each text has the language that its n-grams one by one add up to."""
+    texts = [*SENTENCES.values(), *(t for t in ODD if t), "q" * 600, ". " * 40, "a b c d e f g h i j k l m n o p q r", "\U0001f600\U00020000 the house in the garden of the king"] * 8
+    known = text.profile()
+
+    def plainly(t):
+        words = [w for w in text.regex.split("[^\\p{L}\\p{M}]+", t[: text.LOOKED_AT].lower()) if w]
+        hits = [known[g] for g in text.grams_of(f" {' '.join(words)} ") if g in known]
+        sums = [sum(x) for x in zip(*hits, strict=True)]
+        return text.CODES[sums.index(max(sums))] if hits and len(t) >= text.SHORTEST else None
+
+    assert len(texts) > text.AT_ONCE
+    assert text.languages_of([*texts, None]) == [*map(plainly, texts), None]
+    assert [text.language_of(t) for t in texts] == [*map(plainly, texts)]
+
+
+def test_detection_makes_no_rows_of_n_grams(spark):
+    """Some 1,500 rows for each text, joined and added up, took most of the time."""
+    plan = text.detect_languages(spark.createDataFrame([("x", "y")], "k string, t string"), "t", ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert not any(step in plan for step in ("Generate", "Join", "Exchange"))
