@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,6 +135,11 @@ def _quoted(t: Column) -> Column:
     return F.substr(json, F.lit(3), F.length(json) - 4)
 
 
+def _bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """`f` of `c`, which is worked out once however often `f` names it; in lambdas Spark shares no expressions."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _strip_inside(json: Column) -> Column:
     """JSON text whose string values, at any depth, are placeholders where they are inline media; keys stay.
 
@@ -142,17 +149,21 @@ def _strip_inside(json: Column) -> Column:
     pair, quote = "\x01", "\x02"
     hidden = F.replace(F.replace(json, F.lit("\\\\"), F.lit(pair)), F.lit('\\"'), F.lit(quote))
 
+    def replaced(raw: Column) -> Column:
+        """The inside of a string, replaced where it is media; only one with escapes is parsed."""
+        escaped = F.get(F.from_json(F.concat(F.lit('["'), raw, F.lit('"]')), "array<string>"), F.lit(0))
+        value = F.when(F.contains(raw, F.lit("\\")), escaped).otherwise(raw)
+        return _bound(_bound(value, _placeholder), lambda p: F.when(p.isNotNull(), _quoted(p)).otherwise(raw))
+
     def shown(parts: Column) -> Column:
         def one(part: Column, i: Column) -> Column:
             raw = F.replace(F.replace(part, F.lit(quote), F.lit('\\"')), F.lit(pair), F.lit("\\\\"))
-            value = F.get(F.from_json(F.concat(F.lit('["'), raw, F.lit('"]')), "array<string>"), F.lit(0))
             inside = (i % 2 == 1) & ~F.ltrim(F.get(parts, i + 1)).startswith(":") & (part.startswith("data:") | (F.length(part) >= MEDIA_LENGTH))
-            return F.when(inside & _placeholder(value).isNotNull(), _quoted(_placeholder(value))).otherwise(raw)
+            return F.when(inside, _bound(raw, replaced)).otherwise(raw)
 
         return F.array_join(F.transform(parts, one), '"')
 
-    # the parts are bound as an argument, so that they are made once
-    return F.get(F.transform(F.array(F.split(hidden, '"')), shown), F.lit(0))
+    return _bound(F.split(hidden, '"'), shown)
 
 
 def strip_binary(text: Column | str) -> Column:
