@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,13 +117,18 @@ def append_runs(batch: DataFrame, path: str, order: list[Column], by_filter: boo
     """Appends the new runs of `batch` to the Parquet table at `path`, by project, and merges its metadata; gives what was appended.
 
     Runs are told apart by (project, id); of those that the batch repeats the first by `order` is taken. The batch is
-    evaluated once and staged in the shared folder; of the stored table only the ids of its projects are read.
+    evaluated once and staged in the shared folder, from which rows are shuffled once; of the stored table only the ids of its projects are read.
     With `by_filter` a Bloom filter beside the data is asked first, and only files that may hold an id of the batch are
     read, which pays where the stored ids are many times those of a batch; the result is the same.
     """
     spark = batch.sparkSession
     staging = new_path(spark, "staged")
-    store.first_of_each(batch, order).write.parquet(staging)
+    try:
+        store.first_of_each(spark.createDataFrame([], batch.schema), order)
+        batch.where(F.col("id").isNotNull()).write.parquet(staging)
+    except AnalysisException:  # columns of the order that are bound to the batch mean nothing to the staged table
+        store.first_of_each(batch, order).write.parquet(staging)
+        order = [F.asc("id")]  # each is there once
     staged = spark.read.schema(batch.schema).parquet(staging)
     touched = [r.project for r in staged.select("project").distinct().collect()]  # folder names
-    return store.append(staged, touched, path, by_filter)
+    return store.append(staged, order, touched, path, by_filter)

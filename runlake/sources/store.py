@@ -97,14 +97,21 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
     return _frame(spark, _known(spark, path, data_files(spark, path))[0])
 
 
-def _without(staged: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows of `staged` whose (project, id) `stored` lacks."""
-    stored = stored.select(F.col("id").alias("__id"), F.col("project").alias("__project"))
-    return staged.join(stored, (F.col("id") == F.col("__id")) & F.col("project").eqNullSafe(F.col("__project")), "left_anti")
+def _fresh(staged: DataFrame, order: list[Column], stored: DataFrame | None) -> DataFrame:
+    """Of each (project, id) of `staged` the first row by `order`, where `stored` lacks it.
+
+    Both steps part rows by the same two columns, so the rows are shuffled once; for that, rows without a project have the name of their folder meanwhile.
+    """
+    named = F.coalesce("project", F.lit(_NO_PROJECT))
+    fresh = first_of_each(staged.withColumn("project", named), order)
+    if stored is not None:
+        stored = stored.select(F.col("id").alias("__id"), named.alias("__project"))
+        fresh = fresh.join(stored, (F.col("id") == F.col("__id")) & (F.col("project") == F.col("__project")), "left_anti")
+    return fresh.withColumn("project", F.nullif("project", F.lit(_NO_PROJECT)))
 
 
-def _new_by_filter(staged: DataFrame, files: dict[str | None, set[str]], known: dict[str | None, dict], path: str) -> DataFrame:
-    """Rows of `staged` that the table lacks; of `files`, those of the batch's projects, only those are read that may hold one of its ids by the filter."""
+def _held_by_filter(staged: DataFrame, files: dict[str | None, set[str]], known: dict[str | None, dict], path: str) -> DataFrame | None:
+    """(id, project) of the rows of `staged` that the table holds, if any; of `files`, those of the batch's projects, only those are read that may hold one of its ids by the filter."""
     spark = staged.sparkSession
     done = id_filter.covered(spark, path, files)
     have = {f for _, f, *_ in done}
@@ -117,27 +124,27 @@ def _new_by_filter(staged: DataFrame, files: dict[str | None, set[str]], known:
     where = {(r.project, r.batch) for r in found.select("project", "batch").distinct().collect()}  # at most the appends of each folder
     held = [unquote(f) for p, f, _, b in done if (p, b) in where]
     if not held:
-        return staged
+        return None
     stored = spark.read.schema("id string, project string").option("basePath", path).parquet(*held)
     asked = found.select(F.col("id").alias("__id"), F.col("project").alias("__project")).distinct()
-    return _without(staged, stored.join(asked, (F.col("id") == F.col("__id")) & F.col("project").eqNullSafe(F.col("__project")), "left_semi"))
+    return stored.join(asked, (F.col("id") == F.col("__id")) & F.col("project").eqNullSafe(F.col("__project")), "left_semi")
 
 
-def append(staged: DataFrame, touched: list[str | None], path: str, by_filter: bool = False) -> DataFrame:
-    """Appends those rows of `staged`, a written table with each (project, id) of the projects `touched` once, that the table at `path` lacks, and merges its metadata; gives what was appended.
+def append(staged: DataFrame, order: list[Column], touched: list[str | None], path: str, by_filter: bool = False) -> DataFrame:
+    """Appends of each (project, id) of `staged`, a written table of the projects `touched`, the first row by `order`, if the table at `path` lacks it, and merges its metadata; gives what was appended.
 
     `by_filter` asks a Bloom filter of the stored ids first, which is kept beside the data.
     """
     spark = staged.sparkSession
     before = data_files(spark, path)
     known, published = _known(spark, path, before)
-    fresh = staged
+    stored = None
     if here := [p for p in touched if p in before]:
         if by_filter:
-            fresh = _new_by_filter(staged, {p: before[p] for p in here}, known, path)
+            stored = _held_by_filter(staged, {p: before[p] for p in here}, known, path)
         else:
-            fresh = _without(staged, of_projects(spark.read.schema("id string, project string").parquet(path), here))
-    fresh.write.mode("append").partitionBy("project").parquet(path)
+            stored = of_projects(spark.read.schema("id string, project string").parquet(path), here)
+    _fresh(staged, order, stored).write.mode("append").partitionBy("project").parquet(path)
     after = data_files(spark, path)
     new = sorted(f for p, own in after.items() for f in own - before.get(p, set()))
     if not new:
