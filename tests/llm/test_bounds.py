@@ -92,3 +92,11 @@ def test_few_pairs_of_a_large_group_are_candidates(spark):
         listed = listed.join(listed.groupBy("token").count().where("count > 1").select("token"), "token")
         made[n] = ngram_join.candidates(listed, spark.createDataFrame(facts, "doc long, n long, last long"), 75, 100).count()
     assert made[800] < 8 * max(made[200], 100)
+
+
+def test_readers_of_long_texts_hold_few_rows(spark):
+    """A reader's batch of 4,096 whole texts lay on the heap of each task."""
+    from runlake.llm.common import ARROW_ROWS, small_batches
+
+    small_batches(spark)
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) == ARROW_ROWS
