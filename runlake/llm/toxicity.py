@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Container, Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +49,10 @@ _PIECE = re.compile(rf"[\w{re.escape(''.join(LEET))}.\-~^'’/\\]+")
 # more than eight signs in a row without a letter, set apart: no part of a word
 _QUIET = re.compile(r"((?:[\d_]|[^\w\s])(?:\s+(?:[\d_]|[^\w\s])){8,})")
 # single signs with white space between, from a blank, an opening mark or (letters and digits) any mark, up to a blank or mark
-_APART = re.compile(
-    r"""(?<!\w['’\-])(?:(?<![^\s"'(\[{«“‘])[^\s.,;:?]|(?<!\w)(?<!\d[.,])\w)\s+(?:[^\s.,;:?]\s+)+(?:\w(?!\w)(?!['’\-@&/]\w)|[^\s\w.,;:?](?![^\s.,;:?!"')\]}»”’]))"""
-)
+_LAST = r"""(?:\w(?!\w)(?!['’\-@&/]\w)|[^\s\w.,;:?](?![^\s.,;:?!"')\]}»”’]))"""
+_APART = re.compile(r"""(?<!\w['’\-])(?:(?<![^\s"'(\[{«“‘])[^\s.,;:?]|(?<!\w)(?<!\d[.,])\w)\s+(?:[^\s.,;:?]\s+)+""" + _LAST)
+# the end of any such run, looked for first since it is found faster: most texts have none
+_APART_END = re.compile(r"\s(?<!\w\w\s)[^\s.,;:?]\s+" + _LAST)
 _WHITE = re.compile(r"\s+")
 _TWICE = re.compile(r"(.)\1")
 _THRICE = re.compile(r"(.)\1\1")
@@ -77,28 +79,51 @@ class CharModel:
         p3 = (c3 + 5 * p2[None]) / (c3.sum(2, keepdims=True) + 5)
         self.cost = -np.log(p3).astype(np.float32)
 
+    @cached_property
+    def costs(self) -> list[float]:
+        """The same costs as one list, whose items are read faster."""
+        return self.cost.ravel().tolist()
+
+    def once_doubled(self, word: str, at: int) -> list[str]:
+        """The readings of a word of at most SHORT small letters of which only those at `at` and behind it are a pair: two ways, which need no lattice."""
+        costs, of = self.costs, [INDEX.get(c, N - 1) for c in word]
+        a = b = 0
+        head = 0.0
+        for i in of[:at]:
+            head += costs[(a * N + b) * N + i]
+            a, b = b, i
+        pair = of[at]
+        step = costs[(a * N + b) * N + pair]
+        ways = []
+        for total, a, b, text in ((head + UNDOUBLED + step, b, pair, word[:at] + word[at + 1 :]), (head + step + costs[(b * N + pair) * N + pair], pair, pair, word)):
+            for i in of[at + 2 :]:
+                total += costs[(a * N + b) * N + i]
+                a, b = b, i
+            ways.append((total + costs[(a * N + b) * N], text))
+        ways.sort()
+        return [text for total, text in ways if total <= ways[0][0] + MARGIN]
+
     def readings(self, seen: str, apart: bool = False) -> list[str]:
         """Up to three readings of a disguised word, likeliest first; with `apart`, of letters written one by one, which may hold several words.
 
         Viterbi over (last letter but one, last letter), keeping the two best ways into each state. Of more than
         `SHORT` signs a beam of ways is kept, and all readings share the letters that are settled.
         """
-        cost, long, settled = self.cost, len(seen) > SHORT, []
+        costs, long, settled = self.costs, len(seen) > SHORT, []
         states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
         for n, run in enumerate(re.finditer(r"(.)\1*", seen.lower(), re.DOTALL), 1):
-            options = _options(run[0][0], len(run[0]))
+            options = [(letters, extra, [INDEX.get(c, N - 1) for c in letters]) for letters, extra in _options(run[0][0], len(run[0]))]
             found: dict[tuple[int, int], list[tuple[float, str]]] = {}
             for (a, b), ways in states.items():
                 for so_far, text in ways:
                     heads = [(a, b, so_far, text)]
                     if apart and b:
-                        heads.append((b, 0, so_far + SPACED + float(cost[a, b, 0]), text + " "))
+                        heads.append((b, 0, so_far + SPACED + costs[(a * N + b) * N], text + " "))
                     for x, y, base, head in heads:
-                        for letters, extra in options:
+                        for letters, extra, places in options:
                             p, q, total = x, y, base + extra
-                            for c in letters:
-                                i = INDEX.get(c, N - 1)
-                                total += float(cost[0, 0, i] if q == 0 else cost[p, q, i])
+                            for i in places:
+                                total += costs[(p * N + q) * N + i] if q else costs[i]
                                 p, q = q, i
                             found.setdefault((p, q), []).append((total, head + letters))
             states = {k: sorted(set(v))[:2] for k, v in found.items()}
@@ -111,7 +136,7 @@ class CharModel:
                 for v, text, k in best:
                     if text.startswith(head):
                         states.setdefault(k, []).append((v, text[done:]))
-        ends = sorted((v + float(cost[a, b, 0]), text) for (a, b), ways in states.items() for v, text in ways)
+        ends = sorted((v + costs[(a * N + b) * N], text) for (a, b), ways in states.items() for v, text in ways)
         return ["".join([*settled, text]) for v, text in ends[:3] if v <= ends[0][0] + MARGIN]
 
     def decode(self, seen: str, apart: bool = False) -> str:
@@ -207,7 +232,11 @@ def restored_words(word: str, model: CharModel, known: Container[str] = ()) -> I
 
 
 def _undoubled(word: str, model: CharModel, known: Container[str]) -> Iterable[str]:
-    return (word, *model.readings(word)) if word not in known and _TWICE.search(word) else (word,)
+    pair = None if word in known else _TWICE.search(word)
+    if pair is None:
+        return (word,)
+    once = len(word) <= SHORT and word.isalpha() and not _TWICE.search(word, pair.start() + 1)
+    return (word, *(model.once_doubled(word, pair.start()) if once else model.readings(word)))
 
 
 def restore(text: str | None, model: CharModel) -> str:
@@ -241,23 +270,43 @@ class Words(dict):
     def __init__(self, model: CharModel, known: dict[str, int] | None, most: int = 300_000):
         super().__init__()
         self.model, self.known, self.most = model, known, most
+        # features that are word beginnings, without their mark
+        self.heads = {f[:-1]: i for f, i in (known or {}).items() if f[-1:] == "-" and len(f) in (5, 6)}
+
+    def _places(self, word: str) -> list[int]:
+        """The places of the features of one restored word, those of `_beginnings` that are known."""
+        known, heads = self.known, self.heads
+        out = [known[word]] if word in known else []
+        if len(word) > 4 and word[:4] in heads:
+            out.append(heads[word[:4]])
+        if len(word) > 5 and word[:5] in heads:
+            out.append(heads[word[:5]])
+        return out
 
     def __missing__(self, word: str):
         if len(word) > LONG:
             return tuple({f for piece in set(pieces_of(word)) for f in self[piece]})
         if len(self) >= self.most:
             self.clear()
-        names = [f for w in restored_words(word, self.model, self.known or ()) for part in w.split(" ") for f in _beginnings(part)]
-        known = self.known
-        out = self[word] = tuple(names) if known is None else tuple({known[f] for f in names if f in known})
+        low = word.strip(".,;:?").lower()
+        # most words are letters of which none stands twice in a row: they are as they are
+        words = (low,) if low.isalpha() and not _TWICE.search(low) else [part for w in restored_words(word, self.model, self.known or ()) for part in w.split(" ")]
+        if self.known is None:
+            out = tuple([f for w in words for f in _beginnings(w)])
+        elif len(words) == 1:
+            out = tuple(self._places(words[0]))
+        else:
+            out = tuple({i for w in words for i in self._places(w)})
+        self[word] = out
         return out
 
     def of(self, text: str | None) -> set:
         """Features of a whole text."""
         out: set = set()
-        for f in set(map(self.__getitem__, set(text.split() if text else ()))):
+        words = set(text.split() if text else ())
+        for f in set(map(self.__getitem__, words)):
             out.update(f)
-        for m in _APART.finditer(text or ""):
+        for m in _APART.finditer(text) if 1 in map(len, words) and _APART_END.search(text) else ():
             for part in parts_apart(m[0])[::2]:
                 if _LETTER.search(part):
                     for w in {w for reading in self.model.readings(_WHITE.sub("", part), apart=True) for w in reading.split(" ")}:
