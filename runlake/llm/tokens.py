@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -21,18 +22,34 @@ _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 17
 _SIGNS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
 
 
+def strings(array: pa.Array) -> list[str]:
+    """`array.to_pylist()` by way of numpy, which is ten times as fast."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def gathered(ids: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of `ids` that `codes` name, one after another, and where each of them ends."""
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    start = np.cumsum(size) - size
+    n = size[codes]
+    ends = np.cumsum(n)
+    return np.frombuffer(b"".join(ids), "<u4")[np.repeat(start[codes] - ends + n, n) + np.arange(n.sum())], ends
+
+
 class TokenIds:
     """Little-endian unsigned 32-bit ids of texts.
 
     Pre-tokenizing never joins what white space parts, so ids of a text are those of its words, one after
     another. The distinct words of a batch are found in Arrow, each is looked up once, and the ids of the texts
-    are gathered by place. If the file is a lower-casing word tokenizer with one split pattern, words are parted
-    further by that pattern, so that most are found among known pieces. When full, the memory of words starts anew from those of the batch, that of pieces from none.
+    are gathered by place. If the file is a lower-casing word tokenizer with one split pattern, the distinct words
+    are parted further by that pattern, all at once, and only parts that are not known are looked up. A full
+    memory, of parts or of other words, starts anew from those of the batch.
     """
 
     def __init__(self, tokenizer_json: str, pattern: str | None = None, most: int = 100_000):
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.pattern, self.most = regex.compile(pattern) if pattern else None, most
+        self.model = self.tokenizer.model
+        self.pattern, self.most = regex.compile(rf"\n|{pattern}") if pattern else None, most
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -40,38 +57,51 @@ class TokenIds:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        if len(self.parts) >= self.most:
-            self.parts.clear()
+        if part == "\n":  # parts two words
+            return b""
         # all other steps of the tokenizer are done by now: what is left is the merges
         signs = part if part.isascii() and part.isprintable() else "".join(map(_SIGNS.__getitem__, part.encode()))
-        found = [t.id for t in self.tokenizer.model.tokenize(signs)]
-        ids = self.parts[part] = struct.pack(f"<{len(found)}I", *found)
+        found = [t.id for t in self.model.tokenize(signs)]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _known(self, memory: dict[str, bytes], names: list[str], new: Callable[[str], bytes], most: int) -> list[bytes]:
+        """The ids of distinct `names`; those that `memory` lacks are looked up and kept."""
+        ids = [memory.get(name) for name in names]
+        missed = [i for i, found in enumerate(ids) if found is None]
+        for i in missed:
+            ids[i] = new(names[i])
+        if len(memory) + len(missed) > most:
+            memory.clear()
+            memory.update(zip(names[:most], ids, strict=False))  # the frequent ones are among them
+        else:
+            memory.update((names[i], ids[i]) for i in missed)
         return ids
 
-    def _word(self, word: str) -> bytes:
-        if self.pattern is None or not (word.isascii() or _PLAIN.fullmatch(word)) or "<|" in word:
-            return self._encoded(word)
-        known, new = self.parts.get, self._part
-        return b"".join([known(part) or new(part) for part in self.pattern.findall(word.lower())])
+    def _parted(self, words: list[str]) -> list[bytes]:
+        """The ids of words of plain signs. Lines part the words, and neither small letters nor the pattern depend on what another line holds."""
+        coded = pa.array(self.pattern.findall("\n".join(words).lower()), pa.string()).dictionary_encode()
+        names, codes = strings(coded.dictionary), coded.indices.to_numpy()
+        out, ends = gathered(self._known(self.parts, names, self._part, 2 * self.most), codes)
+        line = names.index("\n") if len(words) > 1 else -1
+        cuts = [0, *(4 * ends[codes == line]).tolist(), 4 * len(out)]
+        raw = out.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _plain(self, words: list[str]) -> list[bool]:
+        if self.pattern is None:
+            return [False] * len(words)
+        return [(word.isascii() or _PLAIN.fullmatch(word) is not None) and "<|" not in word for word in words]
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text of an array of strings; none for null."""
         split = pc.ascii_split_whitespace(texts.fill_null(""))
         coded = split.flatten().dictionary_encode()
-        names, codes, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), self.words.get
-        ids = [known(w) for w in names]
-        missed = [i for i, found in enumerate(ids) if found is None]
-        for i in missed:
-            ids[i] = self._word(names[i])
-        if len(self.words) + len(missed) > self.most:
-            self.words = dict(zip(names[: self.most], ids, strict=False))  # the frequent words are among them
-        else:
-            self.words.update((names[i], ids[i]) for i in missed)
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        start = np.cumsum(size) - size
-        n = size[codes]
-        ends = np.cumsum(n)
-        out = np.frombuffer(b"".join(ids), "<u4")[np.repeat(start[codes] - ends + n, n) + np.arange(n.sum())]
+        names = strings(coded.dictionary)
+        plain = self._plain(names)
+        parted = iter(self._parted([w for w, is_plain in zip(names, plain, strict=True) if is_plain]) if any(plain) else ())
+        others = iter(self._known(self.words, [w for w, is_plain in zip(names, plain, strict=True) if not is_plain], self._encoded, self.most))
+        ids = [next(parted if is_plain else others) for is_plain in plain]
+        out, ends = gathered(ids, coded.indices.to_numpy())
         cuts = np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()]
         return [out[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
